@@ -102,6 +102,16 @@ def metas(segs: Column) -> Column:
 
 def og_field(meta: Column, prop: str) -> Column:
     """``content`` of the last meta whose ``property`` is exactly ``prop``."""
+    return html_unescape(og_source(meta, prop), attribute=True)
+
+
+def og_fields(meta: Column, *props: str) -> Column:
+    """Several of them as an array."""
+    return F.transform(F.array(*[og_source(meta, p) for p in props]), lambda t: html_unescape(t, attribute=True))
+
+
+def og_source(meta: Column, prop: str) -> Column:
+    """The attribute as it is written in the page."""
     matching = F.filter(
         meta,
         lambda m: F.exists(m, lambda a: (a["name"] == "property") & (a["value"] == prop))
@@ -109,7 +119,7 @@ def og_field(meta: Column, prop: str) -> Column:
     )
     last = F.try_element_at(matching, F.lit(-1))
     content = F.get(F.filter(last, lambda a: a["name"] == "content"), F.lit(0))["value"]
-    return html_unescape(F.coalesce(content, F.lit("")), attribute=True)
+    return F.coalesce(content, F.lit(""))
 
 
 # ---------------------------------------------------------------- entities
@@ -132,16 +142,17 @@ def _code_point(reference: Column) -> Column:
         F.when(hexadecimal, F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint"),
     )
     legal = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-    windows = F.decode(F.unhex(F.lpad(F.hex(_windows(code)), 8, "0")), "UTF-32")
-    return F.when(legal, windows).otherwise(F.lit("�"))
+    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return F.when(legal, F.translate(char, *_WINDOWS)).otherwise(F.lit("\ufffd"))
 
 
-def _windows(code: Column) -> Column:
+def _windows() -> tuple[str, str]:
     """Numbers 0x80-0x9F mean the Windows-1252 character, as pages use them."""
-    table = [ord(bytes([c]).decode("cp1252", "replace")) for c in range(0x80, 0xA0)]
-    table = [0x80 + i if t == 0xFFFD else t for i, t in enumerate(table)]
-    mapped = F.get(F.array(*[F.lit(t).cast("bigint") for t in table]), (code - 0x80).cast("int"))
-    return F.when(code.between(0x80, 0x9F), mapped).otherwise(code)
+    meant = {chr(c): bytes([c]).decode("cp1252", "ignore") for c in range(0x80, 0xA0)}
+    return "".join(c for c in meant if meant[c]), "".join(meant.values())
+
+
+_WINDOWS = _windows()
 
 
 def html_unescape(text: Column, attribute: bool = False) -> Column:

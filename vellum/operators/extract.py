@@ -78,15 +78,19 @@ def extract_documents(df: DataFrame, html: str = "html") -> DataFrame:
         payload.server_time_literal(body).alias("_server"),
         payload.created_literal(body).alias("_created"),
         "page_title",
-        markup.og_field(meta, "og:title").alias("og_title"),
-        markup.og_field(meta, "og:description").alias("og_description"),
-        markup.og_field(meta, "og:image").alias("og_image"),
+        markup.og_fields(meta, "og:title", "og:description", "og:image").alias("_og"),
         payload.content(payload.snippets(body)).alias("content"),
         payload.links(body).alias("links"),
         payload.image_urls(body).alias("image_urls"),
     )
     timed = (
-        fields.withColumn("created", F.timestamp_millis(payload.epoch_millis(F.col("_created"))))
+        fields.select(
+            "*",
+            F.col("_og")[0].alias("og_title"),
+            F.col("_og")[1].alias("og_description"),
+            F.col("_og")[2].alias("og_image"),
+        )
+        .withColumn("created", F.timestamp_millis(payload.epoch_millis(F.col("_created"))))
         .withColumn("_server_ms", payload.epoch_millis(F.col("_server")))
         .withColumn("timestamp", F.coalesce("_timestamp", rfc3339_millis(F.col("_server_ms")), F.lit("")))
     )

@@ -157,11 +157,10 @@ class Store:
 
         # stored digests and revisions this batch meets: its own, once each, probe the store
         digests = self.read("processed", now).select("digest")
-        met = self._keep("met", digests.join(good.select("digest").distinct(), "digest", "left_semi"), version)
-        fresh = first_per_digest(skip_processed(good, met, spread="ord"))
-        fresh = self._keep("fresh", fresh, version)
+        met = self._probe("met", digests, good, ["digest"], version)
+        fresh = self._keep("fresh", first_per_digest(skip_processed(good, met, spread="ord")), version)
         stored = self.read("documents", now).select(*KEY, "og_title", "og_description")
-        known = self._keep("known", stored.join(fresh.select(*KEY).distinct(), KEY, "left_semi"), version)
+        known = self._probe("known", stored, fresh, KEY, version)
 
         self._write_documents(new_documents(fresh, known), version)
         added = self.spark.read.schema(DOCUMENTS).parquet(self._folder("documents", version))
@@ -183,6 +182,12 @@ class Store:
         self._write(f"work/{name}", rows, version)
         return self.spark.read.schema(rows.schema).parquet(self._folder(f"work/{name}", version))
 
+    def _probe(self, name: str, stored: DataFrame, batch: DataFrame, on: list[str], version: int) -> DataFrame:
+        """Stored rows whose key occurs in the batch; none are looked for in a new store."""
+        if version == 1:
+            return stored
+        return self._keep(name, stored.join(batch.select(*on).distinct(), on, "left_semi"), version)
+
     def _stage(self, parsed: DataFrame, version: int) -> DataFrame:
         """The parsed batch, numbered densely in the order of ``ord``.
 
