@@ -18,20 +18,26 @@ _WS = r"[\t\n\f\r ]"
 _END = r"(?=[\t\n\f\r />])"
 _ATTRS = rf"""(?:[^>=]++|={_WS}*+(?:"[^"]*+"|'[^']*+')?+)*+"""
 
+
+
+def _raw_text(name: str) -> str:
+    """Everything up to the closing tag of ``name``, or to the end of a cut-off page."""
+    return rf"[^<]*+(?:<(?!/{name}{_END})[^<]*+)*+"
+
+
 _SKIP = "|".join(
     [
         r"[^<]++",
-        r"<!--(?:-?>|.*?(?:--!?>|\z))",
-        rf"<(?<raw>style|textarea|noscript|iframe|noembed|noframes|xmp){_END}{_ATTRS}>"
-        rf".*?(?:</\k<raw>{_END}|\z)",
+        r"<!--(?:-?>|[^-]*+(?:-(?!-!?>)[^-]*+)*+(?:--!?>)?+)",
+        rf"<(?<raw>style|textarea|noscript|iframe|noembed|noframes|xmp){_END}{_ATTRS}>" + _raw_text(r"\k<raw>"),
         rf"<(?!(?:script|title|meta){_END})[a-z]{_ATTRS}>",
         r"<(?![a-z]|!--)",
     ]
 )
 _WANTED = "|".join(
     [
-        rf"<script{_END}{_ATTRS}>.*?(?:</script{_END}|\z)",
-        rf"<title{_END}{_ATTRS}>.*?(?:</title{_END}|\z)",
+        rf"<script{_END}{_ATTRS}>" + _raw_text("script"),
+        rf"<title{_END}{_ATTRS}>" + _raw_text("title"),
         rf"<meta{_END}{_ATTRS}>",
         r"<",
         r"\z",
@@ -57,28 +63,22 @@ def _is(segment: Column, name: str) -> Column:
     return F.lower(F.substring(segment, 2, len(name))) == name
 
 
-def _body(segment: Column, name: str) -> Column:
-    """Text between the opening tag and the closing tag, if the page holds one."""
+def _body(segment: Column) -> Column:
+    """Text after the opening tag; a segment ends before its closing tag."""
     start = F.length(F.regexp_extract(segment, _OPENING, 0))
-    tail = len(name) + 2
-    closed = F.lower(F.right(segment, F.lit(tail))) == f"</{name}"
-    return F.substr(
-        segment,
-        start + 1,
-        F.length(segment) - start - F.when(closed, tail).otherwise(0),
-    )
+    return F.substr(segment, start + 1, F.length(segment) - start)
 
 
 def scripts(segs: Column) -> Column:
     """Bodies of the scripts that hold text."""
-    bodies = F.transform(F.filter(segs, lambda s: _is(s, "script")), lambda s: _body(s, "script"))
+    bodies = F.transform(F.filter(segs, lambda s: _is(s, "script")), lambda s: _body(s))
     return F.filter(bodies, lambda b: b != "")
 
 
 def page_title(segs: Column) -> Column:
     """Text of the last title, entities decoded; empty without one."""
     last = F.try_element_at(F.filter(segs, lambda s: _is(s, "title")), F.lit(-1))
-    return html_unescape(F.coalesce(_body(last, "title"), F.lit("")))
+    return html_unescape(F.coalesce(_body(last), F.lit("")))
 
 
 def metas(segs: Column) -> Column:

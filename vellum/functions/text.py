@@ -8,12 +8,13 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPACE = r"[\s\x{85}\p{Z}]"
+# The Unicode white space characters.
+SPACE = "\t\n\v\f\r \u0085\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def unicode_trim(text: Column) -> Column:
     """Strip every Unicode white space from both ends."""
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACE))
 
 
 # ---------------------------------------------------------------- JSON
@@ -111,16 +112,21 @@ def _fold_table() -> tuple[str, str]:
     return "".join(source), "".join(target)
 
 
-def fold_text(text: Column) -> Column:
-    source, target = _fold_table()
-    low = F.lower(text)
-    wide = F.translate(F.regexp_replace(low, f"[{_MARKS}]", ""), source, target)
-    return F.when(F.octet_length(text) == F.length(text), low).otherwise(wide)
+def without_marks(low: Column) -> Column:
+    """Drop joining marks; most texts have none and pass untouched."""
+    has_marks = (F.octet_length(low) != F.length(low)) & F.rlike(low, F.lit(r"[\x{300}-\x{331}]"))
+    return F.when(has_marks, F.regexp_replace(low, f"[{_MARKS}]", "")).otherwise(low)
+
+
+def fold_word(word: Column) -> Column:
+    """Fold one lower-case word."""
+    return F.when(F.octet_length(word) == F.length(word), word).otherwise(F.translate(word, *_fold_table()))
 
 
 def tokens(text: Column) -> Column:
     """Ordered array of folded words."""
-    return F.regexp_extract_all(fold_text(text), F.lit(WORD), F.lit(0))
+    words = F.regexp_extract_all(without_marks(F.lower(text)), F.lit(WORD), F.lit(0))
+    return F.transform(words, fold_word)
 
 
 def link_tokens(links: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import markup, payload
 from vellum.functions.text import rfc3339_millis
+from vellum.operators.once import computed_once
 
 OK = "ok"
 
@@ -94,7 +95,7 @@ def extract_documents(df: DataFrame, html: str = "html") -> DataFrame:
         .withColumn("_server_ms", payload.epoch_millis(F.col("_server")))
         .withColumn("timestamp", F.coalesce("_timestamp", rfc3339_millis(F.col("_server_ms")), F.lit("")))
     )
-    return timed.withColumn("parse_status", parse_status()).select(*carried, *EXTRACTED)
+    return computed_once(timed, parse_status=parse_status()).select(*carried, *EXTRACTED)
 
 
 def parse_status() -> Column:

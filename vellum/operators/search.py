@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions.text import link_tokens, query_tokens, tokens
+from vellum.operators.once import computed_once
 from vellum.schemas import KEY
 
 COLUMNS = ("title", "content", "links")
@@ -182,14 +183,14 @@ def near(texts: Sequence[str], n: int = 10) -> Near:
 # ---------------------------------------------------------------- by scan
 
 
-def with_tokens(docs: DataFrame) -> DataFrame:
+def with_tokens(docs: DataFrame, columns: Sequence[str] = COLUMNS) -> DataFrame:
     """Add one token array per indexed column."""
-    return docs.select(
-        *docs.columns,
-        tokens(F.col("og_title")).alias("title_tokens"),
-        tokens(F.col("content")).alias("content_tokens"),
-        link_tokens(F.col("links")).alias("links_tokens"),
-    )
+    made = {
+        "title": lambda: tokens(F.col("og_title")),
+        "content": lambda: tokens(F.col("content")),
+        "links": lambda: link_tokens(F.col("links")),
+    }
+    return computed_once(docs, **{f"{c}_tokens": made[c]() for c in columns})
 
 
 def _starts_in(words: Column, wanted: Phrase) -> Column:
@@ -220,8 +221,16 @@ def matches(query: Query | None) -> Column:
 
 
 def search(docs: DataFrame, query: Query | None) -> DataFrame:
-    """Keys of the matching documents, straight from their text."""
-    return with_tokens(docs).where(matches(query)).select(*KEY)
+    """Keys of the matching documents, straight from their text.
+
+    Only the columns the query names are read and tokenised.
+    """
+    if query is None:
+        return docs.select(*KEY)
+    named = {c for wanted in query.phrases() for c in wanted.searched()}
+    if not named:
+        return docs.where(F.lit(False)).select(*KEY)
+    return with_tokens(docs, [c for c in COLUMNS if c in named]).where(matches(query)).select(*KEY)
 
 
 # ---------------------------------------------------------------- by postings

@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from vellum.functions.text import rfc3339_seconds
 from vellum.operators.fold import first_per_digest, new_documents, observations
 from vellum.plans import render
+from vellum.session import spread_few_splits
 
 START = 1767225600  # 2026-01-01T00:00:00Z
 CREATED_MS = 1759713531746
 
 
+KEYS = {"documents": "doc_id", "pages": "page_id", "events": "event_id"}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread_few_splits(rows, KEYS[name]) if name in KEYS else rows
 
 
 def captures(spark: SparkSession, sf: str) -> DataFrame:

@@ -22,9 +22,17 @@ def _parsed(spark, sf):
     return extract.extract_documents(canonical.pages(spark, sf))
 
 
+def _positions(found, column, name):
+    """One row per element; the outer form keeps Spark from adding a filter that
+    would extract the array a second time."""
+    rows = found.select("ord", F.posexplode_outer(column).alias("pos", name)).where("pos IS NOT NULL")
+    return rows.select("ord", name, F.col("pos").cast("bigint").alias("pos"))
+
+
 @query(
-    """SELECT page_id, replace(replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1, 's'),
-      '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS title FROM pages"""
+    """SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+      regexp_extract(html, '<title>(.*?)</title>', 1, 's'),
+      '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g') AS title FROM pages"""
 )
 def page_title(spark, sf):
     return canonical.table(spark, sf, "pages").select(
@@ -87,9 +95,7 @@ def extract_text(spark, sf):
 @query(f"WITH {CAPTURES_SQL} SELECT ord, unnest(links) AS link, unnest(range(len(links))) AS pos FROM captures")
 def extract_links(spark, sf):
     found = _scripts(spark, sf).select("ord", payload.links(F.col("scripts")).alias("links"))
-    return found.select("ord", F.posexplode("links").alias("pos", "link")).select(
-        "ord", "link", F.col("pos").cast("bigint").alias("pos")
-    )
+    return _positions(found, "links", "link")
 
 
 @query(
@@ -98,9 +104,7 @@ def extract_links(spark, sf):
 )
 def extract_images(spark, sf):
     found = _scripts(spark, sf).select("ord", payload.image_urls(F.col("scripts")).alias("images"))
-    return found.select("ord", F.posexplode("images").alias("pos", "image")).select(
-        "ord", "image", F.col("pos").cast("bigint").alias("pos")
-    )
+    return _positions(found, "images", "image")
 
 
 @query(f"WITH {CAPTURES_SQL} SELECT ord, revision FROM captures")

@@ -92,7 +92,8 @@ def stream_fold(spark, sf):
         canonical.captures(spark, sf).select("ord", "src", "provenance", "digest", "url"), "ord"
     )
     schema = "ord bigint, html string, src string, provenance string, digest string, url string"
-    bounds = pages.agg(F.min("ord").alias("low"), F.max("ord").alias("high"))
+    captured = canonical.captures(spark, sf)
+    bounds = captured.agg(F.min("ord").alias("low"), F.max("ord").alias("high"))
     third = F.floor((F.col("ord") - F.col("low")) * 3 / (F.col("high") - F.col("low") + 1))
     placed = pages.join(F.broadcast(bounds)).withColumn("third", third)
     for number in range(3):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "vellum", master: str | None = None, **conf: str) -> SparkSession:
@@ -47,3 +47,13 @@ def scratch_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the scratch root; nothing is ever overwritten."""
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def spread_few_splits(df: DataFrame, key: str) -> DataFrame:
+    """Hash a table by a unique key if it has fewer splits than there are cores.
+
+    A small file is one split, and costly expressions over it would run on one
+    core. A table of any size has splits to spare and is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
