@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions.text import rfc3339_millis
-from vellum.operators.skew import first_per, number_parts, order_bucket, salted_join
+from vellum.operators.skew import first_per, number_in_order, number_parts, order_bucket, salted_join
 from vellum.schemas import KEY, SCALARS
 
 SOURCES_PER_PART = 10_000
@@ -37,15 +37,20 @@ def new_documents(captures: DataFrame, existing: DataFrame | None = None, order:
     return first if existing is None else first.join(existing.select(*KEY), KEY, "left_anti")
 
 
-def observations(captures: DataFrame, documents: DataFrame, order: str = "ord") -> DataFrame:
+def observations(
+    captures: DataFrame, documents: DataFrame, order: str = "ord", number: bool = False
+) -> DataFrame:
     """One row per capture, titled as its document is titled in the store.
 
     Captures of one revision may dominate; they are spread by order number.
+    With ``number`` any sortable order becomes consecutive numbers.
     """
     titles = documents.select(*KEY, "og_title", "og_description")
     seen = captures.select(
         *KEY, "src", F.col("provenance").alias("sid"), F.col("timestamp").alias("ts"), F.col(order).alias("ord")
     )
+    if number:
+        seen = number_in_order(seen, "ord")
     return salted_join(seen, titles, KEY, "inner", "ord").select(
         *KEY, "og_title", "og_description", "src", "sid", "ts", "ord"
     )

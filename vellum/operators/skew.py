@@ -82,6 +82,17 @@ def first_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str])
     return df.withColumn("_rank", F.row_number().over(spec)).where("_rank = 1").drop("_rank")
 
 
+def number_in_order(df: DataFrame, order: str) -> DataFrame:
+    """Replace any sortable column by consecutive numbers in its order.
+
+    Ranges of the order are numbered side by side; numbers leave a gap only
+    between two ranges. Keep the rows narrow, and write the result before it is
+    used more than once.
+    """
+    ranged = df.repartitionByRange(order).sortWithinPartitions(order)
+    return ranged.withColumn(order, F.monotonically_increasing_id())
+
+
 # rows of one key and bucket, at most: buckets cover this many consecutive order numbers
 BUCKET_BITS = 12
 

@@ -50,6 +50,12 @@ def captures(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def halves(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Earlier and later rows, cut at the middle order number (one value)."""
+    middle = rows.agg(F.floor((F.min("ord") + F.max("ord")) / 2)).first()[0]
+    return rows.where(F.col("ord") <= middle), rows.where(F.col("ord") > middle)
+
+
 def unique_captures(spark: SparkSession, sf: str) -> DataFrame:
     return first_per_digest(captures(spark, sf))
 
@@ -63,7 +69,7 @@ def stored_observations(spark: SparkSession, sf: str) -> DataFrame:
     return observations(unique, new_documents(unique))
 
 
-def pages(spark: SparkSession, sf: str, parts: bool = False) -> DataFrame:
+def pages(spark: SparkSession, sf: str, parts: bool = False, also: tuple[str, ...] = ()) -> DataFrame:
     """``documents`` as document pages; with ``parts`` some pages lack something."""
     n = F.col("ord")
     ms = CREATED_MS + F.floor(n / 6) * 1000
@@ -84,7 +90,7 @@ def pages(spark: SparkSession, sf: str, parts: bool = False) -> DataFrame:
         (START + F.expr("ord div 4") * 37) * 1000 + 999,
         **columns,
     )
-    return captures(spark, sf).select("ord", html.alias("html"))
+    return captures(spark, sf).select("ord", html.alias("html"), *also)
 
 
 def crawl_index(spark: SparkSession, sf: str) -> DataFrame:

@@ -46,11 +46,7 @@ def fold_docs(spark, sf):
 @query(f"WITH {CAPTURES_SQL} {FOLDED_SQL.format(captures='captures')}")
 def fold_onto_old(spark, sf):
     """A1: later captures added to earlier ones."""
-    every = canonical.captures(spark, sf)
-    middle = every.agg(F.floor((F.min("ord") + F.max("ord")) / 2).alias("middle"))
-    halves = every.join(F.broadcast(middle))
-    old = halves.where("ord <= middle").drop("middle")
-    new = halves.where("ord > middle").drop("middle")
+    old, new = canonical.halves(canonical.captures(spark, sf))
     return folded_rows(fold.fold_observations(new, old))
 
 

@@ -26,11 +26,8 @@ def _nested(store: Store):
 def _filled(spark, sf, index: bool = False) -> Store:
     """A store filled in two batches, older captures first."""
     store = Store(spark, scratch_path(spark, "store"))
-    every = canonical.captures(spark, sf)
-    middle = F.broadcast(every.agg(F.floor((F.min("ord") + F.max("ord")) / 2).alias("middle")))
-    halves = every.join(middle)
-    store.add(halves.where("ord <= middle").drop("middle"), index=index)
-    store.add(halves.where("ord > middle").drop("middle"), index=index)
+    for half in canonical.halves(canonical.captures(spark, sf)):
+        store.add(half, index=index)
     return store
 
 
@@ -88,16 +85,10 @@ def stream_fold(spark, sf):
     """Pages land as files, and every poll of a stream adds the new ones."""
     landing, checkpoint = scratch_path(spark, "landing"), scratch_path(spark, "progress")
     store = Store(spark, scratch_path(spark, "store"))
-    pages = canonical.pages(spark, sf).join(
-        canonical.captures(spark, sf).select("ord", "src", "provenance", "digest", "url"), "ord"
-    )
+    pages = canonical.pages(spark, sf, also=("src", "provenance", "digest", "url"))
     schema = "ord bigint, html string, src string, provenance string, digest string, url string"
-    captured = canonical.captures(spark, sf)
-    bounds = captured.agg(F.min("ord").alias("low"), F.max("ord").alias("high"))
-    third = F.floor((F.col("ord") - F.col("low")) * 3 / (F.col("high") - F.col("low") + 1))
-    placed = pages.join(F.broadcast(bounds)).withColumn("third", third)
-    for number in range(3):
-        placed.where(F.col("third") == number).select(*_names(schema)).write.mode("append").parquet(landing)
+    for early_late in canonical.halves(pages.select(*_names(schema))):
+        early_late.write.mode("append").parquet(landing)
         stream = spark.readStream.schema(schema).parquet(landing)
         start_collection(stream, store, _parse_landed, checkpoint, every=None).awaitTermination()
     return folded_rows(_nested(store))

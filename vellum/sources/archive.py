@@ -119,19 +119,22 @@ def _with_record(batch: pa.RecordBatch, dates: list, pages: list, errors: list)
     return pa.RecordBatch.from_arrays(columns, names=batch.schema.names + ["warc_date", "html", "error"])
 
 
-def read_archive(index: DataFrame, root: str) -> DataFrame:
+def read_archive(index: DataFrame, root: str, tasks: int | None = None) -> DataFrame:
     """Fetch and decode every capture of an index.
 
     ``root`` is a URI every executor can read. Captures are grouped by file and
     stretch of the file and read in order, so a file that holds a large share
     of the captures is shared by many tasks. A capture that cannot be read or
     decoded is a row with ``error`` set. Filter first: nothing moves through
-    this step.
+    this step. The number of tasks is explicit, because an index row is tiny
+    and adaptive execution would put thousands of fetches into one task.
     """
+    if tasks is None:
+        tasks = 4 * index.sparkSession.sparkContext.defaultParallelism
     ranged = byte_range(index)
     placed = (
         ranged.withColumn("_stretch", F.floor(F.coalesce("offset", F.lit(0)) / STRETCH))
-        .repartition("filename", "_stretch")
+        .repartition(tasks, "filename", "_stretch")
         .sortWithinPartitions("filename", "offset")
         .drop("_stretch")
     )

@@ -127,9 +127,11 @@ class Store:
 
     def _write_postings(self, rows: DataFrame, version: int) -> None:
         """Ranges of (term, key): a search reads few files, and a word found in
-        every document is spread over many of them."""
+        every document is spread over many of them. Ranges are found by sampling,
+        so the postings are kept first: texts are tokenised once."""
         ordered = ["term", "col", *KEY]
-        ranged = rows.select(*names(POSTINGS)).repartitionByRange(*ordered).sortWithinPartitions(*ordered)
+        kept = self._keep("postings", rows.select(*names(POSTINGS)), version)
+        ranged = kept.repartitionByRange(*ordered).sortWithinPartitions(*ordered)
         self._write("postings", ranged, version)
 
     # ------------------------------------------------------------ changes
@@ -165,7 +167,8 @@ class Store:
         self._write_documents(new_documents(fresh, known), version)
         added = self.spark.read.schema(DOCUMENTS).parquet(self._folder("documents", version))
         titles = known.unionByName(added.select(*KEY, "og_title", "og_description"))
-        self._write("observations", observations(fresh, titles), version)
+        seen = observations(fresh, titles, number=True)
+        self._write("observations", seen.select(*names(OBSERVATIONS)).sortWithinPartitions("ts"), version)
         self._write("processed", fresh.select("digest"), version)
         if index:
             self._write_postings(build_postings(added), version)
@@ -189,18 +192,9 @@ class Store:
         return self._keep(name, stored.join(batch.select(*on).distinct(), on, "left_semi"), version)
 
     def _stage(self, parsed: DataFrame, version: int) -> DataFrame:
-        """The parsed batch, numbered densely in the order of ``ord``.
-
-        Pages are parsed once here; all tables are filled from this copy.
-        """
-        rows = (
-            store_spelling(parsed)
-            .select(*STAGED)
-            .repartitionByRange("ord")
-            .sortWithinPartitions("ord")
-            .withColumn("ord", F.monotonically_increasing_id())
-        )
-        return self._keep("staged", rows, version)
+        """The parsed batch, written as it comes: pages are parsed once, without a
+        shuffle, and all tables are filled from this copy."""
+        return self._keep("staged", store_spelling(parsed).select(*STAGED), version)
 
     def remove(self, keys: DataFrame) -> Commit:
         """Hide documents by key from documents, observations and postings."""
