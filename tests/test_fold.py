@@ -3,7 +3,8 @@ import random
 from pyspark.sql import functions as F
 
 from vellum.operators import explore, fold
-from vellum.operators.skew import first_per, salted_join
+from vellum.operators.skew import first_per, heavy_hashes, salted_join
+from vellum.sources import exports
 
 SCHEMA = (
     "id string, revision bigint, created string, page_title string, og_title string, og_description string, "
@@ -70,11 +71,34 @@ def test_salted_join_equals_the_plain_one(spark):
     b = spark.createDataFrame(right, "k int, v string")
     for how in ("inner", "left", "left_semi", "left_anti"):
         plain = a.join(b, ["k"], how)
-        salted = salted_join(a, b, ["k"], how, "n").select(*plain.columns)
+        salted = salted_join(a, b, ["k"], how, "n", sample=1.0).select(*plain.columns)
+        assert "_salt" in salted._jdf.queryExecution().analyzed().toString()
         key = lambda r: tuple(str(x) for x in r)
         assert sorted(map(tuple, salted.collect()), key=key) == sorted(map(tuple, plain.collect()), key=key), how
 
 
+def test_heavy_keys_are_few(spark):
+    rows = spark.range(200_000).selectExpr("if(id % 3 = 0, -1, id) as k", "id")
+    found = heavy_hashes(rows, ["k"], 0.01)
+    assert found == [spark.sql("select xxhash64(-1L)").first()[0]]
+    assert heavy_hashes(rows.where("k > 0"), ["k"], 0.01) == []
+
+
+def test_exports(spark, tmp_path):
+    rows = captures(spark, [row("A", 1, 'a "q"', "s", 1), row("A", 1, "x", "s", 2)])
+    docs = fold.new_documents(rows)
+    seen = fold.observations(rows, docs)
+    exports.export_ndjson(explore.explore(seen), str(tmp_path / "rows"))
+    text = "".join(p.read_bytes().decode() for p in sorted((tmp_path / "rows").glob("part-*")))
+    line = '{"timestamp":"%s","source":"s","id":"A","title":"a \\"q\\"","snippet":"","revision":"1"}\r\n' % T
+    assert text == line * 2
+    exports.export_ndjson(explore.explore(seen, src="none"), str(tmp_path / "none"))
+    assert "".join(p.read_bytes().decode() for p in (tmp_path / "none").glob("part-*")) == "no data\r\n"
+    exports.export_document_pages(explore.document_pages(docs, seen, fold.nest_sources(seen)), str(tmp_path / "pages"))
+    page = "".join(p.read_text() for p in (tmp_path / "pages").glob("part-*"))
+    assert page.startswith('{"id":"A","last_seen":"%s","instances":[{"id":"A"' % T) and page.count('"src":"s"') == 2
+
+
 def test_paging_visits_every_row_once(spark):
     rand = random.Random(2)
     rows = [row(f"D{rand.randint(0, 9)}", rand.randint(0, 2), "t", rand.choice("ab"), i, f"2026-01-0{rand.randint(1, 3)}T00:00:00Z") for i in range(230)]

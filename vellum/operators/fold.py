@@ -8,7 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions.text import rfc3339_millis
-from vellum.operators.skew import first_per, number_in_order, number_parts, order_bucket, salted_join
+from vellum.operators.skew import (
+    first_per,
+    heavy_hashes,
+    number_in_order,
+    number_parts,
+    order_bucket,
+    salted_join,
+)
 from vellum.schemas import KEY, SCALARS
 
 SOURCES_PER_PART = 10_000
@@ -49,9 +56,10 @@ def observations(
     seen = captures.select(
         *KEY, "src", F.col("provenance").alias("sid"), F.col("timestamp").alias("ts"), F.col(order).alias("ord")
     )
+    heavy = heavy_hashes(seen, KEY)
     if number:
         seen = number_in_order(seen, "ord")
-    return salted_join(seen, titles, KEY, "inner", "ord").select(
+    return salted_join(seen, titles, KEY, "inner", "ord", heavy=heavy).select(
         *KEY, "og_title", "og_description", "src", "sid", "ts", "ord"
     )
 

@@ -183,10 +183,10 @@ def folder_collection(spark, sf):
     return rows.select("id", "revision", F.md5("content").alias("content_md5"), F.col("timestamp").alias("ts"))
 
 
-@query("SELECT '1767225600000' AS cursor")
+@query(f"WITH {SCANS_SQL} SELECT scan_id, scan_time, sort_ts, url FROM scans WHERE sort_ts > 1704700000000")
 def scan_cursor(spark, sf):
-    """The start of a collection, taken before it began, kept with the store."""
-    store = _filled(spark, sf)
-    store.write_cursor("1767225600000")
-    marks = store.read("processed").limit(1)
-    return marks.select(F.lit(store.read_cursor()).alias("cursor"))
+    """The next collection starts at the cursor the last one left in the store."""
+    store = Store(spark, scratch_path(spark, "store"))
+    store.write_cursor("1704700000000")
+    later = scans.collect_since(scans.parse_scan_lines(canonical.scan_lines(spark, sf)), store.read_cursor())
+    return later.select("scan_id", "scan_time", F.col("sort_key.ts").alias("sort_ts"), "url")

@@ -13,7 +13,6 @@ import sys
 import uuid
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -123,7 +122,7 @@ def write_archive(pages: DataFrame, root: str) -> DataFrame:
 
     def run(batches):
         name = f"{uuid.uuid4().hex}.warc.gz"
-        filesystem, path = fs.FileSystem.from_uri(f"{root}/{name}")
+        filesystem, path = locate(f"{root}/{name}")
         filesystem.create_dir(path.rsplit("/", 1)[0], recursive=True)
         offset = 0
         with filesystem.open_output_stream(path, compression=None) as out:
@@ -149,7 +148,7 @@ def write_html_files(pages: DataFrame, root: str) -> DataFrame:
     """Write one HTML file per row of (key, html); key and file name come back."""
 
     def run(batches):
-        filesystem, base = fs.FileSystem.from_uri(root)
+        filesystem, base = locate(root)
         filesystem.create_dir(base, recursive=True)
         for batch in batches:
             names = [f"{key:012d}.html" for key in batch["key"].to_pylist()]

@@ -77,6 +77,13 @@ def _decode(stream: GzipFile) -> tuple[str, str]:
     return date, stream.read(max(size, 0)).decode("utf-8", "replace")
 
 
+def locate(uri: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of a URI or an absolute path."""
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = uri[len("file:") :]
+    return fs.FileSystem.from_uri(uri)
+
+
 def _read_stretch(root: str):
     """Task body: open each file once, read its ranges in order of offset."""
 
@@ -93,11 +100,16 @@ def _read_stretch(root: str):
                     if offset is None or length is None or offset < 0 or length < 1:
                         raise RecordError("bad_range")
                     if name != opened_name:
-                        filesystem, path = fs.FileSystem.from_uri(f"{root}/{name}")
-                        opened_name, opened = None, filesystem.open_input_file(path)
+                        if opened is not None:
+                            opened.close()
+                        opened_name, opened = None, None
+                        filesystem, path = locate(f"{root}/{name}")
+                        opened = filesystem.open_input_file(path)
                         opened_name = name
+                    if offset >= opened.size():
+                        raise RecordError("bad_range")
                     opened.seek(offset)
-                    date, page = decode_record(opened.read(length))
+                    date, page = decode_record(opened.read(min(length, opened.size() - offset)))
                 except RecordError as failure:
                     error = str(failure)
                 except (OSError, ValueError, TypeError):
