@@ -17,6 +17,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellum.sources.archive import locate
 
 # tasks get these functions with the plan; executors need no copy of the package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
