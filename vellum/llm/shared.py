@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vellum.session import scratch_path
 
@@ -51,13 +53,54 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def with_column_per_batch(
+    docs: DataFrame, text_col: str, label: str, kind: str, arrow: pa.DataType, function: Callable[[list], list]
+) -> DataFrame:
+    """Input rows with a column made from a batch's texts; an input column of that name is replaced."""
+    docs = docs.drop(label)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = pa.array(function(batch.column(at).to_pylist()), arrow)
+            yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, label])
+
+    field = T.StructField(label, T.StructType.fromDDL(f"x {kind}")[0].dataType)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, field]))
+
+
+def fold(id_col: str, folds: int) -> Column:
+    """Remainder of the checksum of an id as text; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
+
+
+def gram_buckets(words: list[str], orders: range, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the character n-grams of words with their borders, and the word each belongs to.
+
+    The hash is the same in every process and takes ``2 ** bits`` values.
+    """
+    code = np.frombuffer("".join([f"\x02{w}\x03" for w in words]).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(words)), np.fromiter((len(w) + 2 for w in words), np.int64, len(words)))
+    buckets, owners = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    h = np.zeros(len(code), np.uint64)
+    for order in range(1, orders.stop):
+        n = len(code) - order + 1
+        if n <= 0:
+            break
+        h = h[:n] * np.uint64(0x100000001B3) + code[order - 1 :] + np.uint64(order)
+        if order in orders:
+            mixed = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+            inside = owner[:n] == owner[order - 1 :]
+            buckets.append((mixed >> np.uint64(64 - bits)).astype(np.int64)[inside])
+            owners.append(owner[:n][inside])
+    return np.concatenate(buckets), np.concatenate(owners)
+
+
 def kept_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` whose (id, text hash) is in ``kept``; one of equal rows.
 
     ``kept`` has the columns ``_id`` and ``_hash``, each pair once.
     """
-    from pyspark.sql import Window
-
     keyed = docs.withColumn("_key_hash", text_hash(text_col))
     met = keyed.join(kept, keyed[id_col].eqNullSafe(kept["_id"]) & (keyed["_key_hash"] == kept["_hash"]), "left_semi")
     first = F.row_number().over(Window.partitionBy(id_col, "_key_hash").orderBy(id_col))
