@@ -232,7 +232,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
     for r in found:
         if r["script"] is not None and r["n"] >= SCRIPT_SHARE * letters[place[r["lang"]]]:
             scripts.setdefault(r["script"], []).append(place[r["lang"]])
-    return Model(langs, table, scripts)
+    return Model(langs, table, {script: sorted(own) for script, own in scripts.items()})
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", label: str = "language") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.shared import written
+from vellum.llm.shared import row_key, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: A source's documents are summed in this many ranges of their random number.
@@ -120,3 +120,20 @@ def mix(
         (F.col("copies") * F.col("size")).alias("taken"),
         *carry,
     )
+
+
+def mixed_rows(
+    docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", copy: str = "copy", **options
+) -> DataFrame:
+    """Input rows as often as the mix takes them, numbered by ``copy`` from 1; rows not taken are gone."""
+    keyed = docs.drop(copy).withColumn("_key", row_key(docs, id_col, text_col, source_col))
+    mixed = mix(keyed, id_col=id_col, source_col=source_col, text_col=text_col, carry=("_key",), **options)
+    taken = mixed.groupBy("_key").agg(
+        F.min("copies").alias("_least"), F.sum("copies").alias("_all"), F.count(F.lit(1)).alias("_rows")
+    )
+    row = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
+    met = keyed.join(taken.where("_all > 0"), "_key").withColumn("_row", row)
+    more = (F.col("_row") <= F.col("_all") - F.col("_least") * F.col("_rows")).cast("long")
+    copies = met.withColumn("_copies", F.col("_least") + more).where("_copies > 0")
+    names = [c for c in docs.columns if c != copy]
+    return copies.select(*names, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias(copy))

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import decontaminate, langid, licenses, mixing, quality, secrets, simhash, urlfilter
+import corpus_pipeline
+from vellum.llm import covertree, decontaminate, langid, licenses, mixing, quality, secrets, simhash, toxicity, urlfilter
 from vellum.llm.shared import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -288,3 +289,24 @@ from p left join fits using (r)
 def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), RULES)
     return found.select("page_id", "judged.host", "judged.path", "judged.rule", "judged.verdict")
+
+
+@query()
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold("doc_id", 3) == 1
+    labels = table(spark, sf_dir, "labels").where(~held_out)
+    model = toxicity.fit(docs.where(~held_out), labels, "toxic", corpus=docs)
+    return toxicity.score(docs, model, label="score").select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
+@query()
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -96,12 +96,23 @@ def gram_buckets(words: list[str], orders: range, bits: int) -> tuple[np.ndarray
     return np.concatenate(buckets), np.concatenate(owners)
 
 
+def row_key(docs: DataFrame, id_col: str, text_col: str, *more: str) -> Column:
+    """A key without nulls from id and text; rows that share it are copies of one row."""
+    parts = [docs[id_col], *(docs[c] for c in more)]
+    return key_of([F.xxhash64(p.isNull(), p) for p in parts[1:]], docs[id_col], text_hash(text_col))
+
+
+def key_of(more: list[Column], row_id: Column, row_hash: Column) -> Column:
+    return F.concat_ws(":", F.coalesce(row_id.cast("string"), F.lit("null")), row_hash, *more)
+
+
 def kept_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` whose (id, text hash) is in ``kept``; one of equal rows.
 
-    ``kept`` has the columns ``_id`` and ``_hash``, each pair once.
+    ``kept`` has the columns ``_id`` and ``_hash``. The join and the choice use
+    one key, so texts are shuffled once.
     """
-    keyed = docs.withColumn("_key_hash", text_hash(text_col))
-    met = keyed.join(kept, keyed[id_col].eqNullSafe(kept["_id"]) & (keyed["_key_hash"] == kept["_hash"]), "left_semi")
-    first = F.row_number().over(Window.partitionBy(id_col, "_key_hash").orderBy(id_col))
-    return met.withColumn("_row", first).where("_row = 1").select(*[docs[c] for c in docs.columns])
+    keys = kept.select(key_of([], F.col("_id"), F.col("_hash")).alias("_key"))
+    met = docs.withColumn("_key", row_key(docs, id_col, text_col)).join(keys, "_key", "left_semi")
+    first = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
+    return met.withColumn("_row", first).where("_row = 1").select(*docs.columns)
