@@ -40,7 +40,7 @@ def test_run_against_plain_stages(spark):
 def test_stages_with_odd_rows(spark):
     kind = "doc_id long, text string, lang string, source string, n_chars long"
     text = "the quick brown fox jumps over the lazy dog " * 5
-    rows = [(1, text, "en", "a", 5), (1, text, "en", "a", 5), (2, None, None, None, None), (3, "", "en", "b", 0), (None, text + "end", "en", None, 1)]
+    rows = [(1, text, "en", "a", 5), (1, text, "en", "a", 5), (2, None, None, None, None), (3, "", "en", "b", 0), (None, "an entirely different line of words", "en", None, 1)]
     for docs in (spark.createDataFrame(rows, kind), spark.createDataFrame([], kind)):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, docs, DATA)
