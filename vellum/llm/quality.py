@@ -10,7 +10,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.shared import gram_buckets, per_batch, text_hash, with_column_per_batch
+from vellum.llm.shared import drawn, gram_buckets, per_batch, text_hash, with_column_per_batch
 
 #: Labelled rows a model is fitted on, at most; those with the smallest hash.
 SAMPLE = 4000
@@ -151,8 +151,9 @@ def fit(
         F.col(id_col).alias("_id"), (F.col(label_col) > 0).cast("int").alias("_label")
     )
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    drawn = known.distinct().orderBy(F.xxhash64("_id"), "_id", "_label").limit(sample)
-    joined = texts.join(F.broadcast(drawn), "_id").select("_label", "_text", text_hash("_text").alias("_hash"))
+    known = known.where("_id is not null").distinct()
+    chosen = drawn(known, F.struct("_id", "_label"), sample, known.count())
+    joined = texts.join(F.broadcast(chosen), "_id").select("_label", "_text", text_hash("_text").alias("_hash"))
     joined = joined.orderBy("_hash", "_label").limit(sample)
 
     def run(batch: pa.RecordBatch) -> dict:

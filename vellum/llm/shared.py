@@ -74,6 +74,18 @@ def fold(id_col: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def drawn(df: DataFrame, key: Column, size: int, rows: int) -> DataFrame:
+    """At most ``size`` of about ``rows`` rows: those with the smallest hashes of a key.
+
+    Tasks first drop rows whose hash is above the share that is wanted, with
+    some to spare, so only about ``size`` rows meet for the exact cut.
+    """
+    share = min(1.0, 1.2 * size / max(rows, 1) + 1e-9)
+    bound = int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1
+    hashed = df.withColumn("_drawn", F.xxhash64(key)).where(F.col("_drawn") <= bound)
+    return hashed.orderBy("_drawn").limit(size).drop("_drawn")
+
+
 def gram_buckets(words: list[str], orders: range, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the character n-grams of words with their borders, and the word each belongs to.
 

@@ -20,7 +20,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.shared import gram_buckets, per_batch, text_hash, with_column_per_batch, written
+from vellum.llm.shared import drawn, gram_buckets, per_batch, text_hash, with_column_per_batch, written
 
 # fixed values: what characters stand for in disguised words
 LEET = {
@@ -287,12 +287,12 @@ def _labelled(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, t
     known = labels.where(F.col(label_col).isNotNull()).select(
         F.col(id_col).alias("_id"), (F.col(label_col) > 0).cast("int").alias("_label")
     )
-    known = known.distinct()
-    order = (F.xxhash64("_id"), "_id")
-    drawn = known.where("_label = 1").orderBy(*order).limit(sample)
-    drawn = drawn.union(known.where("_label = 0").orderBy(*order).limit(sample))
+    known = known.where("_id is not null").distinct()
+    parts = [known.where(F.col("_label") == label) for label in (1, 0)]
+    toxic, clean = (drawn(part, F.col("_id"), sample, part.count()) for part in parts)
+    chosen = toxic.union(clean)
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    joined = texts.join(F.broadcast(drawn), "_id").select("_label", "_text", text_hash("_text").alias("_hash"))
+    joined = texts.join(F.broadcast(chosen), "_id").select("_label", "_text", text_hash("_text").alias("_hash"))
     return joined.dropDuplicates(["_hash", "_label"])
 
 
