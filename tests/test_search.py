@@ -2,8 +2,9 @@ import random
 import sqlite3
 
 import pytest
+from pyspark.sql import functions as F
 
-from vellum.operators.search import build_postings, extend_postings, initial, near, phrase, prefix, search, search_postings, term
+from vellum.operators.search import build_postings, initial, near, phrase, prefix, search, search_postings, term
 
 SCHEMA = "id string, revision bigint, og_title string, content string, links array<string>"
 ROWS = [
@@ -50,10 +51,15 @@ def test_no_query_keeps_all(docs):
     assert search(docs, None).count() == 5
 
 
-def test_extend_adds_new_documents_only(spark, docs, postings):
-    more = spark.createDataFrame([("6", 1, "six", "six", []), ("1", 1, "changed", "changed", [])], SCHEMA)
-    added = extend_postings(more, postings)
-    assert {r["id"] for r in added.collect()} == {"6"}
+def test_words_of_a_query_are_words_of_its_text(spark):
+    """Every character, alone and inside a word, is split and folded alike in texts and queries."""
+    from vellum.functions.text import query_tokens, tokens
+
+    codes = [c for c in range(1, 0x10000) if not 0xD800 <= c <= 0xDFFF]
+    texts = [" ".join(f"a{chr(c)}b" for c in codes[k : k + 4096]) for k in range(0, len(codes), 4096)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, t string").select("n", tokens(F.col("t")).alias("w"))
+    for r in rows.collect():
+        assert list(query_tokens(texts[r["n"]])) == r["w"]
 
 
 def test_random_queries_against_a_full_text_index(spark):

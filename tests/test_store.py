@@ -5,7 +5,7 @@ from vellum.operators.search import search_postings, term
 from vellum.plans.collect import folder_captures, scan_captures
 from vellum.sources.folder import read_html_folder
 from vellum.sources.scans import read_scans, stream_scans
-from vellum.sources.store import Store
+from vellum.sources.store import Attempt, Store
 from vellum.streaming.collect import apply_batch, collect_scans
 
 from test_extract import BODY, DCT, END, HEAD, TIME
@@ -75,28 +75,102 @@ def test_postings_are_built_when_missing(spark, store):
     assert search_postings(store.read("postings"), term("b")).count() == 1
 
 
-def test_a_batch_without_marker_is_not_seen(spark, store):
+def counts(store):
+    return {t: store.read(t).count() for t in ("documents", "observations", "processed", "postings", "quarantine")}
+
+
+LATER = {
+    "cursor": lambda store, batch: store.write_cursor("1"),
+    "remove": lambda store, batch: store.remove(store.spark.createDataFrame([("Z", 1)], "id string, revision bigint")),
+    "index": lambda store, batch: store.extend_index(),
+    "postings": lambda store, batch: store.ensure_postings(),
+    "add": lambda store, batch: store.add(batch),
+}
+
+
+@pytest.mark.parametrize("broken", ["quarantine", "counters", "documents", "observations", "processed", "postings", "marker"])
+def test_an_attempt_that_breaks_off_is_never_seen(spark, store, tmp_path, monkeypatch, broken):
+    batch = captures(spark, BATCH[1:])
     store.add(captures(spark, BATCH[:1]))
     now = store.current()
-    commit, store._commit = store._commit, lambda _: (_ for _ in ()).throw(RuntimeError("lost"))
-    with pytest.raises(RuntimeError):
-        store.add(captures(spark, BATCH[1:2]))
-    store._commit = commit
-    assert store.current() == now and [x[0] for x in state(store)] == ["A"]
+    write, publish = Attempt.write, Store.publish
+
+    def dying_write(self, table, rows):
+        write(self, table, rows)
+        if table == broken:
+            raise RuntimeError("broken off")
+
+    def dying_publish(self, commit):
+        raise RuntimeError("broken off")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(Attempt, "write", dying_write)
+        if broken == "marker":
+            patch.setattr(Store, "publish", dying_publish)
+        with pytest.raises(RuntimeError):
+            store.add(batch)
+    assert store.current() == now
+    before = counts(store)
+    for change in list(LATER)[:-1]:
+        LATER[change](store, batch)
+        assert counts(store) == before, change
+    store.add(batch)
+    once = Store(spark, str(tmp_path / "once"))
+    once.add(captures(spark, BATCH))
+    assert state(store) == state(once) and counts(store) == counts(once)
+
+
+def test_the_second_of_two_writers_fails_and_changes_nothing(spark, store):
+    store.add(captures(spark, BATCH[:1]))
+    mine = Attempt(store, store.current())
     store.add(captures(spark, BATCH[1:2]))
-    assert [x[0] for x in state(store)] == ["A", "B"]
+    mine.write("documents", store.read("documents").drop("batch"))
+    before = counts(store)
     with pytest.raises(RuntimeError):
-        store._commit(now)
+        mine.publish()
+    assert counts(store) == before and [x[0] for x in state(store)] == ["A", "B"]
+
+
+def test_an_unfinished_marker_is_passed_over(spark, store, tmp_path):
+    store.add(captures(spark, BATCH[:1]))
+    (tmp_path / "store" / "commits" / f"{2:012d}.json").write_text('{"version": 2, "tab')
+    assert store.current().version == 1 and [x[0] for x in state(store)] == ["A"]
+    assert store.add(captures(spark, BATCH[1:2])).version == 3
+    assert [x[0] for x in state(store)] == ["A", "B"]
+
+
+def test_compaction_keeps_rows_and_removals(spark, store):
+    store.add(captures(spark, BATCH[:1]))
+    store.remove(spark.createDataFrame([("A", 1)], "id string, revision bigint"))
+    store.add(captures(spark, [row("A", 1, "again", "s", 9)]))
+    store.add(captures(spark, BATCH[1:2]), index=False)
+    before = state(store), counts(store)
+    for table in ("documents", "observations", "processed", "postings", "quarantine"):
+        store.compact(table)
+    assert (state(store), counts(store)) == before
+    tables = store.current().tables
+    assert [len(tables[t]) for t in ("documents", "observations", "processed", "postings")] == [2, 1, 1, 1]
+    store.extend_index()
+    assert search_postings(store.read("postings"), term("b")).count() == 1
+    assert search_postings(store.read("postings"), term("again")).count() == 1
+
+
+def test_intermediate_results_go(spark, store, tmp_path):
+    store.add(captures(spark, BATCH))
+    assert list((tmp_path / "store" / "work").iterdir()) == []
 
 
 def test_cursor_and_replay(spark, store):
     assert store.read_cursor() is None
     store.write_cursor("1")
-    apply_batch(store, captures(spark, BATCH[:1]), 0)
-    apply_batch(store, captures(spark, BATCH[1:2]), 0)
+    apply_batch(store, captures(spark, BATCH[:1]), "s", 0)
+    apply_batch(store, captures(spark, BATCH[1:2]), "s", 0)
     assert [x[0] for x in state(store)] == ["A"] and store.read_cursor() == "1"
-    apply_batch(store, captures(spark, BATCH[1:2]), 1)
+    apply_batch(store, captures(spark, BATCH[1:2]), "s", 1)
     assert [x[0] for x in state(store)] == ["A", "B"]
+    # another stream starts at 0 too
+    apply_batch(store, captures(spark, [row("Z", 1, "z", "s", 20)]), "t", 0)
+    assert [x[0] for x in state(store)] == ["A", "B", "Z"] and store.current().streams == {"s": 1, "t": 0}
 
 
 SCAN = '{"_id": "%s", "task": {"time": "2026-01-02T03:04:05Z", "visibility": "%s"}, "page": {"url": "%s"}, "sort": [%d, "%s"]}'

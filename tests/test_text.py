@@ -19,6 +19,11 @@ def test_json_literal(spark):
         '"x\\ud83dy"': "x\ufffdy",
         '"\\ude00"': "\ufffd",
         '"\\\\ud83d"': "\\ud83d",
+        **{'"' + "\\\\" * n + '\\ud83d"': "\\" * n + "\ufffd" for n in (31, 32, 33, 34, 1000)},
+        '"\\\\ud83d\\ude00"': "\\ud83d\ufffd",
+        '"\\ude00\\ud83d"': "\ufffd\ufffd",
+        '"\\ud83d\\ud83d\\ude00\\ude00x"': "\ufffd😀\ufffdx",
+        '"' + "ab\\n" * 5000 + '\\ud83d"': "ab\n" * 5000 + "\ufffd",
         '"ab\tcd"': None,
         '"ab\\qcd"': None,
         '"ab","cd"': None,
@@ -35,9 +40,9 @@ def test_unicode_trim(spark):
 
 
 def test_time(spark):
-    numbers = ["1.759713531746E12", "1.7E", "1.2.3", "1E400", "-1", "0", "253402300800000"]
+    numbers = ["1.759713531746E12", "1.7E", "1.2.3", "1E400", "-1", "0", "253402300800000", "2.6E14", "9.3E15"]
     shown = column(spark, numbers, lambda c: text.rfc3339_millis(text.epoch_millis(c)))
-    assert shown == ["2025-10-06T01:18:51Z", None, None, None, "1969-12-31T23:59:59Z", "1970-01-01T00:00:00Z", None]
+    assert shown == ["2025-10-06T01:18:51Z", None, None, None, "1969-12-31T23:59:59Z", "1970-01-01T00:00:00Z", "10000-01-01T00:00:00Z", "10209-01-27T06:13:20Z", None]
 
 
 def test_time_does_not_depend_on_the_session_zone(spark):

@@ -22,20 +22,18 @@ def unicode_trim(text: Column) -> Column:
 # a complete string literal: no bare quote, no raw control character
 _LITERAL = r'(?s)\A"(?:[^"\\\x00-\x1F]++|\\.)*+"\z'
 _HEX = "[0-9a-fA-F]"
-_EVEN = r"(?<![\\])(?<slashes>(?:\\\\){0,32})"
-_LONE_HIGH = _EVEN + rf"\\u[dD][89abAB]{_HEX}{{2}}(?!\\u[dD][c-fC-F]{_HEX}{{2}})"
-_LONE_LOW = rf"(?<!\\u[dD][89abAB]{_HEX}{{2}})" + _EVEN + rf"\\u[dD][c-fC-F]{_HEX}{{2}}"
+_HIGH, _LOW = rf"\\u[dD][89abAB]{_HEX}{{2}}", rf"\\u[dD][c-fC-F]{_HEX}{{2}}"
+# escapes are stepped over one by one from where the last match ended, so each is
+# seen whole: text, a plain escape, a pair of surrogates, any other code unit
+_WHOLE = rf"[^\\]++|\\[^u]|{_HIGH}{_LOW}|\\u(?![dD][89a-fA-F]){_HEX}{{4}}"
+_LONE = rf"(?s)\G(?<before>(?:{_WHOLE})*+)\\u[dD][89a-fA-F]{_HEX}{{2}}"
 
 
 def json_literal(literal: Column) -> Column:
     """Decode a quoted JSON string; NULL unless it is exactly one valid literal."""
     no_lone = F.when(
         F.contains(F.lower(literal), F.lit("\\ud")),
-        F.regexp_replace(
-            F.regexp_replace(literal, _LONE_HIGH, r"${slashes}\\ufffd"),
-            _LONE_LOW,
-            r"${slashes}\\ufffd",
-        ),
+        F.regexp_replace(literal, _LONE, r"${before}\\ufffd"),
     ).otherwise(literal)
     decoded = F.get(F.from_json(F.concat(F.lit("["), no_lone, F.lit("]")), "array<string>"), F.lit(0))
     inner = F.substr(literal, F.lit(2), F.length(literal) - 2)
@@ -47,8 +45,8 @@ def json_literal(literal: Column) -> Column:
 
 # ---------------------------------------------------------------- time
 
-# last millisecond of the year 9999, and the first of the year 1
-_MAX_MS = 253402300799999
+# the last millisecond a timestamp can hold, in the year 294247, and the first of the year 1
+_MAX_MS = 9223372036854775
 _MIN_MS = -62135596800000
 
 
@@ -59,11 +57,14 @@ def epoch_millis(number: Column) -> Column:
 
 
 def rfc3339_seconds(seconds: Column) -> Column:
-    """Epoch seconds as ``yyyy-MM-ddTHH:mm:ssZ`` whatever the session time zone is."""
+    """Epoch seconds as ``yyyy-MM-ddTHH:mm:ssZ`` whatever the session time zone is.
+
+    Years of five and six digits have no sign.
+    """
     clock = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(
         secs=seconds.cast("decimal(18,6)")
     )
-    return F.concat(F.translate(clock.cast("string"), " ", "T"), F.lit("Z"))
+    return F.concat(F.translate(clock.cast("string"), " +", "T"), F.lit("Z"))
 
 
 def rfc3339_millis(ms: Column) -> Column:
@@ -134,16 +135,11 @@ def link_tokens(links: Column) -> Column:
     return tokens(F.to_json(links))
 
 
-def query_tokens(text: str) -> list[str]:
-    """The same rule for the few words of a query, in plain Python."""
-    words, word = [], ""
-    for char in text:
-        kind = unicodedata.category(char)
-        if char in _MARKS:
-            continue
-        if kind[0] in "LN" or kind == "Co":
-            word += "".join(_fold(low) for low in char.lower() if low not in _MARKS)
-        elif word:
-            words.append(word)
-            word = ""
-    return words + [word] if word else words
+@lru_cache(maxsize=1000)
+def query_tokens(text: str) -> tuple[str, ...]:
+    """The few words of a query by the same rule; the plan holds one literal row, so no job runs."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.active()
+    row = spark.sql("SELECT * FROM VALUES (:text) AS query(text)", {"text": text})
+    return tuple(row.select(tokens(F.col("text"))).first()[0])

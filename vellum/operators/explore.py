@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions.text import instant, rfc3339_seconds
-from vellum.operators.skew import first_per, number_parts, salted_join
+from vellum.operators.skew import first_per, number_parts
 from vellum.schemas import KEY
 
 PAGE = 100
@@ -33,9 +33,9 @@ def explode_sources(docs: DataFrame) -> DataFrame:
     )
 
 
-def source_field(column: str, name: str, as_json: bool = False) -> Column:
-    """Field of an observation, from a struct or from its JSON text."""
-    return F.get_json_object(column, f"$.{name}") if as_json else F.col(f"{column}.{name}")
+def source_field(column: str, name: str) -> Column:
+    """Field of an observation."""
+    return F.col(f"{column}.{name}")
 
 
 def explore_columns(seen: DataFrame) -> DataFrame:
@@ -89,7 +89,7 @@ def next_cursor(rows: DataFrame, n: int = PAGE) -> DataFrame:
 
 def join_hits(seen: DataFrame, hits: DataFrame) -> DataFrame:
     """Observations of the documents found by a search."""
-    return salted_join(seen, hits.select(*KEY), KEY, "left_semi", "ord")
+    return seen.join(hits.select(*KEY), KEY, "left_semi")
 
 
 def explore_filter(
@@ -179,23 +179,37 @@ def search_after(
 
 # ---------------------------------------------------------------- pages
 
-# instances and their observations together, on one page row
-PAGE_WEIGHT = 100_000
+# bytes on one page row, about; what an instance and an observation take besides the text
+PAGE_BYTES = 16_000_000
+INSTANCE_BYTES, SOURCE_BYTES = 200, 100
 _MAX_REVISION = 4294967295
 
 
-def document_pages(
-    docs: DataFrame, seen: DataFrame, listed: DataFrame, chunk: int = PAGE_WEIGHT
-) -> DataFrame:
+def document_pages(docs: DataFrame, seen: DataFrame, listed: DataFrame, chunk: int = PAGE_BYTES) -> DataFrame:
     """Every document with its instances, newest revision first.
 
-    ``listed`` are the nested sources. A document heavier than ``chunk`` goes on
-    in rows with a higher ``part``. Where the sources of one revision have
-    several parts, the later ones are rows of their own that name the revision
-    in ``continues``. ``last_seen`` is on the first row of a document.
+    ``listed`` are the nested sources. A document that takes more than about
+    ``chunk`` bytes goes on in rows with a higher ``part``. Where the sources of
+    one revision have several parts, the later ones are rows of their own that
+    name the revision in ``continues``. ``last_seen`` is on the first row of a
+    document. Rows are numbered by their sizes alone; texts join them after that.
     """
-    first = docs.withColumn("_piece", F.lit(0))
-    units = listed.withColumnRenamed("part", "_piece").join(first, [*KEY, "_piece"], "left")
+    pieces = listed.withColumnRenamed("part", "_piece")
+    text = F.coalesce(F.octet_length("content"), F.lit(0)).cast("bigint")
+    later = F.col("_piece") > 0
+    place = F.lit(_MAX_REVISION) - F.col("revision")
+    weight = F.col("_text") + INSTANCE_BYTES + SOURCE_BYTES * F.size("sources")
+    narrow = pieces.join(docs.select(*KEY, text.alias("_text")), KEY).select(
+        *KEY,
+        "_piece",
+        F.when(later, F.col("revision")).otherwise(-1).alias("_continues"),
+        place.alias("_place"),
+        F.when(later, F.col("_piece").cast("bigint")).otherwise(F.shiftright(place, 4)).alias("_bucket"),
+        F.when(later, chunk).otherwise(weight).alias("_weight"),
+    )
+    numbered = number_parts(narrow, ["id", "_continues"], ["_bucket"], chunk, F.col("_weight")).select(
+        *KEY, "_piece", "_continues", "_place", "part"
+    )
     times = F.transform(
         "sources",
         lambda s: F.struct(
@@ -215,19 +229,9 @@ def document_pages(
         F.col("image_urls").alias("images"),
         times.alias("sources"),
     )
-    later = F.col("_piece") > 0
-    place = F.lit(_MAX_REVISION) - F.col("revision")
-    placed = units.select(
-        "id",
-        F.when(later, F.col("revision")).otherwise(-1).alias("_continues"),
-        place.alias("_place"),
-        F.when(later, F.col("_piece").cast("bigint")).otherwise(F.shiftright(place, 4)).alias("_bucket"),
-        F.when(later, chunk).otherwise(1 + F.size("sources")).alias("_weight"),
-        instance.alias("_instance"),
-    )
-    numbered = number_parts(placed, ["id", "_continues"], ["_bucket"], chunk, F.col("_weight"))
-    pages = numbered.groupBy("id", "_continues", "part").agg(
-        F.sort_array(F.collect_list(F.struct("_place", "_instance"))).alias("_placed")
+    units = pieces.join(numbered, [*KEY, "_piece"]).join(docs, KEY)
+    pages = units.groupBy("id", "_continues", "part").agg(
+        F.sort_array(F.collect_list(F.struct("_place", instance.alias("_instance")))).alias("_placed")
     )
     seen_last = last_seen(seen).select("id", F.lit(-1).cast("bigint").alias("_continues"), F.lit(0).alias("part"), "last_seen")
     return pages.join(seen_last, ["id", "_continues", "part"], "left").select(

@@ -125,12 +125,6 @@ def split_quarantine(df: DataFrame, status: str = "parse_status") -> tuple[DataF
     return df.where(good), df.where(~good)
 
 
-def source_struct(src: str | Column, sid: Column, ts: Column) -> Column:
-    """One observation: who saw the document, under which id, when."""
-    label = F.lit(src) if isinstance(src, str) else src
-    return F.struct(label.alias("src"), sid.alias("id"), ts.alias("ts"))
-
-
 def content_digest(raw: Column) -> Column:
     """SHA-1 of the raw bytes in hex."""
     return F.sha1(raw)

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions.urls import DOCUMENT_PREFIX, document_id
-from vellum.operators.skew import salted_join
 
 CANDIDATE = "candidate"
 
@@ -54,16 +53,9 @@ def with_document_id(df: DataFrame, url: str = "url") -> DataFrame:
     return df.withColumn("id", document_id(F.col(url))).where(F.col("id") != "")
 
 
-def skip_processed(
-    df: DataFrame, processed: DataFrame, digest: str = "digest", spread: str | None = None
-) -> DataFrame:
-    """Captures whose digest the store does not hold.
-
-    ``spread`` names a column that differs between rows of one digest; a digest
-    that fills a large share of the rows is then split over many tasks.
-    """
-    seen = processed.select(F.col("digest").alias(digest))
-    return salted_join(df, seen, [digest], "left_anti", spread)
+def skip_processed(df: DataFrame, processed: DataFrame, digest: str = "digest") -> DataFrame:
+    """Captures whose digest the store does not hold."""
+    return df.join(processed.select(F.col("digest").alias(digest)), digest, "left_anti")
 
 
 def classify_captures(
@@ -71,7 +63,6 @@ def classify_captures(
     origin: str,
     processed: DataFrame | None = None,
     digest: str = "digest",
-    spread: str | None = None,
 ) -> DataFrame:
     """Add ``id`` and ``status``: the first rule that skips a row, or candidate.
 
@@ -83,9 +74,7 @@ def classify_captures(
         seen = df.withColumn("_seen", F.lit(False))
     else:
         marks = processed.select(F.col("digest").alias(digest)).distinct().withColumn("_mark", F.lit(True))
-        seen = salted_join(df, marks, [digest], "left", spread).withColumn(
-            "_seen", F.col("_mark").isNotNull()
-        )
+        seen = df.join(marks, digest, "left").withColumn("_seen", F.col("_mark").isNotNull())
     crawl = origin == "crawl"
     rules = F.when(F.lit(False), "")
     if not crawl:

@@ -8,14 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions.text import rfc3339_millis
-from vellum.operators.skew import (
-    first_per,
-    heavy_hashes,
-    number_in_order,
-    number_parts,
-    order_bucket,
-    salted_join,
-)
+from vellum.operators.skew import first_per, number_in_order, number_parts, order_bucket
 from vellum.schemas import KEY, SCALARS
 
 SOURCES_PER_PART = 10_000
@@ -49,19 +42,16 @@ def observations(
 ) -> DataFrame:
     """One row per capture, titled as its document is titled in the store.
 
-    Captures of one revision may dominate; they are spread by order number.
+    Captures of one revision may dominate; adaptive execution splits them.
     With ``number`` any sortable order becomes consecutive numbers.
     """
     titles = documents.select(*KEY, "og_title", "og_description")
     seen = captures.select(
         *KEY, "src", F.col("provenance").alias("sid"), F.col("timestamp").alias("ts"), F.col(order).alias("ord")
     )
-    heavy = heavy_hashes(seen, KEY)
     if number:
         seen = number_in_order(seen, "ord")
-    return salted_join(seen, titles, KEY, "inner", "ord", heavy=heavy).select(
-        *KEY, "og_title", "og_description", "src", "sid", "ts", "ord"
-    )
+    return seen.join(titles, KEY).select(*KEY, "og_title", "og_description", "src", "sid", "ts", "ord")
 
 
 def nest_sources(
@@ -88,7 +78,7 @@ def fold_observations(
     """Captures folded into document revisions with their sources (A1).
 
     ``old`` holds earlier captures in the same shape: their scalars win and
-    their sources come first. Scalars are on part 0.
+    their sources come first. Scalars are on every part.
     """
     captures = store_spelling(captures)
     columns = [*KEY, *SCALARS, "src", "provenance", "timestamp", order]
@@ -104,6 +94,5 @@ def fold_observations(
 
 
 def attach_sources(documents: DataFrame, listed: DataFrame) -> DataFrame:
-    """Documents beside their parts; later parts carry the key and sources only."""
-    first = documents.withColumn("part", F.lit(0))
-    return listed.join(first, [*KEY, "part"], "left").select(*KEY, "part", *SCALARS, "sources")
+    """Every part of the sources with its document's scalars; (id, revision, part) is unique."""
+    return listed.join(documents, KEY).select(*KEY, "part", *SCALARS, "sources")

@@ -48,25 +48,46 @@ class Query:
     def phrases(self) -> list["Phrase"]:
         raise NotImplementedError
 
+    def has_near(self) -> bool:
+        return False
+
     def test(self, starts: Callable[["Phrase", str], Column]) -> Column:
         raise NotImplementedError
 
+    def possible(self, present: Callable[["Phrase", str], Column], exact: bool = False) -> Column:
+        """What must hold, from the words a column has; ``exact`` if that is all the query asks."""
+        raise NotImplementedError
+
 
 @dataclass(frozen=True)
 class Phrase(Query):
-    """Consecutive words of one column; the last may be a prefix."""
+    """Consecutive words of one column; the last may be a prefix.
+
+    The text is split when the query meets a table, by the rule texts are split by.
+    """
 
-    words: tuple[str, ...]
+    text: str
     is_prefix: bool = False
     is_initial: bool = False
     columns: frozenset = frozenset(COLUMNS)
 
+    @property
+    def words(self) -> tuple[str, ...]:
+        return query_tokens(self.text)
+
+    @property
+    def is_word(self) -> bool:
+        return len(self.words) <= 1 and not self.is_initial
+
     def _limit(self, columns):
         return replace(self, columns=self.columns & columns)
 
     def phrases(self):
         return [self]
 
+    def possible(self, present, exact=False):
+        return reduce(Column.__or__, [present(self, c) for c in self.searched()], F.lit(False))
+
     def searched(self) -> list[str]:
         return [c for c in COLUMNS if c in self.columns] if self.words else []
 
@@ -91,6 +112,14 @@ class Near(Query):
     def phrases(self):
         return list(self.parts)
 
+    def has_near(self):
+        return True
+
+    def possible(self, present, exact=False):
+        shared = [c for c in COLUMNS if all(c in p.searched() for p in self.parts)]
+        found = [reduce(Column.__and__, [present(p, c) for p in self.parts]) for c in shared]
+        return reduce(Column.__or__, found, F.lit(False))
+
     def test(self, starts):
         if any(not p.words for p in self.parts):
             return F.lit(False)
@@ -140,25 +169,38 @@ class _Pair(Query):
     def phrases(self):
         return self.left.phrases() + self.right.phrases()
 
+    def has_near(self):
+        return self.left.has_near() or self.right.has_near()
+
 
 class And(_Pair):
     def test(self, starts):
         return self.left.test(starts) & self.right.test(starts)
 
+    def possible(self, present, exact=False):
+        return self.left.possible(present, exact) & self.right.possible(present, exact)
+
 
 class Or(_Pair):
     def test(self, starts):
         return self.left.test(starts) | self.right.test(starts)
 
+    def possible(self, present, exact=False):
+        return self.left.possible(present, exact) | self.right.possible(present, exact)
+
 
 class Not(_Pair):
     def test(self, starts):
         return self.left.test(starts) & ~self.right.test(starts)
 
+    def possible(self, present, exact=False):
+        left = self.left.possible(present, exact)
+        return left & ~self.right.possible(present, exact) if exact else left
+
 
 def phrase(text: str) -> Phrase:
     """Words in a row, punctuation ignored; no word at all matches nothing."""
-    return Phrase(tuple(query_tokens(text)))
+    return Phrase(text)
 
 
 def term(text: str) -> Phrase:
@@ -259,12 +301,6 @@ def build_postings(docs: DataFrame) -> DataFrame:
     )
 
 
-def extend_postings(new_docs: DataFrame, postings: DataFrame) -> DataFrame:
-    """Postings of documents that are not indexed yet."""
-    known = postings.select(*KEY).distinct()
-    return build_postings(new_docs.join(known, KEY, "left_anti"))
-
-
 def _word(wanted: Phrase, k: int) -> tuple[str, bool]:
     return wanted.words[k], wanted.is_prefix and k == len(wanted.words) - 1
 
@@ -272,8 +308,10 @@ def _word(wanted: Phrase, k: int) -> tuple[str, bool]:
 def search_postings(postings: DataFrame, query: Query) -> DataFrame:
     """Keys of the matching documents, from the rows of the query's words.
 
-    The words, prefixes and columns reach the scan. Rows meet per document, so
-    a group never exceeds one document, and the query is tested there.
+    The words, prefixes and columns reach the scan. Which words a document has
+    is asked first, without positions; only the documents that can match bring
+    their positions together, and a query of single words needs none. Rows meet
+    per document, so a group never exceeds one document.
     """
     needed: dict[tuple[str, bool, str], str] = {}
     for wanted in query.phrases():
@@ -288,7 +326,17 @@ def search_postings(postings: DataFrame, query: Query) -> DataFrame:
     if not needed:
         return postings.where(F.lit(False)).select(*KEY)
     rows = postings.where(reduce(Column.__or__, [row_of(*n) for n in needed]))
-    grouped = rows.groupBy(*KEY).agg(
+    had = rows.groupBy(*KEY).agg(*[F.bool_or(row_of(*n)).alias(name) for n, name in needed.items()])
+
+    def present(wanted: Phrase, column: str) -> Column:
+        names = [needed[(*_word(wanted, k), column)] for k in range(len(wanted.words))]
+        return reduce(Column.__and__, [F.col(name) for name in names])
+
+    words_only = all(p.is_word for p in query.phrases()) and not query.has_near()
+    can = had.where(query.possible(present, words_only)).select(*KEY)
+    if words_only:
+        return can
+    grouped = rows.join(can, KEY, "left_semi").groupBy(*KEY).agg(
         *[
             F.flatten(F.collect_list(F.when(row_of(*n), F.col("positions")))).alias(name)
             for n, name in needed.items()

@@ -1,4 +1,8 @@
-"""Joins and groups that stay balanced when one key holds a large share of the rows."""
+"""Groups and orders that stay balanced when one key holds a large share of the rows.
+
+Joins need no help here: adaptive execution splits a partition that one key
+fills, and no job has to run while a plan is being built.
+"""
 
 from __future__ import annotations
 
@@ -7,65 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# heavy keys are looked for in a sample of the key hashes; at most this many are used
-HEAVY_KEYS = 1_000
-SAMPLE = 0.001
-SAMPLE_HITS = 20
-SALTS = 64
-
-
-def key_hash(columns: Sequence[str]) -> Column:
-    return F.xxhash64(*[F.col(c) for c in columns])
-
-
-def heavy_hashes(df: DataFrame, columns: Sequence[str], sample: float = SAMPLE) -> list[int]:
-    """Hashes of the most frequent keys of a sample, at most ``HEAVY_KEYS``.
-
-    They only decide which keys get salted. A join is exact whatever the sample
-    shows, so a missed key costs balance and a needless one costs a few rows.
-    """
-    drawn = df.select(key_hash(columns).alias("_kh"))
-    if sample < 1:
-        drawn = drawn.sample(sample, seed=1)
-    counts = drawn.groupBy("_kh").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= SAMPLE_HITS)
-    return [r["_kh"] for r in counts.orderBy(F.desc("_n"), "_kh").limit(HEAVY_KEYS).collect()]
-
-
-def salted_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: Sequence[str],
-    how: str,
-    spread: str | None = None,
-    salts: int = SALTS,
-    sample: float = SAMPLE,
-    heavy: list[int] | None = None,
-) -> DataFrame:
-    """Equi-join whose left side may be dominated by a few keys.
-
-    Left rows of a heavy key are spread over ``salts`` groups by the value of
-    ``spread``; the right rows of those keys, and only those, are repeated once
-    per group. The list of heavy keys is fixed before the join is planned, so
-    both sides agree on it even if a task is run again. ``how`` is any join
-    that keeps or drops rows by their left side. Without ``spread``, or without
-    heavy keys, the join is the plain one and left to adaptive execution.
-    ``heavy`` hands in a list found earlier.
-    """
-    if how not in ("inner", "left", "left_semi", "left_anti"):
-        raise ValueError(f"cannot salt a {how} join")
-    on = list(on)
-    if heavy is None:
-        heavy = heavy_hashes(left, on, sample) if spread is not None else []
-    if not heavy:
-        return left.join(right, on, how)
-    is_heavy = key_hash(on).isin(heavy)
-    group = F.pmod(F.xxhash64(F.col(spread)), F.lit(salts)).cast("int")
-    salted = left.withColumn("_salt", F.when(is_heavy, group).otherwise(0))
-    every = F.when(is_heavy, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    repeated = right.withColumn("_salt", F.explode(every))
-    joined = salted.join(repeated, [*on, "_salt"], how).drop("_salt")
-    return joined.select(*left.columns) if how in ("left_semi", "left_anti") else joined
-
 
 def first_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """First row of every key in the given order.

@@ -8,18 +8,13 @@ from pyspark.sql import functions as F
 from vellum.functions.text import rfc3339_seconds
 from vellum.operators.fold import first_per_digest, new_documents, observations
 from vellum.plans import render
-from vellum.session import spread_few_splits
 
 START = 1767225600  # 2026-01-01T00:00:00Z
 CREATED_MS = 1759713531746
 
 
-KEYS = {"documents": "doc_id", "pages": "page_id", "events": "event_id"}
-
-
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf}/{name}.parquet")
-    return spread_few_splits(rows, KEYS[name]) if name in KEYS else rows
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def captures(spark: SparkSession, sf: str) -> DataFrame:
@@ -33,8 +28,8 @@ def captures(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("D"), F.lpad(number.cast("string"), 8, "0")).alias("id"),
         (n % 2).alias("revision"),
         rfc3339_seconds(F.floor((CREATED_MS + number * 1000) / 1000)).alias("created"),
-        F.substring("text", 1, 40).alias("page_title"),
-        F.substring("text", 1, 40).alias("og_title"),
+        F.substring_index("text", "\n", 1).alias("page_title"),
+        F.substring_index("text", "\n", 1).alias("og_title"),
         F.concat(F.lit("About "), F.col("source")).alias("og_description"),
         F.concat(F.lit("https://img.example.com/"), n.cast("string")).alias("og_image"),
         F.col("text").alias("content"),
@@ -51,8 +46,8 @@ def captures(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def halves(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Earlier and later rows, cut at the middle order number (one value)."""
-    middle = rows.agg(F.floor((F.min("ord") + F.max("ord")) / 2)).first()[0]
+    """Earlier and later rows, cut at the middle order number, a scalar subquery."""
+    middle = rows.agg(F.floor((F.min("ord") + F.max("ord")) / 2)).scalar()
     return rows.where(F.col("ord") <= middle), rows.where(F.col("ord") > middle)
 
 
@@ -118,6 +113,57 @@ def crawl_index(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def document_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Two index records of every document: one to fetch, and one that a filter drops."""
+    n = F.col("doc_id")
+    base = F.concat(F.lit("https://docs.google.com/document/d/P"), n.cast("string"))
+    good = F.struct(F.concat(base, F.lit("/edit")).alias("url"), F.lit("200").alias("status"), F.lit("UTF-8").alias("encoding"))
+    bad = F.struct(
+        F.concat(base, F.when(n % 3 == 0, "/export?format=pdf").when(n % 3 == 1, "/pub").otherwise("/edit")).alias("url"),
+        F.when(n % 2 == 0, "200").otherwise("404").alias("status"),
+        F.when(n % 3 == 2, "ISO-8859-1").otherwise("UTF-8").alias("encoding"),
+    )
+    return table(spark, sf, "documents").select(n, F.explode(F.array(good, bad)).alias("r")).select(
+        "doc_id",
+        "r.*",
+        F.lit("text/html").alias("mime-detected"),
+        F.md5(n.cast("string")).alias("digest"),
+    )
+
+
+def document_scans(spark: SparkSession, sf: str) -> DataFrame:
+    """Scan results of every document as JSON lines: its own, one that a filter drops, and for
+    every tenth one without a saved page."""
+    n = F.col("doc_id")
+    kinds = F.array(F.lit("s"), F.lit("x"), F.when(n % 10 == 0, "m"))
+    rows = table(spark, sf, "documents").select(n, F.explode(kinds).alias("kind")).where("kind is not null")
+    sid = F.concat("kind", n.cast("string"))
+    ms = (START + n) * 1000
+    return rows.select(
+        F.concat(
+            F.lit('{"_id":"'),
+            sid,
+            F.lit('","task":{"time":"'),
+            rfc3339_seconds(START + n),
+            F.lit('","visibility":"'),
+            F.when((F.col("kind") == "x") & (n % 2 == 0), "private").otherwise("public"),
+            F.lit('"},"page":{"url":"https://docs.google.com/document/d/U'),
+            n.cast("string"),
+            F.when((F.col("kind") == "x") & (n % 2 == 1), "/pub").otherwise("/edit"),
+            F.lit('"},"sort":['),
+            ms.cast("string"),
+            F.lit(',"'),
+            sid,
+            F.lit('"]}'),
+        ).alias("value")
+    )
+
+
+def document_doms(spark: SparkSession, sf: str) -> DataFrame:
+    """The page of every document under the id of its own scan."""
+    return pages(spark, sf).select(F.concat(F.lit("s"), F.col("ord").cast("string")).alias("id"), "html")
+
+
 def scan_lines(spark: SparkSession, sf: str) -> DataFrame:
     """``events`` as JSON lines of scan results."""
     n = F.col("event_id")
@@ -153,7 +199,7 @@ captures AS (
     'D' || lpad(CAST(doc_id // 6 AS VARCHAR), 8, '0') AS id,
     doc_id % 2 AS revision,
     strftime(TIMESTAMP '2025-10-06 01:18:51' + to_seconds(doc_id // 6), '%Y-%m-%dT%H:%M:%SZ') AS created,
-    substr(text, 1, 40) AS og_title,
+    split_part(text, chr(10), 1) AS og_title,
     'About ' || source AS og_description,
     text AS content,
     ['https://host' || doc_id % 7 || '.example.com/p' || doc_id % 11,

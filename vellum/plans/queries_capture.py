@@ -131,7 +131,7 @@ _STATUS_SQL = f"""WITH {INDEX_SQL}, known AS ({_SEEN_DIGESTS}), judged AS (
 @query(_STATUS_SQL + " SELECT page_id, status FROM judged")
 def skip_reasons(spark, sf):
     index = canonical.crawl_index(spark, sf)
-    judged = filters.classify_captures(index, "crawl", _processed(spark, sf), spread="page_id")
+    judged = filters.classify_captures(index, "crawl", _processed(spark, sf))
     return judged.select("page_id", "status")
 
 
@@ -166,7 +166,7 @@ def scan_skip_reason_counts(spark, sf):
 @query(f"WITH {INDEX_SQL} SELECT {_INDEX_COLUMNS} FROM cap c WHERE NOT EXISTS (SELECT 1 FROM ({_SEEN_DIGESTS}) k WHERE k.digest = c.digest)")
 def anti_processed(spark, sf):
     index = canonical.crawl_index(spark, sf)
-    return _index_rows(filters.skip_processed(index, _processed(spark, sf), spread="page_id"))
+    return _index_rows(filters.skip_processed(index, _processed(spark, sf)))
 
 
 @query("SELECT page_id, sha1(html) AS digest FROM pages")
@@ -189,10 +189,15 @@ def source_links(spark, sf):
 
 @query(
     f"""WITH {SCANS_SQL} SELECT scan_id, md5(html) AS html_md5 FROM scans
-    JOIN pages ON scan_id = CAST(page_id AS VARCHAR)"""
+    JOIN pages ON CAST(scan_id AS BIGINT) % (SELECT count(*) FROM pages) = page_id"""
 )
 def scan_dom_join(spark, sf):
-    joined = scans.join_dom(_scans(spark, sf), _doms(spark, sf))
+    """Every scan meets a page; pages are dealt out in turn."""
+    pages = canonical.table(spark, sf, "pages")
+    number = pages.agg(F.count(F.lit(1))).scalar()
+    events = canonical.table(spark, sf, "events")
+    doms = events.select(F.col("event_id").cast("string").alias("id"), (F.col("event_id") % number).alias("page_id"))
+    joined = scans.join_dom(_scans(spark, sf), doms.join(pages.select("page_id", "html"), "page_id"))
     return joined.select("scan_id", F.md5("html").alias("html_md5"))
 
 

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from vellum.operators import explore, fold, search
 from vellum.operators.search import phrase
 from vellum.plans import canonical, render
-from vellum.plans.canonical import INDEX_SQL, SCANS_SQL, UNIQUE_SQL
+from vellum.plans.canonical import SCANS_SQL, UNIQUE_SQL
 from vellum.plans.collect import crawl_captures, folder_captures, scan_captures
 from vellum.plans.queries_fold import FOLDED_SQL, folded_rows
 from vellum.plans.queries_search import WORDS_SQL, _any, _PHRASE
 from vellum.plans.registry import query
 from vellum.session import scratch_path
 from vellum.sources import scans
+from vellum.sources.folder import read_html_folder
 from vellum.sources.store import Store, names as _names
 from vellum.streaming.collect import collect_scans, start_collection
 
@@ -37,6 +38,36 @@ def store_two_batches(spark, sf):
     return folded_rows(_nested(_filled(spark, sf)))
 
 
+class _Dying(Store):
+    """A store whose changes break off before their marker is written."""
+
+    def publish(self, commit):
+        raise RuntimeError("broken off")
+
+
+@query(f"WITH {UNIQUE_SQL} {FOLDED_SQL.format(captures='uniq')}")
+def store_after_failure(spark, sf):
+    """An attempt that broke off before its marker leaves nothing, whatever is committed next."""
+    store = Store(spark, scratch_path(spark, "store"))
+    early, late = canonical.halves(canonical.captures(spark, sf))
+    store.add(early, index=False)
+    try:
+        _Dying(spark, store.root).add(late, index=False)
+    except RuntimeError:
+        store.write_cursor("1")
+    store.add(late, index=False)
+    return folded_rows(_nested(store))
+
+
+@query(f"WITH {UNIQUE_SQL} {FOLDED_SQL.format(captures='uniq')}")
+def store_compacted(spark, sf):
+    """Folders joined into one hold what they held."""
+    store = _filled(spark, sf, index=True)
+    for name in ("documents", "observations", "processed"):
+        store.compact(name)
+    return folded_rows(_nested(store))
+
+
 @query("SELECT DISTINCT md5(text) AS digest FROM documents")
 def store_processed(spark, sf):
     """Digests marked with their documents."""
@@ -80,17 +111,40 @@ def remove_docs(spark, sf):
     return docs.join(counts, ["id", "revision"])
 
 
+def _landed(spark, sf):
+    """Rendered pages in two landing folders, earlier ones in the first."""
+    pages = canonical.pages(spark, sf, also=("src", "provenance", "digest", "url"))
+    schema = "ord bigint, html string, src string, provenance string, digest string, url string"
+    folders = scratch_path(spark, "landing"), scratch_path(spark, "landing")
+    for folder, half in zip(folders, canonical.halves(pages.select(*_names(schema)))):
+        half.write.parquet(folder)
+    return folders, schema
+
+
+def _collect(spark, store, folder, schema, checkpoint):
+    stream = spark.readStream.schema(schema).parquet(folder)
+    start_collection(stream, store, _parse_landed, checkpoint, every=None).awaitTermination()
+
+
 @query(f"WITH {UNIQUE_SQL} {FOLDED_SQL.format(captures='uniq')}")
 def stream_fold(spark, sf):
     """Pages land as files, and every poll of a stream adds the new ones."""
     landing, checkpoint = scratch_path(spark, "landing"), scratch_path(spark, "progress")
     store = Store(spark, scratch_path(spark, "store"))
-    pages = canonical.pages(spark, sf, also=("src", "provenance", "digest", "url"))
-    schema = "ord bigint, html string, src string, provenance string, digest string, url string"
-    for early_late in canonical.halves(pages.select(*_names(schema))):
-        early_late.write.mode("append").parquet(landing)
-        stream = spark.readStream.schema(schema).parquet(landing)
-        start_collection(stream, store, _parse_landed, checkpoint, every=None).awaitTermination()
+    folders, schema = _landed(spark, sf)
+    for folder in folders:
+        spark.read.schema(schema).parquet(folder).write.mode("append").parquet(landing)
+        _collect(spark, store, landing, schema, checkpoint)
+    return folded_rows(_nested(store))
+
+
+@query(f"WITH {UNIQUE_SQL} {FOLDED_SQL.format(captures='uniq')}")
+def two_streams(spark, sf):
+    """Two streams that both start at batch 0, and one again after its progress was lost."""
+    store = Store(spark, scratch_path(spark, "store"))
+    folders, schema = _landed(spark, sf)
+    for folder in (*folders, folders[0]):
+        _collect(spark, store, folder, schema, scratch_path(spark, "progress"))
     return folded_rows(_nested(store))
 
 
@@ -103,17 +157,13 @@ def _parse_landed(batch):
 
 
 @query(
-    f"""WITH {SCANS_SQL}, doms AS (SELECT CAST(doc_id AS VARCHAR) AS scan_id, text FROM documents),
-    kept AS (SELECT regexp_extract(url, 'docs\\.google\\.com/document/d/(.+?)/', 1) AS id, scan_id FROM scans
-      WHERE visibility = 'public' AND NOT contains(url, '/pub'))
-    SELECT k.id, d.scan_id IS NOT NULL AS stored, k.scan_id, md5(d.text) AS text_md5
-    FROM kept k LEFT JOIN doms d ON k.scan_id = d.scan_id WHERE k.id <> ''"""
+    """SELECT 'U' || doc_id AS id, TRUE AS stored, 's' || doc_id AS scan_id, md5(text) AS text_md5 FROM documents
+    UNION ALL SELECT 'U' || doc_id, FALSE, 'm' || doc_id, NULL FROM documents WHERE doc_id % 10 = 0"""
 )
 def scan_collection(spark, sf):
     """Scans with their saved pages; one without is set aside, the run goes on."""
-    doms = canonical.pages(spark, sf).select(F.col("ord").cast("string").alias("id"), "html")
-    lines = scans.parse_scan_lines(canonical.scan_lines(spark, sf))
-    parsed = scan_captures(lines, doms)
+    lines = scans.parse_scan_lines(canonical.document_scans(spark, sf))
+    parsed = scan_captures(lines, canonical.document_doms(spark, sf))
     good = F.col("parse_status") == "ok"
     return parsed.select(
         "id",
@@ -124,17 +174,33 @@ def scan_collection(spark, sf):
 
 
 @query(
-    f"""WITH {SCANS_SQL} SELECT regexp_extract(url, 'docs\\.google\\.com/document/d/(.+?)/', 1) AS id, scan_id,
-    s.visibility || '/urlscan' AS seen FROM scans s JOIN documents d ON s.scan_id = CAST(d.doc_id AS VARCHAR)
-    WHERE visibility = 'public' AND NOT contains(url, '/pub')
-      AND regexp_extract(url, 'docs\\.google\\.com/document/d/(.+?)/', 1) <> ''"""
+    """SELECT status, n FROM (
+      SELECT 'ok' AS status, count(*) AS n FROM documents
+      UNION ALL SELECT 'fetch_failed', count(*) FROM documents WHERE doc_id % 10 = 0
+      UNION ALL SELECT 'bad_line', count(*) FROM documents WHERE doc_id % 10 = 1
+      UNION ALL SELECT CASE doc_id % 2 WHEN 0 THEN 'visibility' ELSE 'published' END, count(*) FROM documents GROUP BY 1)
+    WHERE n > 0"""
 )
+def scan_bad_lines(spark, sf):
+    """Cut lines are set aside, and the store counts what became of every line."""
+    lines = canonical.document_scans(spark, sf)
+    number = F.regexp_extract("value", '"_id":"s([0-9]+)"', 1).try_cast("bigint")
+    cut = F.when(number % 10 == 1, F.array("value", F.substring("value", 1, 20))).otherwise(F.array("value"))
+    landing = scratch_path(spark, "landing")
+    lines.select(F.explode(cut).alias("value")).write.text(landing)
+    store = Store(spark, scratch_path(spark, "store"))
+    stream = scans.stream_scans(spark, landing)
+    collect_scans(stream, canonical.document_doms(spark, sf), store, scratch_path(spark, "progress"), None).awaitTermination()
+    return store.read("counters").groupBy("status").agg(F.sum("n").alias("n"))
+
+
+@query("SELECT 'U' || doc_id AS id, 's' || doc_id AS scan_id, 'public/urlscan' AS seen FROM documents")
 def scan_stream(spark, sf):
     """Scan results from a landing folder to the store, twice over."""
     landing, checkpoint = scratch_path(spark, "landing"), scratch_path(spark, "progress")
     saved = scratch_path(spark, "doms")
-    canonical.pages(spark, sf).select(F.col("ord").cast("string").alias("id"), "html").write.parquet(saved)
-    canonical.scan_lines(spark, sf).repartition(2).write.text(landing)
+    canonical.document_doms(spark, sf).write.parquet(saved)
+    canonical.document_scans(spark, sf).repartition(2).write.text(landing)
     doms = spark.read.parquet(saved)
     store = Store(spark, scratch_path(spark, "store"))
     for _ in range(2):
@@ -146,13 +212,8 @@ def scan_stream(spark, sf):
 
 
 @query(
-    f"""WITH {INDEX_SQL}, kept AS (
-      SELECT regexp_extract(url, 'docs\\.google\\.com/document/d/(.+?)/', 1) AS id, c.page_id, d.text
-      FROM cap c JOIN documents d ON c.page_id = d.doc_id
-      WHERE starts_with(url, 'https://docs.google.com/document/d/') AND status = '200' AND NOT contains(url, '/export')
-        AND NOT contains(url, '/pub') AND encoding = 'UTF-8' AND mime = 'text/html')
-    SELECT id, page_id % 2 AS revision, md5(text) AS content_md5, 'CC-TEST' AS sid, '2026-01-02T03:04:05Z' AS ts
-    FROM kept WHERE id <> ''"""
+    """SELECT 'P' || doc_id AS id, doc_id % 2 AS revision, md5(text) AS content_md5, 'CC-TEST' AS sid,
+      '2026-01-02T03:04:05Z' AS ts FROM documents"""
 )
 def crawl_collection(spark, sf):
     """S2-S4, P1-P6, E*: index records to parsed captures through archive files."""
@@ -162,8 +223,8 @@ def crawl_collection(spark, sf):
     )
     render.write_archive(pages, root).write.parquet(listing)
     members = spark.read.parquet(listing)
-    index = canonical.crawl_index(spark, sf).drop("filename", "offset", "length")
-    located = index.join(members, index["page_id"] == members["key"]).drop("key", "page_id")
+    index = canonical.document_index(spark, sf)
+    located = index.join(members, index["doc_id"] == members["key"]).drop("key", "doc_id")
     parsed = crawl_captures(located, root, "CC-TEST")
     return parsed.select(
         "id", "revision", F.md5("content").alias("content_md5"), F.col("provenance").alias("sid"), F.col("timestamp").alias("ts")
@@ -176,10 +237,10 @@ def crawl_collection(spark, sf):
 )
 def folder_collection(spark, sf):
     """Rendered pages as files; the first file of a revision wins."""
-    pages = canonical.pages(spark, sf).select(
-        F.sha1(F.encode("html", "UTF-8")).alias("digest"), F.format_string("f%012d.html", "ord").alias("path"), "html"
-    )
-    rows = folder_captures(pages)
+    root = scratch_path(spark, "folder")
+    pages = canonical.pages(spark, sf).select(F.col("ord").alias("key"), "html")
+    render.write_html_files(pages, root).write.parquet(scratch_path(spark, "names"))
+    rows = folder_captures(read_html_folder(spark, root))
     return rows.select("id", "revision", F.md5("content").alias("content_md5"), F.col("timestamp").alias("ts"))
 
 

@@ -52,4 +52,7 @@ REMOVED = "id string, revision bigint"
 
 QUARANTINE = "origin string, key string, url string, status string, detail string"
 
+# rows of a batch by status, those that were skipped among them
+COUNTERS = "status string, n bigint"
+
 KEY = ["id", "revision"]

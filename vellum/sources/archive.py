@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import sys
+import time
 import zlib
 from collections.abc import Iterator
 from gzip import GzipFile
@@ -22,6 +23,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LINE_LIMIT = 1024 * 1024
 # captures this close together in one file are read by one task
+#: Times a read is tried, and seconds before it is tried again, doubled each time.
+TRIES, PAUSE = 5, 0.1
 STRETCH = 64 * 1024 * 1024
 # decoded pages handed back to Spark at a time
 BATCH_BYTES = 32 * 1024 * 1024
@@ -95,25 +98,33 @@ def _read_stretch(root: str):
             for name, offset, length in zip(
                 batch["filename"].to_pylist(), batch["offset"].to_pylist(), batch["length"].to_pylist()
             ):
-                date = page = error = None
-                try:
-                    if offset is None or length is None or offset < 0 or length < 1:
-                        raise RecordError("bad_range")
-                    if name != opened_name:
-                        if opened is not None:
-                            opened.close()
-                        opened_name, opened = None, None
-                        filesystem, path = locate(f"{root}/{name}")
-                        opened = filesystem.open_input_file(path)
-                        opened_name = name
-                    if offset >= opened.size():
-                        raise RecordError("bad_range")
-                    opened.seek(offset)
-                    date, page = decode_record(opened.read(min(length, opened.size() - offset)))
-                except RecordError as failure:
-                    error = str(failure)
-                except (OSError, ValueError, TypeError):
-                    error = "unreadable_file"
+                date = page = None
+                for attempt in range(TRIES):
+                    error = None
+                    try:
+                        if offset is None or length is None or offset < 0 or length < 1:
+                            raise RecordError("bad_range")
+                        if name != opened_name:
+                            if opened is not None:
+                                opened.close()
+                            opened_name, opened = None, None
+                            filesystem, path = locate(f"{root}/{name}")
+                            opened = filesystem.open_input_file(path)
+                            opened_name = name
+                        if offset >= opened.size():
+                            raise RecordError("bad_range")
+                        opened.seek(offset)
+                        date, page = decode_record(opened.read(min(length, opened.size() - offset)))
+                    except RecordError as failure:
+                        error = str(failure)
+                    except (FileNotFoundError, ValueError, TypeError):
+                        error = "unreadable_file"
+                    except OSError:
+                        # a fault of the network may pass: open the file anew, a little later
+                        error, opened_name = "unreadable_file", None
+                        time.sleep(PAUSE * 2**attempt)
+                        continue
+                    break
                 dates.append(date)
                 pages.append(page)
                 errors.append(error)

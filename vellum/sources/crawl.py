@@ -18,12 +18,18 @@ def parse_index_lines(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def read_crawl_index(spark: SparkSession, path: str) -> DataFrame:
-    """Scan of newline-delimited index files; text files split at any size."""
+    """Scan of newline-delimited index files.
+
+    Plain text splits at any size; a gzip file is one task, so write such an
+    index to Parquet once, where a search by URL prefix also skips row groups.
+    """
     return parse_index_lines(spark.read.text(path))
 
 
 def split_bad_lines(index: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Usable records and unreadable lines."""
+    if "bad_line" not in index.columns:
+        return index, index.where(F.lit(False)).select(F.lit("").alias("bad_line"))
     return index.where("bad_line is null").drop("bad_line"), index.where("bad_line is not null").select("bad_line")
 
 

@@ -1,27 +1,28 @@
 """The document store: Parquet tables that only grow, and one marker per commit.
 
-Every table keeps one folder per batch. A batch becomes visible when its marker
-is written, after all of its tables; so a document and the mark that its digest
-was processed appear together or not at all. Folders of a batch that never got
-its marker are replaced by the next attempt. Nothing that is read is ever
-rewritten: a batch writes its own rows, and of the stored ones reads the key
-and digest columns only.
+An attempt writes folders of its own, and the marker of a version lists the
+folders that make up every table. Readers open listed folders only; so a
+document and the mark that its digest was processed appear together or not at
+all, and what a failed attempt or a losing writer left behind is never read.
+Nothing that is read is ever rewritten: a batch writes its own rows, and of the
+stored ones reads the key and digest columns only.
 """
 
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+import uuid
+from dataclasses import asdict, dataclass, field, replace
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.operators.extract import split_quarantine
-from vellum.operators.filters import skip_processed
+from vellum.operators.filters import run_counters, skip_processed
 from vellum.operators.fold import first_per_digest, new_documents, observations, store_spelling
-from vellum.operators.search import build_postings, extend_postings
-from vellum.operators.skew import salted_join
-from vellum.schemas import DOCUMENTS, KEY, OBSERVATIONS, POSTINGS, PROCESSED, QUARANTINE, REMOVED, SCALARS
+from vellum.operators.search import build_postings
+from vellum.schemas import COUNTERS, DOCUMENTS, KEY, OBSERVATIONS, POSTINGS, PROCESSED, QUARANTINE, REMOVED, SCALARS
 
 STAGED = [*KEY, *SCALARS, "src", "provenance", "timestamp", "digest", "url", "parse_status", "ord"]
 
@@ -32,16 +33,69 @@ TABLES = {
     "postings": POSTINGS,
     "removed": REMOVED,
     "quarantine": QUARANTINE,
+    "counters": COUNTERS,
 }
+#: How the rows of a table stand in its files, so that lookups skip most of them.
+SORTED = {"documents": KEY, "observations": ["ts"], "postings": ["term", "col", *KEY], "processed": ["digest"]}
 
 
 @dataclass(frozen=True)
 class Commit:
-    """What the newest marker says."""
+    """What the newest marker says.
+
+    ``streams`` has the last batch of every stream, ``tables`` the folders of
+    every table, ``indexed`` the folders of documents whose words are in the
+    postings.
+    """
 
     version: int = 0
     cursor: str | None = None
-    stream_batch: int = -1
+    streams: dict[str, int] = field(default_factory=dict)
+    tables: dict[str, list[str]] = field(default_factory=dict)
+    indexed: list[str] = field(default_factory=list)
+
+
+class Attempt:
+    """Folders that one change writes; they count once its marker is there."""
+
+    def __init__(self, store: Store, now: Commit):
+        self.store, self.now = store, now
+        self.version = store.next_version()
+        self.name = f"{self.version:012d}-{uuid.uuid4().hex}"
+        self.folders: dict[str, str] = {}
+
+    def path(self, table: str) -> str:
+        return f"{self.store.root}/{table}/{self.name}"
+
+    def write(self, table: str, rows: DataFrame) -> None:
+        if "batch" not in rows.columns:
+            rows = rows.withColumn("batch", F.lit(self.version).cast("bigint"))
+        order = [c for c in SORTED.get(table, []) if c in rows.columns]
+        if order:
+            rows = rows.sortWithinPartitions(*order)
+        rows.write.parquet(self.path(table))
+        self.folders[table] = self.name
+
+    def keep(self, name: str, rows: DataFrame) -> DataFrame:
+        """Write an intermediate result once; every later step reads it from there."""
+        path = f"{self.path('work')}/{name}"
+        rows.write.parquet(path)
+        return self.store.spark.read.schema(rows.schema).parquet(path)
+
+    def publish(self, **changes) -> Commit:
+        tables = {t: [*own] for t, own in self.now.tables.items()}
+        for table, folder in self.folders.items():
+            tables.setdefault(table, []).append(folder)
+        commit = replace(self.now, **{"version": self.version, "tables": tables, **changes})
+        self.store.publish(commit)
+        return commit
+
+    def __enter__(self) -> Attempt:
+        return self
+
+    def __exit__(self, *error) -> None:
+        """The intermediate results go, whether the marker was written or not."""
+        self.store.drop_folder(self.path("work"))
 
 
 class Store:
@@ -55,84 +109,79 @@ class Store:
 
     # ------------------------------------------------------------ commits
 
-    def _marker(self, version: int):
-        return self._path(f"{self.root}/commits/{version:012d}.json")
-
-    def current(self) -> Commit:
-        """The newest commit; listing the small marker folder is all it takes."""
+    def _versions(self) -> list[int]:
+        """Versions that have a marker, newest first."""
         folder = self._path(f"{self.root}/commits")
         if not self._fs.exists(folder):
-            return Commit()
+            return []
         names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
-        versions = [int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()]
-        if not versions:
-            return Commit()
-        stream = self._fs.open(self._marker(max(versions)))
-        try:
-            text = bytes(stream.readAllBytes()).decode()
-        finally:
-            stream.close()
-        return Commit(**json.loads(text))
+        return sorted((int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()), reverse=True)
 
-    def _commit(self, commit: Commit) -> None:
-        """Publish a version; a second writer of the same version fails here.
+    def next_version(self) -> int:
+        return max(self._versions(), default=0) + 1
 
-        The marker is written aside and renamed, so it is never seen half written.
-        """
-        text = json.dumps({"version": commit.version, "cursor": commit.cursor, "stream_batch": commit.stream_batch})
-        marker = self._marker(commit.version)
-        aside = self._path(f"{self.root}/commits/_{commit.version:012d}")
-        stream = self._fs.create(aside, True)
+    def current(self) -> Commit:
+        """The newest commit; a marker that its writer could not finish is passed over."""
+        for version in self._versions():
+            stream = self._fs.open(self._path(f"{self.root}/commits/{version:012d}.json"))
+            try:
+                text = bytes(stream.readAllBytes()).decode()
+            finally:
+                stream.close()
+            try:
+                return Commit(**json.loads(text))
+            except ValueError:
+                continue
+        return Commit()
+
+    def publish(self, commit: Commit) -> None:
+        """Create the marker of a version; a second writer of the same version fails here."""
+        marker = self._path(f"{self.root}/commits/{commit.version:012d}.json")
+        text = json.dumps(asdict(commit))
+        try:
+            stream = self._fs.create(marker, False)
+        except Py4JJavaError as error:
+            raise RuntimeError(f"version {commit.version} of {self.root} was committed by another writer") from error
         try:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
-        if self._fs.exists(marker) or not self._fs.rename(aside, marker):
-            raise RuntimeError(f"version {commit.version} of {self.root} was committed by another writer")
 
-    # ------------------------------------------------------------ tables
+    def drop_folder(self, path: str) -> None:
+        self._fs.delete(self._path(path), True)
 
-    def _folder(self, table: str, version: int) -> str:
-        return f"{self.root}/{table}/batch={version}"
+    # ------------------------------------------------------------ tables
 
-    def _raw(self, table: str, version: int) -> DataFrame:
+    def _folders(self, table: str, folders: list[str]) -> DataFrame:
         schema = f"{TABLES[table]}, batch bigint"
-        folder = f"{self.root}/{table}"
-        if version == 0 or not self._fs.exists(self._path(folder)):
+        if not folders:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(folder).where(F.col("batch") <= version)
+        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{table}/{name}" for name in folders])
+
+    def _visible(self, rows: DataFrame, commit: Commit) -> DataFrame:
+        """Rows without the documents removed after they were stored."""
+        folders = commit.tables.get("removed")
+        if not folders:
+            return rows
+        removed = self._folders("removed", folders).groupBy(*KEY).agg(F.max("batch").alias("_gone"))
+        marked = rows.join(removed, KEY, "left")
+        return marked.where("_gone is null or batch >= _gone").select(*rows.columns)
 
     def read(self, table: str, commit: Commit | None = None) -> DataFrame:
         """A table as of a commit, without the documents removed by then.
 
         A removal hides what was stored before it, so a document may come back.
         """
-        version = (commit or self.current()).version
-        rows = self._raw(table, version)
-        if table not in ("documents", "observations", "postings"):
-            return rows
-        if not self._fs.exists(self._path(f"{self.root}/removed")):
-            return rows
-        removed = self._raw("removed", version).groupBy(*KEY).agg(F.max("batch").alias("_gone"))
-        spread = "ord" if table == "observations" else None
-        marked = salted_join(rows, removed, KEY, "left", spread)
-        return marked.where("_gone is null or batch >= _gone").select(*rows.columns)
+        commit = commit or self.current()
+        rows = self._folders(table, commit.tables.get(table, []))
+        return self._visible(rows, commit) if table in ("documents", "observations", "postings") else rows
 
-    def _write(self, table: str, rows: DataFrame, version: int) -> None:
-        rows.write.mode("overwrite").parquet(self._folder(table, version))
-
-    def _write_documents(self, rows: DataFrame, version: int) -> None:
-        """Sorted by id inside each file, so a lookup skips most row groups."""
-        self._write("documents", rows.select(*names(DOCUMENTS)).sortWithinPartitions(*KEY), version)
-
-    def _write_postings(self, rows: DataFrame, version: int) -> None:
+    def _write_postings(self, attempt: Attempt, rows: DataFrame) -> None:
         """Ranges of (term, key): a search reads few files, and a word found in
         every document is spread over many of them. Ranges are found by sampling,
         so the postings are kept first: texts are tokenised once."""
-        ordered = ["term", "col", *KEY]
-        kept = self._keep("postings", rows.select(*names(POSTINGS)), version)
-        ranged = kept.repartitionByRange(*ordered).sortWithinPartitions(*ordered)
-        self._write("postings", ranged, version)
+        kept = attempt.keep("postings", rows.select(*names(POSTINGS)))
+        attempt.write("postings", kept.repartitionByRange(*SORTED["postings"]))
 
     # ------------------------------------------------------------ changes
 
@@ -141,7 +190,8 @@ class Store:
         parsed: DataFrame,
         index: bool = True,
         cursor: str | None = None,
-        stream_batch: int | None = None,
+        stream: tuple[str, int] | None = None,
+        skipped: DataFrame | None = None,
     ) -> Commit:
         """Add parsed captures: new revisions, their observations, digests and words.
 
@@ -149,79 +199,86 @@ class Store:
         ``parse_status`` and ``ord``, any value that orders the captures.
         Failed captures go to quarantine and leave their digest unmarked.
         Captures whose digest is stored are left out, so adding a batch twice
-        changes nothing.
+        changes nothing. Rows per status are counted, with those of ``skipped``
+        (``status``, ``n``). ``stream`` names a stream and its batch.
         """
         now = self.current()
-        version = now.version + 1
-        staged = self._stage(parsed, version)
-        good, bad = split_quarantine(staged)
-        self._write("quarantine", quarantine_rows(bad), version)
-
-        # stored digests and revisions this batch meets: its own, once each, probe the store
-        digests = self.read("processed", now).select("digest")
-        met = self._probe("met", digests, good, ["digest"], version)
-        fresh = self._keep("fresh", first_per_digest(skip_processed(good, met, spread="ord")), version)
-        stored = self.read("documents", now).select(*KEY, "og_title", "og_description")
-        known = self._probe("known", stored, fresh, KEY, version)
-
-        self._write_documents(new_documents(fresh, known), version)
-        added = self.spark.read.schema(DOCUMENTS).parquet(self._folder("documents", version))
-        titles = known.unionByName(added.select(*KEY, "og_title", "og_description"))
-        seen = observations(fresh, titles, number=True)
-        self._write("observations", seen.select(*names(OBSERVATIONS)).sortWithinPartitions("ts"), version)
-        self._write("processed", fresh.select("digest"), version)
-        if index:
-            self._write_postings(build_postings(added), version)
-        commit = Commit(
-            version,
-            cursor if cursor is not None else now.cursor,
-            now.stream_batch if stream_batch is None else stream_batch,
-        )
-        self._commit(commit)
-        return commit
-
-    def _keep(self, name: str, rows: DataFrame, version: int) -> DataFrame:
-        """Write an intermediate result once; every later step reads it from there."""
-        self._write(f"work/{name}", rows, version)
-        return self.spark.read.schema(rows.schema).parquet(self._folder(f"work/{name}", version))
-
-    def _probe(self, name: str, stored: DataFrame, batch: DataFrame, on: list[str], version: int) -> DataFrame:
+        with Attempt(self, now) as attempt:
+            # pages are parsed once, without a shuffle, and all tables are filled from this copy
+            staged = attempt.keep("staged", store_spelling(parsed).select(*STAGED))
+            good, bad = split_quarantine(staged)
+            attempt.write("quarantine", quarantine_rows(bad))
+            counted = run_counters(staged, "parse_status")
+            attempt.write("counters", counted if skipped is None else counted.unionByName(skipped))
+
+            # stored digests and revisions this batch meets: its own, once each, probe the store
+            digests = self.read("processed", now).select("digest")
+            met = self._probe(attempt, "met", digests, good, ["digest"])
+            fresh = attempt.keep("fresh", first_per_digest(skip_processed(good, met)))
+            stored = self.read("documents", now).select(*KEY, "og_title", "og_description")
+            known = self._probe(attempt, "known", stored, fresh, KEY)
+
+            attempt.write("documents", new_documents(fresh, known).select(*names(DOCUMENTS)))
+            added = self._folders("documents", [attempt.name])
+            titles = known.unionByName(added.select(*KEY, "og_title", "og_description"))
+            seen = observations(fresh, titles, number=True)
+            attempt.write("observations", seen.select(*names(OBSERVATIONS)))
+            attempt.write("processed", fresh.select("digest"))
+            if index:
+                self._write_postings(attempt, build_postings(added))
+            return attempt.publish(
+                cursor=cursor if cursor is not None else now.cursor,
+                streams={**now.streams, stream[0]: stream[1]} if stream else now.streams,
+                indexed=[*now.indexed, attempt.name] if index else now.indexed,
+            )
+
+    def _probe(self, attempt: Attempt, name: str, stored: DataFrame, batch: DataFrame, on: list[str]) -> DataFrame:
         """Stored rows whose key occurs in the batch; none are looked for in a new store."""
-        if version == 1:
+        if not attempt.now.tables.get("documents"):
             return stored
-        return self._keep(name, stored.join(batch.select(*on).distinct(), on, "left_semi"), version)
-
-    def _stage(self, parsed: DataFrame, version: int) -> DataFrame:
-        """The parsed batch, written as it comes: pages are parsed once, without a
-        shuffle, and all tables are filled from this copy."""
-        return self._keep("staged", store_spelling(parsed).select(*STAGED), version)
+        return attempt.keep(name, stored.join(batch.select(*on).distinct(), on, "left_semi"))
 
     def remove(self, keys: DataFrame) -> Commit:
         """Hide documents by key from documents, observations and postings."""
-        now = self.current()
-        self._write("removed", keys.select(*KEY).distinct(), now.version + 1)
-        commit = Commit(now.version + 1, now.cursor, now.stream_batch)
-        self._commit(commit)
-        return commit
+        with Attempt(self, self.current()) as attempt:
+            attempt.write("removed", keys.select(*KEY).distinct())
+            return attempt.publish()
 
     def ensure_postings(self) -> Commit:
         """Index the whole store if it has documents but no postings."""
         now = self.current()
-        if not self.read("postings", now).isEmpty():
-            return now
-        self._write_postings(build_postings(self.read("documents", now)), now.version + 1)
-        commit = Commit(now.version + 1, now.cursor, now.stream_batch)
-        self._commit(commit)
-        return commit
+        return now if now.indexed else self.extend_index()
 
     def extend_index(self) -> Commit:
-        """Index the documents added with ``index=False``."""
+        """Index the documents added with ``index=False``; the marker says which folders these are."""
         now = self.current()
-        missing = extend_postings(self.read("documents", now), self.read("postings", now))
-        self._write_postings(missing, now.version + 1)
-        commit = Commit(now.version + 1, now.cursor, now.stream_batch)
-        self._commit(commit)
-        return commit
+        missing = [f for f in now.tables.get("documents", []) if f not in now.indexed]
+        if not missing:
+            return now
+        with Attempt(self, now) as attempt:
+            self._write_postings(attempt, build_postings(self._visible(self._folders("documents", missing), now)))
+            return attempt.publish(indexed=[*now.indexed, *missing])
+
+    def compact(self, table: str) -> Commit:
+        """Put the folders of a table into one; rows and what hides them stay as they are.
+
+        Of documents only those folders are joined that are indexed. The old
+        folders are no longer listed; readers of earlier commits still find them.
+        """
+        now = self.current()
+        folders = now.tables.get(table, [])
+        joined = [f for f in folders if table != "documents" or f in now.indexed]
+        if len(joined) < 2:
+            return now
+        with Attempt(self, now) as attempt:
+            rows = self._folders(table, joined)
+            order = SORTED.get(table)
+            attempt.write(table, rows.repartitionByRange(*order) if order else rows.coalesce(8))
+            tables = {**now.tables, table: [*(f for f in folders if f not in joined), attempt.name]}
+            indexed = now.indexed
+            if table == "documents":
+                indexed = [*(f for f in indexed if f not in joined), attempt.name]
+            return attempt.publish(tables=tables, indexed=indexed)
 
     # ------------------------------------------------------------ cursor
 
@@ -230,10 +287,8 @@ class Store:
         return self.current().cursor
 
     def write_cursor(self, ts: str) -> Commit:
-        now = self.current()
-        commit = Commit(now.version + 1, ts, now.stream_batch)
-        self._commit(commit)
-        return commit
+        with Attempt(self, self.current()) as attempt:
+            return attempt.publish(cursor=ts)
 
 
 def quarantine_rows(bad: DataFrame) -> DataFrame:
