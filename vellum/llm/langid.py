@@ -14,7 +14,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.shared import gram_buckets, per_batch, with_column_per_batch
+from vellum.llm.shared import drawn, gram_buckets, per_batch, with_column_per_batch
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Labelled documents a model is fitted on, at most; those with the smallest hash of id and text.
@@ -187,14 +187,17 @@ def label_batch(model: Model, texts: list[str | None]) -> Iterator[Label]:
         at += n
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
+def fit(
+    labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE
+) -> Model:
     """Model from a bounded sample of labelled texts; rows without text or language teach nothing.
 
     Tasks turn texts into n-gram counts per language; the sums come to the driver.
     """
-    known = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    drawn = known.select(F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
-    drawn = drawn.orderBy(F.xxhash64("_text", "_lang"), "_text", "_lang").limit(sample)
+    known = labelled.where(F.col(lang_col).isNotNull())
+    rows = known.select(lang_col).count()
+    known = known.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
+    chosen = drawn(known, F.struct("_id", "_text"), sample, rows).where("_text is not null").select("_text", "_lang")
 
     def run(batch: pa.RecordBatch) -> dict:
         langs = batch.column(1).to_pylist()
@@ -216,7 +219,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
             "n": pa.array(n, pa.int64()),
         }
 
-    counted = per_batch(drawn, run, "lang string, script string, bucket long, n long")
+    counted = per_batch(chosen, run, "lang string, script string, bucket long, n long")
     found = counted.groupBy("lang", "script", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pylist()
     langs = sorted({r["lang"] for r in found})
     place = {lang: k for k, lang in enumerate(langs)}
