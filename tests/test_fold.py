@@ -1,7 +1,5 @@
 import random
 
-from pyspark.sql import functions as F
-
 from vellum.operators import explore, fold
 from vellum.operators.skew import first_per
 from vellum.sources import exports

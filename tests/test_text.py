@@ -2,6 +2,7 @@ import html
 import random
 import sqlite3
 
+import pytest
 from pyspark.sql import functions as F
 
 from vellum.functions import markup, payload, text
@@ -70,6 +71,18 @@ TOKENS = {
 }
 
 
+@pytest.mark.xfail(reason="the page pattern ends a script at the first closing tag, a page parser does not", strict=True)
+def test_script_inside_a_commented_script(spark):
+    page = "<script><!-- <script>a</script> b --></script><title>t</title>"
+    assert column(spark, [page], lambda c: F.array_join(markup.scripts(markup.segments(c)), "|")) == ["<!-- <script>a</script> b -->"]
+
+
+@pytest.mark.xfail(reason="elements inside a title of a drawing are read as its text", strict=True)
+def test_title_of_a_drawing(spark):
+    page = "<svg><title>a<b>c</b></title></svg>"
+    assert column(spark, [page], lambda c: markup.page_title(markup.segments(c))) == ["a"]
+
+
 def test_tokens(spark):
     got = column(spark, TOKENS, lambda c: F.array_join(text.tokens(c), " "))
     assert got == list(TOKENS.values())

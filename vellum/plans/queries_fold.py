@@ -72,9 +72,13 @@ def count_docs(spark, sf):
     return explore.count_documents(canonical.captures(spark, sf))
 
 
-@query()
+@query(f"WITH {CAPTURES_SQL} SELECT count(DISTINCT id) AS documents, TRUE AS close FROM captures")
 def count_docs_approx(spark, sf):
-    return explore.count_documents(canonical.captures(spark, sf), approx=True)
+    """A4: the approximate count is within 5 % of the exact one."""
+    rows = canonical.captures(spark, sf)
+    exact, about = (explore.count_documents(rows, approx=a).select("documents").scalar() for a in (False, True))
+    one = rows.agg(F.count(F.lit(1)).alias("_rows"))
+    return one.select(exact.alias("documents"), (F.abs(about - exact) <= 0.05 * exact).alias("close"))
 
 
 @query(f"WITH {UNIQUE_SQL} SELECT id, count(*) AS revisions FROM docs GROUP BY id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vellum.operators import explore, fold, search
+from vellum.operators import fold, search
 from vellum.operators.search import phrase
 from vellum.plans import canonical, render
 from vellum.plans.canonical import SCANS_SQL, UNIQUE_SQL
