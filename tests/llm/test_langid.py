@@ -51,7 +51,7 @@ def test_spans_of_mixed_texts_and_odd_rows(spark):
     fitted = model(spark)
     assert fitted.langs == ["de", "en", "ru"]
     assert fitted.scripts["cyrillic"] == [2] and fitted.scripts["latin"] == [0, 1]
-    rows = [(1, f"{EN} {DE} {RU} {DE}"), (2, None), (3, ""), (4, "123 !? 456"), (5, EN.upper()), (5, EN.upper())]
+    rows = [(1, f"{EN} {DE} {RU} {DE}"), (2, None), (3, ""), (4, "123 ² !? 456"), (5, EN.upper()), (5, EN.upper())]
     rows += [(6, "a" * 300_000), (7, (EN + " ") * 3000), (None, RU), (8, "中文")]
     docs = spark.createDataFrame([(*r, "x", 1.5) for r in rows], "doc_id long, text string, language string, score double")
     got = langid.identify(docs, fitted)

@@ -1,13 +1,35 @@
-"""Connected components of an edge table by alternating large and small stars."""
+"""Connected components: of the links a task has found, and of an edge table by alternating large and small stars."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.shared import written
 
 
+def spanning_forest(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list[int], list[int]]:
+    """Links that join what the links before them have not joined; they span the same components."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = root[up]
+            x = up
+        return x
+
+    a, b = [], []
+    for left, right in pairs:
+        for x, y in zip(left.tolist(), right.tolist()):
+            u, v = find(x), find(y)
+            if u != v:
+                root[u] = v
+                a.append(x)
+                b.append(y)
+    return a, b
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Hang every larger neighbour of a node on the smallest node it sees."""
     both = edges.union(edges.select("b", "a")).toDF("u", "v")

@@ -67,7 +67,9 @@ def script_of(word: str) -> str:
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall(unicodedata.normalize("NFC", text).lower()) if text else []
+    """Words of a whole text in lower case; digits and signs like a raised two alone are none."""
+    found = WORD.findall(unicodedata.normalize("NFC", text).lower()) if text else []
+    return [w for w in found if w.isalpha() or any(map(str.isalpha, w))]
 
 
 @dataclass

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.components import connected_components
+from vellum.llm.components import connected_components, spanning_forest
 from vellum.llm.shared import as_bytes, kept_rows, per_batch, text_hash, written
 
 SEED = 42
@@ -109,27 +109,6 @@ def _links(left: np.ndarray, right: np.ndarray, own: bool, radius: int) -> tuple
     return np.concatenate(found_l), np.concatenate(found_r)
 
 
-def _forest(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list[int], list[int]]:
-    """Links that join what the links before them have not joined; they span the same components."""
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (up := root.setdefault(x, x)) != x:
-            root[x] = root[up]
-            x = up
-        return x
-
-    a, b = [], []
-    for left, right in pairs:
-        for x, y in zip(left.tolist(), right.tolist()):
-            u, v = find(x), find(y)
-            if u != v:
-                root[u] = v
-                a.append(x)
-                b.append(y)
-    return a, b
-
-
 def _compare(pairs: DataFrame, radius: int) -> DataFrame:
     def run(batch: pa.RecordBatch) -> dict:
         left, right = batch.column(1), batch.column(2)
@@ -138,7 +117,7 @@ def _compare(pairs: DataFrame, radius: int) -> DataFrame:
         rv = right.values.to_numpy(zero_copy_only=False).view(np.uint64)
         own = batch.column(0).to_pylist()
         found = (_links(lv[lo[k] : lo[k + 1]], rv[ro[k] : ro[k + 1]], own[k], radius) for k in range(batch.num_rows))
-        a, b = _forest([(x.view(np.int64), y.view(np.int64)) for x, y in found])
+        a, b = spanning_forest([(x.view(np.int64), y.view(np.int64)) for x, y in found])
         return {"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())}
 
     return per_batch(pairs, run, "a long, b long")
