@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from vellum.llm.shared import with_column_per_batch
 
 #: One of these terms is enough.
-STRICT = ("porn", "xxx", "casino", "viagra", "cialis", "phishing", "malware", "warez", "escort", "payday")
+STRICT = ("adult", "porn", "xxx", "casino", "viagra", "cialis", "phishing", "malware", "warez", "escort", "payday")
 #: It takes several different ones of these.
 SOFT = (
     "ads", "bet", "bets", "bonus", "buy", "cheap", "click", "deal", "deals", "discount", "farm", "free", "gambling",
