@@ -40,12 +40,14 @@ SMOOTH, SYMBOLS = 0.05, 40
 #: Labelled rows of either label that a lexicon is learned from, at most; those with the smallest hash.
 SAMPLE = 4000
 #: n-grams of words with their borders that can be signs.
-ORDERS = range(4, 8)
+ORDERS = range(4, 7)
 ID_BITS = 48
 #: Shares of a text's words from which an n-gram is a sign of its own, by level.
 RATES = (0.0, 0.002, 0.004, 0.008, 0.016)
 #: A sign explains so many texts that no stronger sign explains, and its share of toxic texts is at least this.
 SUPPORT, SHARE = 3, 0.5
+#: Texts whose signs a task counts at a time.
+GROUP = 256
 #: Weight of what is known before counting, in texts.
 PRIOR = 4.0
 #: Score of a text without signs, at most.
@@ -296,6 +298,47 @@ def _labelled(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, t
     return joined.dropDuplicates(["_hash", "_label"])
 
 
+def _known(found: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    """Of the numbers found those that are in the sorted ``signs``."""
+    if not len(signs):
+        return found[:0]
+    return found[signs[np.minimum(np.searchsorted(signs, found), len(signs) - 1)] == found]
+
+
+def _count_signs(texts: DataFrame, chars: Broadcast, signs: np.ndarray | None) -> DataFrame:
+    """In how many texts each sign stands; of given ones only, if any are given.
+
+    Tasks count ``GROUP`` texts at a time, so a sign of many texts is few rows.
+    """
+    wanted = None if signs is None else texts.sparkSession.sparkContext.broadcast(signs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, GROUP):
+                found = [_signs(t, chars.value) for t in batch.column(0).slice(at, GROUP).to_pylist()]
+                if wanted is not None:
+                    found = [_known(f, wanted.value) for f in found]
+                sign, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_pydict({"sign": pa.array(sign), "n": pa.array(n)})
+
+    counted = texts.select("_text").mapInArrow(run, "sign long, n long")
+    return counted.groupBy("sign").agg(F.sum("n").alias("n"))
+
+
+def _hold_signs(texts: DataFrame, chars: Broadcast, signs: np.ndarray) -> DataFrame:
+    """Which texts hold which of the given signs."""
+    wanted = texts.sparkSession.sparkContext.broadcast(signs)
+
+    def run(batch: pa.RecordBatch) -> dict:
+        found = [_known(_signs(t, chars.value), wanted.value) for t in batch.column(1).to_pylist()]
+        return {
+            "hash": batch.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))),
+            "sign": pa.array(np.concatenate(found)),
+        }
+
+    return per_batch(texts.select("_hash", "_text"), run, "hash long, sign long")
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -307,33 +350,33 @@ def fit(
 ) -> Model:
     """Character model from the whole corpus, and signs from a bounded sample of labelled rows.
 
-    A sign is an n-gram of restored words from some share of a text's words on.
-    Signs are chosen one after another,
-    always the one that explains most toxic texts not yet explained, weighed by
-    its share of toxic texts; so words that merely stand beside a sign, as in
-    copies of a text, are none. Null labels and null texts teach nothing, and
-    without toxic rows no text has a sign.
+    A sign is an n-gram of restored words, from some share of a text's words on.
+    Signs are chosen one after another, always the one that explains most toxic
+    texts not yet explained, weighed by its share of toxic texts; so words that
+    merely stand beside a sign, as in copies of a text, are none. Null labels and
+    null texts teach nothing, and without toxic rows no text has a sign.
     """
     chars = count_characters(corpus, text_col)
     shared: Broadcast = docs.sparkSession.sparkContext.broadcast(chars)
     labelled = _labelled(docs, labels, label_col, id_col, text_col, sample)
 
-    def run(batch: pa.RecordBatch) -> dict:
-        found = [_signs(text, shared.value) for text in batch.column(1).to_pylist()]
-        return {"label": batch.column(0), "hash": batch.column(2), "signs": pa.array(found, pa.list_(pa.int64()))}
-
-    made = per_batch(labelled, run, "label int, hash long, signs array<long>")
-    texts = written(made, "toxicity-signs")
-    totals = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    texts = written(labelled.select("_label", "_text", "_hash"), "toxicity-texts")
+    totals = {r["_label"]: r["count"] for r in texts.groupBy("_label").count().collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
     rate = (toxic + 1) / (toxic + clean + 20)
-    signs = texts.select("label", F.explode("signs").alias("sign")).groupBy("sign")
-    signs = signs.agg(F.sum("label").alias("a"), F.count(F.lit(1)).alias("n"))
-    chance = (F.col("a") + PRIOR * rate) / (F.col("n") + PRIOR)
-    signs = signs.where(F.col("a") >= SUPPORT).withColumn("chance", chance).where(F.col("chance") >= SHARE)
-    signs = written(signs.select("sign", "chance"), "toxicity-candidates")
-    held = texts.where("label = 1").select("hash", F.explode("signs").alias("sign")).join(signs, "sign").toArrow()
-    chosen = choose_signs(held["hash"].to_numpy(), held["sign"].to_numpy(), held["chance"].to_numpy())
+
+    bad, good = texts.where("_label = 1"), texts.where("_label = 0")
+    seen = _count_signs(bad, shared, None).where(F.col("n") >= SUPPORT).toArrow()
+    order = np.argsort(seen["sign"].to_numpy())
+    signs, a = seen["sign"].to_numpy()[order], seen["n"].to_numpy()[order]
+    other = _count_signs(good, shared, signs).toArrow()
+    b = np.zeros(len(signs), np.int64)
+    b[np.searchsorted(signs, other["sign"].to_numpy())] = other["n"].to_numpy()
+    chance = (a + PRIOR * rate) / (a + b + PRIOR)
+    signs, chance = signs[chance >= SHARE], chance[chance >= SHARE]
+    held = _hold_signs(bad, shared, signs).toArrow()
+    sign = held["sign"].to_numpy()
+    chosen = choose_signs(held["hash"].to_numpy(), sign, chance[np.searchsorted(signs, sign)])
     grams = np.array(sorted({s >> 3 for s in chosen}), np.int64)
     chances = np.zeros((len(grams), len(RATES)))
     for number, chance in chosen.items():
