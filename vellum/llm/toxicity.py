@@ -46,8 +46,8 @@ ID_BITS = 48
 RATES = (0.0, 0.002, 0.004, 0.008, 0.016)
 #: A sign explains so many texts that no stronger sign explains, and its share of toxic texts is at least this.
 SUPPORT, SHARE = 3, 0.5
-#: Texts whose signs a task counts at a time.
-GROUP = 256
+#: Texts whose signs a task counts at a time, and signs of a sampled text that come to the driver, at most.
+GROUP, HELD = 256, 128
 #: Weight of what is known before counting, in texts.
 PRIOR = 4.0
 #: Score of a text without signs, at most.
@@ -284,18 +284,21 @@ class Model:
         return out
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, sample: int) -> DataFrame:
-    """Texts with their label, at most ``sample`` of either, equal texts once."""
+def _labelled(
+    docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, sample: int
+) -> tuple[DataFrame, list[int]]:
+    """Texts with their label, at most ``sample`` of either, equal texts once; and all toxic and clean rows."""
     known = labels.where(F.col(label_col).isNotNull()).select(
         F.col(id_col).alias("_id"), (F.col(label_col) > 0).cast("int").alias("_label")
     )
     known = known.where("_id is not null").distinct()
     parts = [known.where(F.col("_label") == label) for label in (1, 0)]
-    toxic, clean = (drawn(part, F.col("_id"), sample, part.count()) for part in parts)
+    rows = [part.count() for part in parts]
+    toxic, clean = (drawn(part, F.col("_id"), sample, n) for part, n in zip(parts, rows))
     chosen = toxic.union(clean)
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     joined = texts.join(F.broadcast(chosen), "_id").select("_label", "_text", text_hash("_text").alias("_hash"))
-    return joined.dropDuplicates(["_hash", "_label"])
+    return joined.dropDuplicates(["_hash", "_label"]), rows
 
 
 def _known(found: np.ndarray, signs: np.ndarray) -> np.ndarray:
@@ -325,12 +328,17 @@ def _count_signs(texts: DataFrame, chars: Broadcast, signs: np.ndarray | None) -
     return counted.groupBy("sign").agg(F.sum("n").alias("n"))
 
 
-def _hold_signs(texts: DataFrame, chars: Broadcast, signs: np.ndarray) -> DataFrame:
-    """Which texts hold which of the given signs."""
-    wanted = texts.sparkSession.sparkContext.broadcast(signs)
+def _hold_signs(texts: DataFrame, chars: Broadcast, signs: np.ndarray, rank: np.ndarray) -> DataFrame:
+    """Which texts hold which of the given signs: of each text the ``HELD`` of the highest rank."""
+    wanted = texts.sparkSession.sparkContext.broadcast((signs, rank))
+
+    def best(found: np.ndarray) -> np.ndarray:
+        signs, rank = wanted.value
+        order = np.lexsort((found, -rank[np.searchsorted(signs, found)]))
+        return found[order[:HELD]]
 
     def run(batch: pa.RecordBatch) -> dict:
-        found = [_known(_signs(t, chars.value), wanted.value) for t in batch.column(1).to_pylist()]
+        found = [best(_known(_signs(t, chars.value), wanted.value[0])) for t in batch.column(1).to_pylist()]
         return {
             "hash": batch.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))),
             "sign": pa.array(np.concatenate(found)),
@@ -358,12 +366,11 @@ def fit(
     """
     chars = count_characters(corpus, text_col)
     shared: Broadcast = docs.sparkSession.sparkContext.broadcast(chars)
-    labelled = _labelled(docs, labels, label_col, id_col, text_col, sample)
-
+    labelled, rows = _labelled(docs, labels, label_col, id_col, text_col, sample)
     texts = written(labelled.select("_label", "_text", "_hash"), "toxicity-texts")
-    totals = {r["_label"]: r["count"] for r in texts.groupBy("_label").count().collect()}
-    toxic, clean = totals.get(1, 0), totals.get(0, 0)
-    rate = (toxic + 1) / (toxic + clean + 20)
+    rate = (rows[0] + 1) / (sum(rows) + 20)
+    # a clean text of the sample stands for so many, where a toxic one stands for one
+    weight = max(1, rows[1] / sample) / max(1, rows[0] / sample)
 
     bad, good = texts.where("_label = 1"), texts.where("_label = 0")
     seen = _count_signs(bad, shared, None).where(F.col("n") >= SUPPORT).toArrow()
@@ -372,9 +379,10 @@ def fit(
     other = _count_signs(good, shared, signs).toArrow()
     b = np.zeros(len(signs), np.int64)
     b[np.searchsorted(signs, other["sign"].to_numpy())] = other["n"].to_numpy()
-    chance = (a + PRIOR * rate) / (a + b + PRIOR)
-    signs, chance = signs[chance >= SHARE], chance[chance >= SHARE]
-    held = _hold_signs(bad, shared, signs).toArrow()
+    chance = (a + PRIOR * rate) / (a + weight * b + PRIOR)
+    strong = chance >= SHARE
+    signs, chance, a = signs[strong], chance[strong], a[strong]
+    held = _hold_signs(bad, shared, signs, a * chance).toArrow()
     sign = held["sign"].to_numpy()
     chosen = choose_signs(held["hash"].to_numpy(), sign, chance[np.searchsorted(signs, sign)])
     grams = np.array(sorted({s >> 3 for s in chosen}), np.int64)
