@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from vellum.llm import decontaminate, langid, mixing, secrets, simhash
 from vellum.llm.shared import table, written
 
-#: Documents with a lower language score are rejected.
-LANGUAGE_SCORE = 0.3
+#: Documents with a lower language score are rejected; even texts of four languages in like parts reach it.
+LANGUAGE_SCORE = 0.2
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
