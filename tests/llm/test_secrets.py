@@ -51,6 +51,22 @@ def test_battery_tells_random_strings():
     assert secrets.battery("justalongwordwithoutanydigits") is None and secrets.battery("1234567890123456789012345") is None
 
 
+def test_strings_beside_names_and_in_paths():
+    rng = np.random.default_rng(9)
+    plain = base64.b64encode(rng.bytes(30)).decode().replace("+", "x").replace("/", "y")
+    url = "aB3-" + plain + "_9Z"
+    slashed = f"{plain[:9]}/{plain[9:18]}+{plain[18:27]}/{plain[27:36]}"
+    for before, value, after in [
+        ("sessionid=", plain, " end"), ("AWS_KEY=", slashed, "== end"), ("https://x.org/a?sig=", plain, "&b=1"),
+        ("/srv/app_data/", plain, ""), ("/srv/app_data/", url, "/more"), ("key=/srv/app-1/", plain, "=="), ("a_b-", slashed, ""),
+        ("a=b=", plain + "==", "=c"), (f"/x_y/{url}/z-", slashed, ""),
+    ]:
+        text = before + value + after
+        spans = [(s.start, text[s.start : s.end].rstrip("=")) for s in secrets.find_spans(text, {}) if s.kind == "random"]
+        assert (len(before), value.rstrip("=")) in spans, text
+    assert not [s for s in secrets.find_spans("/srv/app_data/" * 30 + "+-" * 30_000, {}) if s.kind == "random"]
+
+
 def test_p_values_are_spread_evenly():
     rng = np.random.default_rng(4)
     p = np.array([secrets.battery(rng.bytes(24).hex()) or 0 for _ in range(800)])

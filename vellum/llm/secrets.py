@@ -27,7 +27,11 @@ KINDS = ("assign", "access", "hex", "random")
 
 #: Parts of the keywords, in lower case; a text without any has no assignment.
 STEMS = ("passw", "secret", "token", "api")
-STRING = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+#: Strings that may be encoded, with their padding; an equals sign inside ends one and starts the next.
+STRING = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?:=+(?![A-Za-z0-9+/_=-]))?")
+#: Ways to cut a string that mixes alphabets into pieces of this length at least: at slashes, then at what each alphabet lacks.
+PIECES = (re.compile(r"[^/]+"), re.compile(r"[A-Za-z0-9+/]+=*"), re.compile(r"[A-Za-z0-9_-]+=*"))
+PIECE_LENGTH = 20
 #: A string needs this much room for randomness, in bits, for the tests to tell it from words.
 ROOM = 96
 #: Share of wrongly discarded strings among the discarded, in each class of lengths.
@@ -133,13 +137,40 @@ def _step(p: float) -> int:
     return LAST_STEP if p <= 0 else min(LAST_STEP, int(-math.log10(p) * STEPS))
 
 
+def _mixes(string: str) -> bool:
+    """Whether no alphabet can hold the string, as it has the signs of both kinds of base64."""
+    return ("+" in string or "/" in string) and ("_" in string or "-" in string)
+
+
+def _tested(string: str, start: int, ways: tuple[re.Pattern, ...] = PIECES) -> Iterator[tuple[int, str, float]]:
+    """Start, string and p-value of a string, or of its pieces where it mixes alphabets.
+
+    What stands between pieces that can be judged is cut in the next way.
+    """
+    if len(string) < PIECE_LENGTH:
+        return
+    if not _mixes(string):
+        p = battery(string)
+        if p is not None:
+            yield start, string, p
+        return
+    if not ways:
+        return
+    reached = 0
+    for m in ways[0].finditer(string):
+        found = list(_tested(m.group(), start + m.start(), ways[1:]))
+        if found:
+            yield from _tested(string[reached : m.start()], start + reached, ways[1:])
+            yield from found
+            reached = m.end()
+    yield from _tested(string[reached:], start + reached, ways[1:])
+
+
 def _judged(text: str) -> Iterator[tuple[int, int, str, int, int]]:
     """Strings with a p-value: start, end, string, class of length, step of the p-value."""
     for match in STRING.finditer(text):
-        string = match.group()
-        p = battery(string)
-        if p is not None:
-            yield match.start(), match.end(), string, length_class(string), _step(p)
+        for start, string, p in _tested(match.group(), match.start()):
+            yield start, start + len(string), string, length_class(string), _step(p)
 
 
 def calibrate(docs: DataFrame, text_col: str = "text", rate: float = FALSE_DISCOVERIES) -> dict[int, int]:
@@ -210,7 +241,9 @@ def scan(docs: DataFrame, text_col: str = "text", label: str = "secrets", rate:
     are strings of 20 characters and more in an encoding that the battery does
     not discard: their symbols are as even, as mixed and as independent as
     chance makes them, at a rate of false discoveries held for each class of
-    lengths over all documents. Spans of different kinds may overlap.
+    lengths over all documents. Names before an equals sign and, where the
+    whole fits no alphabet, parts of paths are strings of their own. Spans of
+    different kinds may overlap.
 
     Null and empty texts have no spans. Rows are judged one by one, so ids and
     repeated rows do not matter. An input column of the label's name is replaced;
