@@ -1,5 +1,8 @@
 """Toxicity: disguises are undone, signs are learned, copies teach nothing, held-out results."""
 
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +64,36 @@ def test_signs_and_scores(spark):
     assert {r["doc_id"] for r in got if r["toxicity"] >= 0.7} == {*range(0, 60, 3), *range(100, 110), None}
 
 
+def test_one_sign_of_each_set_is_enough():
+    rng = random.Random(6)
+    sets = [frozenset(rng.sample(range(40), rng.randint(3, 12))) for _ in range(30)]
+    signs = {}
+    for number in rng.sample(range(1 << 16), 400):
+        signs[number << 6 | rng.randrange(5) << 3 | rng.randrange(5)] = (rng.choice(sets), rng.choice([0.5, 0.6, 0.75, 0.9]))
+    numbers = np.array(sorted(signs), np.int64)
+    chances = np.array([signs[n][1] for n in numbers.tolist()])
+    ids = np.array([sets.index(signs[n][0]) for n in numbers.tolist()])
+
+    def chosen(places):
+        pairs = [(t, int(numbers[k]), chances[k]) for k in places for t in sorted(signs[int(numbers[k])][0])]
+        return toxicity.choose_signs(*map(np.array, zip(*pairs)))
+
+    kept = toxicity.one_of_each_set(numbers, ids, chances)
+    assert len(kept) == len(set(ids.tolist())) and chosen(kept) == chosen(range(len(numbers)))
+
+
+def test_rarer_words_count_beside_many_frequent_ones(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("bdfgklmnprtv") + rng.choice("aeiou") for _ in range(4))
+    frequent = " ".join(word() for _ in range(30))
+    rows = [(k, f"{frequent} {word()} {'moron' if k < 40 else 'idiot'}", 1) for k in range(60)]
+    rows += [(100 + k, f"{frequent if k < 45 else ''} {word()} {word()}", 0) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs, docs, "toxic", corpus=docs)
+    moron, idiot, clean = model.scores(["one moron", "one idiot", frequent])
+    assert moron >= 0.7 and idiot >= 0.7 and clean < 0.7
+
+
 def test_without_labels_or_rows(spark):
     docs, labels = docs_and_labels(spark)
     model = toxicity.fit(docs, labels.limit(0), "toxic", corpus=docs)

@@ -46,8 +46,8 @@ ID_BITS = 48
 RATES = (0.0, 0.002, 0.004, 0.008, 0.016)
 #: A sign explains so many texts that no stronger sign explains, and its share of toxic texts is at least this.
 SUPPORT, SHARE = 3, 0.5
-#: Texts whose signs a task counts at a time, and signs of a sampled text that come to the driver, at most.
-GROUP, HELD = 256, 128
+#: Texts whose signs a task counts at a time.
+GROUP = 256
 #: Weight of what is known before counting, in texts.
 PRIOR = 4.0
 #: Score of a text without signs, at most.
@@ -309,7 +309,7 @@ def _known(found: np.ndarray, signs: np.ndarray) -> np.ndarray:
 
 
 def _count_signs(texts: DataFrame, chars: Broadcast, signs: np.ndarray | None) -> DataFrame:
-    """In how many texts each sign stands; of given ones only, if any are given.
+    """In how many texts each sign stands, and a hash of the set of them; of given signs only, if any are given.
 
     Tasks count ``GROUP`` texts at a time, so a sign of many texts is few rows.
     """
@@ -321,24 +321,35 @@ def _count_signs(texts: DataFrame, chars: Broadcast, signs: np.ndarray | None) -
                 found = [_signs(t, chars.value) for t in batch.column(0).slice(at, GROUP).to_pylist()]
                 if wanted is not None:
                     found = [_known(f, wanted.value) for f in found]
-                sign, n = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_pydict({"sign": pa.array(sign), "n": pa.array(n)})
+                held = batch.column(1).slice(at, GROUP).to_numpy().repeat([len(f) for f in found])
+                every = np.concatenate(found)
+                order = np.argsort(every, kind="stable")
+                sign, first, n = np.unique(every[order], return_index=True, return_counts=True)
+                met = np.bitwise_xor.reduceat(held[order], first) if len(first) else held
+                yield pa.RecordBatch.from_pydict({"sign": pa.array(sign), "n": pa.array(n), "texts": pa.array(met)})
 
-    counted = texts.select("_text").mapInArrow(run, "sign long, n long")
-    return counted.groupBy("sign").agg(F.sum("n").alias("n"))
+    counted = texts.select("_text", "_hash").mapInArrow(run, "sign long, n long, texts long")
+    return counted.groupBy("sign").agg(F.sum("n").alias("n"), F.bit_xor("texts").alias("texts"))
 
 
-def _hold_signs(texts: DataFrame, chars: Broadcast, signs: np.ndarray, rank: np.ndarray) -> DataFrame:
-    """Which texts hold which of the given signs: of each text the ``HELD`` of the highest rank."""
-    wanted = texts.sparkSession.sparkContext.broadcast((signs, rank))
+def one_of_each_set(signs: np.ndarray, texts: np.ndarray, chances: np.ndarray) -> np.ndarray:
+    """Places of the signs that can be chosen: of those in the same set of texts the one ``choose_signs`` prefers.
 
-    def best(found: np.ndarray) -> np.ndarray:
-        signs, rank = wanted.value
-        order = np.lexsort((found, -rank[np.searchsorted(signs, found)]))
-        return found[order[:HELD]]
+    Signs of one set gain the same at every step and nothing once one of them is
+    chosen, so only the likeliest, and of equal ones the first by the rule for ties, matters.
+    """
+    order = np.lexsort((signs, signs & 7, -(signs >> 3 & 7), -chances, texts))
+    first = np.ones(len(order), bool)
+    first[1:] = texts[order][1:] != texts[order][:-1]
+    return np.sort(order[first])
+
+
+def _hold_signs(texts: DataFrame, chars: Broadcast, signs: np.ndarray) -> DataFrame:
+    """Which texts hold which of the given signs."""
+    wanted = texts.sparkSession.sparkContext.broadcast(signs)
 
     def run(batch: pa.RecordBatch) -> dict:
-        found = [best(_known(_signs(t, chars.value), wanted.value[0])) for t in batch.column(1).to_pylist()]
+        found = [_known(_signs(t, chars.value), wanted.value) for t in batch.column(1).to_pylist()]
         return {
             "hash": batch.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))),
             "sign": pa.array(np.concatenate(found)),
@@ -375,14 +386,15 @@ def fit(
     bad, good = texts.where("_label = 1"), texts.where("_label = 0")
     seen = _count_signs(bad, shared, None).where(F.col("n") >= SUPPORT).toArrow()
     order = np.argsort(seen["sign"].to_numpy())
-    signs, a = seen["sign"].to_numpy()[order], seen["n"].to_numpy()[order]
-    other = _count_signs(good, shared, signs).toArrow()
+    signs, a, sets = (seen[c].to_numpy()[order] for c in ("sign", "n", "texts"))
+    other = _count_signs(good, shared, signs).select("sign", "n").toArrow()
     b = np.zeros(len(signs), np.int64)
     b[np.searchsorted(signs, other["sign"].to_numpy())] = other["n"].to_numpy()
     chance = (a + PRIOR * rate) / (a + weight * b + PRIOR)
-    strong = chance >= SHARE
-    signs, chance, a = signs[strong], chance[strong], a[strong]
-    held = _hold_signs(bad, shared, signs, a * chance).toArrow()
+    strong = np.nonzero(chance >= SHARE)[0]
+    kept = strong[one_of_each_set(signs[strong], sets[strong], chance[strong])]
+    signs, chance = signs[kept], chance[kept]
+    held = _hold_signs(bad, shared, signs).toArrow()
     sign = held["sign"].to_numpy()
     chosen = choose_signs(held["hash"].to_numpy(), sign, chance[np.searchsorted(signs, sign)])
     grams = np.array(sorted({s >> 3 for s in chosen}), np.int64)
