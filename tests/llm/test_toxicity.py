@@ -26,6 +26,17 @@ def test_restored(chars, disguised):
     assert chars.restore(disguised) == "idiot"
 
 
+@pytest.mark.parametrize("disguised", ["iddiot", "iidiiot", "id!!!ot", "id!!ot", "idi!ot", "1idi0ot", "id|!ot", "i.d.d.i.o.t"])
+def test_short_runs_are_cut(chars, disguised):
+    assert toxicity.is_noisy(disguised) and "idiot" in toxicity.restored_words([disguised], chars, {})[0]
+
+
+def test_signs_alone_are_words(spark):
+    chars = toxicity.count_characters(spark.createDataFrame([("an ass is as good as all the others",)] * 30, "text string"))
+    words = toxicity.restored_words(["4$$", "@$$", "good", "2024"], chars, {})
+    assert "ass" in words[0] and "ass" in words[1] and "good" in words[2] and words[3] == ("2024",)
+
+
 def test_counts_of_characters(chars):
     assert chars.triples[toxicity._bucket("idi")] == 30
     assert chars.pairs[toxicity._bucket("\x02t")] == 30 * sum(w.startswith("t") for w in WORDS.split())

@@ -30,7 +30,7 @@ LEET = {
 BETWEEN = frozenset(".-_~'`*·/\\,:;")
 #: Log probabilities of the channel: a character for a letter, one between letters, a run cut short, a kept character.
 SWAP, DROP, CUT, KEEP = -1.0, -0.5, -0.5, -12.0
-#: So many equal letters in a row, and so many single letters in a row, are a disguise.
+#: So many equal letters in a row, and so many single letters in a row, are a disguise; fewer equal ones may be.
 RUN, APART = 3, 4
 
 #: Buckets of the character model's n-grams, and what smooths them.
@@ -76,10 +76,22 @@ def core_of(token: str) -> str:
     return token[start:end]
 
 
+def may_repeat(core: str) -> bool:
+    """Whether neighbours can stand for the same letter, next to each other or with characters put between."""
+    before: str = ""
+    for char in core:
+        letters = char if char.isalpha() else LEET.get(char, "")
+        if any(c in before for c in letters):
+            return True
+        before = before + letters if char in BETWEEN else letters
+    return False
+
+
 def is_noisy(core: str) -> bool:
+    """Whether a token can be a disguise; digits alone are a number."""
     if core.isalpha():
-        return any(len(list(run)) >= RUN for _, run in groupby(core))
-    return any(c.isalpha() for c in core)
+        return may_repeat(core)
+    return any(c.isalpha() or (c in LEET and not c.isdigit()) for c in core)
 
 
 @dataclass
@@ -98,21 +110,30 @@ class CharModel:
             self.memory[gram] = p
         return p
 
-    def restore(self, core: str) -> str:
-        """Likeliest word that the characters stand for."""
+    def restore(self, core: str, shortest: int = 2) -> str:
+        """Likeliest word that the characters stand for; runs of fewer than ``shortest`` letters or signs stay.
+
+        Runs of two and of signs are cut where ``shortest`` is 2, also where
+        only what the signs stand for makes them one.
+        """
         states = {("", "\x02"): (0.0, "")}
         for char, run in groupby(core):
             n = len(list(run))
             if char.isalpha():
                 options = [(char * n, 0.0)] if n < RUN else [(char, CUT), (char * 2, CUT)]
+                if shortest <= n < RUN:
+                    options.append((char, CUT))
             else:
                 options = [(x * n, SWAP * n) for x in LEET.get(char, "")]
+                if n >= shortest and shortest < RUN:
+                    options += [(x * k, SWAP * k + CUT) for x in LEET.get(char, "") for k in range(1, min(n, RUN))]
                 if char in BETWEEN:
                     options.append(("", DROP * n))
                 options.append((char * n, KEEP * n))
             following: dict[tuple[str, str], tuple[float, str]] = {}
             for (a, b), (p, word) in states.items():
-                for letters, cost in options:
+                merged = [("", cost + CUT) for letters, cost in options if letters[:1] == b and b.isalpha()] if shortest < RUN else []
+                for letters, cost in options + merged:
                     q, x, y = p + cost, a, b
                     for c in letters:
                         q += self.log_p(x + y + c) if x else 0.0
@@ -176,7 +197,9 @@ def restored_words(tokens: list[str], model: CharModel, memory: dict[str, tuple[
             elif not is_noisy(core):
                 words = (core,)
             else:
-                words = tuple(dict.fromkeys((core, model.restore(core))))
+                kept = () if core.isalpha() and not any(len(list(run)) >= RUN for _, run in groupby(core)) else (model.restore(core, RUN),)
+                cut = (model.restore(core),) if may_repeat(core) else ()
+                words = tuple(dict.fromkeys((core, *kept, *cut)))
             memory[token] = words
         out.append(words)
     return out
