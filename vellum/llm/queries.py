@@ -2,14 +2,30 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from vellum.llm import covertree, decontaminate, langid, licenses, mixing, quality, secrets, simhash, toxicity, urlfilter
+from vellum.llm import (
+    covertree,
+    decontaminate,
+    fim,
+    langid,
+    licenses,
+    mixing,
+    quality,
+    runs,
+    secrets,
+    simhash,
+    tokens,
+    toxicity,
+    urlfilter,
+)
 from vellum.llm.shared import fold, table
+from vellum.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -307,6 +323,89 @@ def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.95)
 
 
+MIDDLE_SQL = r"""
+with t as (
+  select row_number() over () as r, doc_id, coalesce(text, '') as text,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as w,
+    sha256('42:' || coalesce(doc_id::varchar, '')) as h
+  from documents
+), c as (
+  select *, len(w) as n, ('0x' || h[1:8])::bigint % (len(w) + 1) as x, ('0x' || h[9:16])::bigint % (len(w) + 1) as y,
+    case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>')
+      or ('0x' || h[17:24])::bigint % 100 >= 50 then 'plain'
+    when ('0x' || h[25:32])::bigint % 100 < 80 then 'spm' else 'psm' end as form
+  from t
+), p as (
+  select *, coalesce(array_to_string(w[1 : least(x, y)], ''), '') as prefix,
+    coalesce(array_to_string(w[least(x, y) + 1 : greatest(x, y)], ''), '') as middle,
+    coalesce(array_to_string(w[greatest(x, y) + 1 :], ''), '') as suffix
+  from c
+)
+select doc_id, n::bigint as n, form,
+  case when form <> 'plain' then length(prefix) end::bigint as prefix_chars,
+  case when form <> 'plain' then length(middle) end::bigint as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+  sha256(text) as restored_sha256
+from p
+"""
+
+
+@query(MIDDLE_SQL)
+def op11_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text"), seed=42, rate=50, spm=80)
+    return made.select(
+        "doc_id",
+        "fim.n",
+        "fim.form",
+        "fim.prefix_chars",
+        "fim.middle_chars",
+        F.sha2("fim.output", 256).alias("output_sha256"),
+        F.sha2(fim.restored(F.col("fim.output"), F.col("fim.form")), 256).alias("restored_sha256"),
+    )
+
+
+def repeated_tail(row_id: object, words: list[bytes]) -> list[bytes]:
+    """The contract's words of a document: from some word on, every tenth document repeats a stretch of words."""
+    h, n = zlib.crc32(str("" if row_id is None else row_id).encode()), len(words)
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * (1 + (n - a) // p))[: n - a]
+
+
+@query()
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = runs.scan(docs, least=6, powers=4, rewrite=repeated_tail)
+    ranked = F.transform(
+        "periodic.runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("from"), (-r["period"]).alias("by"))
+    )
+    listed = F.transform("periodic.runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    longest = F.array_max(ranked)
+    return found.select(
+        "doc_id",
+        F.size("periodic.runs").cast("long").alias("n_runs"),
+        (-longest["from"]).alias("start"),
+        longest["length"].alias("length"),
+        (-longest["by"]).alias("period"),
+        F.floor(1000 * longest["length"] / -longest["by"]).alias("exponent_milli"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"),
+        F.sha2("periodic.collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query()
+def op13_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = tokens.round_trip(docs, scratch_path(spark, "tokens"), public_tokenizers.path("byte_bpe_50k.json"), end=0)
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -69,6 +69,28 @@ def with_column_per_batch(
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, field]))
 
 
+def with_two_columns_per_batch(
+    docs: DataFrame,
+    id_col: str,
+    text_col: str,
+    label: str,
+    kind: str,
+    arrow: pa.DataType,
+    function: Callable[[list, list], list],
+) -> DataFrame:
+    """Like ``with_column_per_batch``, made from a batch's ids and texts."""
+    kept = docs.drop(label)
+    at, id_at = kept.columns.index(text_col), kept.columns.index(id_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = pa.array(function(batch.column(id_at).to_pylist(), batch.column(at).to_pylist()), arrow)
+            yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, label])
+
+    field = T.StructField(label, T.StructType.fromDDL(f"x {kind}")[0].dataType)
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, field]))
+
+
 def fold(id_col: str, folds: int) -> Column:
     """Remainder of the checksum of an id as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
