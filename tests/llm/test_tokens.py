@@ -22,13 +22,17 @@ def whole(text):
     return np.array(LIBRARY.encode(text or "", add_special_tokens=False).ids, "<u4")
 
 
+def encoded(own, *texts):
+    return b"".join(ids.tobytes() for ids in own.encode(list(texts)))
+
+
 PIECES = st.sampled_from([*"ab's9!é Ж日😀 \n\t\r\xa0\x85\x1c ​", "  ", " the", "<|endoftext|>", " ' s", "don't "])
 
 
 @settings(max_examples=1500)
 @given(st.lists(PIECES, max_size=14).map("".join))
 def test_ids_of_a_text(text):
-    assert OWN.encode(text) == whole(text).tobytes()
+    assert encoded(OWN, text) == whole(text).tobytes()
 
 
 def test_memory_in_two_halves(monkeypatch):
@@ -36,15 +40,23 @@ def test_memory_in_two_halves(monkeypatch):
     own = tokens.Encoder(DEFINITION)
     for k in range(60):
         text = " ".join(f"w{j}" for j in range(k % 13, k % 29 + 5))
-        assert own.encode(text) == whole(text).tobytes()
+        assert encoded(own, text) == whole(text).tobytes()
         assert len(own._new) <= 50
 
 
+def test_many_texts(monkeypatch):
+    texts = [" ".join(f"w{j}" for j in range(k % 13, k % 29 + 5)) + "  \n" * (k % 5 == 0) for k in range(200)] + ["", " ", "x"]
+    for held in (1, 50, 10**6):
+        monkeypatch.setattr(tokens, "HELD", held)
+        assert encoded(tokens.Encoder(DEFINITION), *texts) == b"".join(whole(t).tobytes() for t in texts)
+    assert encoded(OWN) == b""
+
+
 def test_other_tokenizers_get_whole_texts():
     other = open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()
     own, library = tokens.Encoder(other), Tokenizer.from_str(other)
     for text in ("Two words", "a  b\n c", "", "ÉTÉ now"):
-        assert own.encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert encoded(own, text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 BLOCKS = st.lists(st.lists(st.sampled_from([0, 1, 2, 2, 2, 7, 70_000]), max_size=120), max_size=4)

@@ -34,11 +34,12 @@ LANES, ROWS = 64, 256
 
 
 class Table(NamedTuple):
-    """Ids that occur, ascending, their frequencies out of ``2 ** BITS`` and what stands below each."""
+    """Ids that occur, ascending, their frequencies out of ``2 ** BITS``, what stands below each, and each id's number."""
 
     ids: np.ndarray
     frequency: np.ndarray
     below: np.ndarray
+    number: np.ndarray
     checksum: int
 
     def slots(self) -> np.ndarray:
@@ -72,7 +73,9 @@ def stored_table(ids: Sequence[int], shares: Sequence[int]) -> Table:
     """The table of ascending ids and their frequencies as they were written."""
     ids, shares = np.asarray(ids, "<u4"), np.asarray(shares, "<u8")
     below = np.concatenate([[0], np.cumsum(shares)[:-1]]).astype(np.uint64) if len(ids) else np.zeros(0, np.uint64)
-    return Table(ids, shares, below, zlib.crc32(shares.tobytes(), zlib.crc32(ids.tobytes())))
+    number = np.full(int(ids[-1]) + 1 if len(ids) else 0, -1, np.int64)
+    number[ids] = np.arange(len(ids))
+    return Table(ids, shares, below, number, zlib.crc32(shares.tobytes(), zlib.crc32(ids.tobytes())))
 
 
 def encode(blocks: Sequence[np.ndarray], known: Table, lanes: int = LANES, rows: int = ROWS) -> list[bytes]:
@@ -92,9 +95,9 @@ def encode(blocks: Sequence[np.ndarray], known: Table, lanes: int = LANES, rows:
     states = [np.zeros((n, lanes), "<u8") for n in stretches]
     emitted: list[np.ndarray] = []
     owners: list[np.ndarray] = []
-    counts = [np.zeros(h, np.int64) for h in heights]
+    counts = np.zeros((int(heights.max(initial=0)), len(order)), np.int64)  # code words by row and block
     shift, low_bits = np.uint64(63 - BITS), np.uint64(0xFFFFFFFF)
-    for t in range(int(heights[0]) - 1 if len(heights) else -1, -1, -1):
+    for t in range(len(counts) - 1, -1, -1):
         live = int(np.searchsorted(-heights, -t, side="left"))  # blocks higher than t
         place = t * lanes + lane
         inside = place < sizes[:live, None]
@@ -102,15 +105,12 @@ def encode(blocks: Sequence[np.ndarray], known: Table, lanes: int = LANES, rows:
         share, below = known.frequency[symbol], known.below[symbol]
         x = state[:live]
         full = inside & (x >= share << shift)
-        b, _ = np.nonzero(full)
         emitted.append((x[full] & low_bits).astype("<u4"))
-        owners.append(b)
+        owners.append(np.nonzero(full)[0])
         x = np.where(full, x >> np.uint64(32), x)
         whole = x // share
         state[:live] = np.where(inside, (whole << np.uint64(BITS)) + (x - whole * share) + below, x)
-        found = np.bincount(b, minlength=live)
-        for k in range(live):
-            counts[k][t] = found[k]
+        counts[t, :live] = full.sum(axis=1)
         if t % rows == 0:
             for k in range(live):
                 states[k][t // rows] = state[k]
@@ -120,8 +120,9 @@ def encode(blocks: Sequence[np.ndarray], known: Table, lanes: int = LANES, rows:
     ends = np.cumsum(np.bincount(owner, minlength=len(order)))
     frames: list[bytes] = [b""] * len(order)
     for k, b in enumerate(order):
-        own = words[ends[k] - counts[k].sum() : ends[k]]
-        places = (np.cumsum(counts[k]) - counts[k])[::rows].astype("<u8")
+        count = counts[: heights[k], k]
+        own = words[ends[k] - count.sum() : ends[k]]
+        places = (np.cumsum(count) - count)[::rows].astype("<u8")
         ids, step = np.asarray(blocks[b], "<u4"), lanes * rows
         checks = np.array([zlib.crc32(ids[s : s + step].tobytes()) for s in range(0, len(ids), step)], "<u4")
         body = (
@@ -136,10 +137,9 @@ def encode(blocks: Sequence[np.ndarray], known: Table, lanes: int = LANES, rows:
 
 
 def _numbers(ids: np.ndarray, known: Table) -> np.ndarray:
-    at = np.searchsorted(known.ids, ids)
-    if len(ids) and (at.max() >= len(known.ids) or (known.ids[at] != ids).any()):
+    if len(ids) and (ids.max() >= len(known.number) or (numbers := known.number[ids]).min() < 0):
         raise ValueError("an id is not in the frequency table")
-    return at
+    return numbers if len(ids) else np.zeros(0, np.int64)
 
 
 class Frame(NamedTuple):

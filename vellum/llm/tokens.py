@@ -10,6 +10,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -20,9 +21,13 @@ from vellum.llm import rans
 from vellum.llm.shared import written
 
 #: A block takes whole documents until it holds this many ids; so many blocks are encoded or decoded at a time.
-BLOCK, TOGETHER = 1 << 16, 16
-#: Words a task remembers; at this number the older half of them goes.
-MEMORY = 400_000
+BLOCK, TOGETHER = 1 << 16, 32
+#: Words a Python worker remembers, some 200 bytes each; at this number the older half of them goes.
+MEMORY = 1_000_000
+#: New words go to the library in texts of so many.
+JOINED = 128
+#: Characters of the texts that are encoded together.
+HELD = 1 << 22
 #: A blank before white space or the end. Elsewhere a byte-level splitter always parts before a blank.
 _UNSURE = re.compile(r"\x20(?=[\s\u180e\u200b\ufeff]|\Z)")
 
@@ -68,35 +73,83 @@ class Encoder:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def _each(self, words: list[str]) -> list[bytes]:
-        """Ids of words with a blank before each: one text to the library, parted where a token begins with a blank."""
-        ids = self._whole("".join([f"\x20{w}" for w in words]))
+        """Ids of words with a blank before each: few texts to the library, parted where a token begins with a blank."""
+        blanked = [f"\x20{w}" for w in words]
+        texts = ["".join(blanked[k : k + JOINED]) for k in range(0, len(words), JOINED)]
+        found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        ids = np.concatenate([np.array(f.ids, "<u4") for f in found])
         starts = np.flatnonzero(self._blank[ids])
         if len(starts) != len(words):
-            return [self._whole(f"\x20{w}").tobytes() for w in words]
+            return [self._whole(w).tobytes() for w in blanked]
         whole, at = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
         return [whole[a:b] for a, b in pairwise(at)]
 
-    def _parts(self, text: str) -> list[str] | None:
-        """A text cut before every blank, without the blanks; None if that is not how it is split."""
-        return None if not self._by_words or _UNSURE.search(text) else text.split("\x20")
-
-    def encode(self, text: str) -> bytes:
-        parts = self._parts(text)
-        if parts is None:
-            return self._whole(text).tobytes()
-        first = self._whole(parts[0]).tobytes()
-        rest = parts[1:]
-        known = self._new
-        missing = list(set(rest).difference(known))
-        if missing and self._old:
-            known.update((w, self._old[w]) for w in missing if w in self._old)
-            missing = [w for w in missing if w not in known]
+    def _known(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words with a blank before each, remembered or learned."""
+        if len(self._new) > MEMORY // 2:
+            self._old, self._new = self._new, {}
+        found = list(map(self._new.get, words))
+        missing = []
+        for k, word in enumerate(words):
+            if found[k] is None:
+                found[k] = self._old.get(word)
+                if found[k] is None:
+                    missing.append(k)
+                else:
+                    self._new[word] = found[k]
         if missing:
-            known.update(zip(missing, self._each(missing), strict=True))
-        out = b"".join([first, *map(known.__getitem__, rest)])
-        if len(known) > MEMORY // 2:
-            self._old, self._new = known, {}
-        return out
+            for k, ids in zip(missing, self._each([words[k] for k in missing]), strict=True):
+                found[k] = self._new[words[k]] = ids
+        return found
+
+    def _split(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts whose every blank parts words: distinct words are looked up, their ids put in place."""
+        parts = pc.split_pattern(pa.array(texts, pa.large_string()), "\x20")
+        starts = parts.offsets.to_numpy()
+        firsts = self._tokenizer.encode_batch_fast(parts.values.take(starts[:-1]).to_pylist(), add_special_tokens=False)
+        distinct = parts.values.dictionary_encode()
+        each = self._known(distinct.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        ids, at = np.frombuffer(b"".join(each), "<u4"), np.cumsum(sizes) - sizes
+        word = distinct.indices.to_numpy()
+        size = sizes[word]
+        size[starts[:-1]] = 0  # first words, without a blank before them, come from the library
+        ends = np.cumsum(size)
+        found = ids[np.repeat(at[word] - (ends - size), size) + np.arange(ends[-1])]
+        cuts = np.concatenate([[0], ends])[starts]
+        return [
+            np.concatenate([np.array(first.ids, "<u4"), found[a:b]])
+            for first, (a, b) in zip(firsts, pairwise(cuts.tolist()), strict=True)
+        ]
+
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text, in order; so many texts are held at a time as have ``HELD`` characters."""
+        some, held = [], 0
+        for text in texts:
+            some.append(text)
+            held += len(text)
+            if held >= HELD:
+                yield from self._some(some)
+                some, held = [], 0
+        yield from self._some(some)
+
+    def _some(self, texts: list[str]) -> Iterator[np.ndarray]:
+        sure = [self._by_words and not _UNSURE.search(t) for t in texts]
+        split = iter(self._split([t for t, s in zip(texts, sure, strict=True) if s]) if any(sure) else [])
+        for text, by_words in zip(texts, sure, strict=True):
+            yield next(split) if by_words else self._whole(text)
+
+
+_ENCODERS: dict[int, Encoder] = {}
+
+
+def _encoder(definition: str) -> Encoder:
+    """The encoder of this Python worker, kept from task to task, as are the words it remembers."""
+    key = hash(definition)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(definition)
+    return _ENCODERS[key]
 
 
 def _definition(spark: SparkSession, tokenizer: str):
@@ -112,15 +165,14 @@ def encoded(
     id_type, kind = _arrow_type(docs, id_col), docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, squeeze = Encoder(definition.value), zstandard.ZstdCompressor(level=3)
+        encoder, squeeze = _encoder(definition.value), zstandard.ZstdCompressor(level=3)
         width = "<u2" if max(encoder.size, (end or 0) + 1) <= 1 << 16 else "<u4"
         tail = np.array([] if end is None else [end], width)
         for batch in batches:
             sizes, packed = [], []
-            for text in batch.column(1):
-                ids = np.frombuffer(encoder.encode(text.as_py() or ""), "<u4").astype(width)
+            for ids in encoder.encode([t or "" for t in batch.column(1).to_pylist()]):
                 sizes.append(len(ids) + len(tail))
-                packed.append(width[-1:].encode() + squeeze.compress(np.concatenate([ids, tail]).tobytes()))
+                packed.append(width[-1:].encode() + squeeze.compress(np.concatenate([ids.astype(width), tail]).tobytes()))
             columns = {"doc_id": pa.array(batch.column(0), id_type), "n": sizes, "packed": packed}
             yield pa.RecordBatch.from_pydict(columns)
 
