@@ -38,6 +38,22 @@ def lyndon_groups(ranks: Sequence[int], size: int) -> tuple[list[int], list[int]
     above: list[list[int] | None] = [None] * size
     # skip[i + 1] leads from a place that is done towards the nearest one before it that is not; 0 is none
     skip = list(range(len(group) + 1))
+
+    def grow(h: int, moved: list[int], size: int) -> None:
+        """Some places of a group leave it for a new one just above it."""
+        new = len(left)
+        left[h] -= len(moved)
+        for j in moved:
+            group[j] = new
+        if above[h] is None:
+            above[h] = [new]
+        else:
+            above[h].append(new)
+        places.append(moved)
+        left.append(len(moved))
+        length.append(size)
+        above.append(None)
+
     for top in range(size - 1, -1, -1):
         turn = [top]
         while turn:
@@ -51,6 +67,17 @@ def lyndon_groups(ranks: Sequence[int], size: int) -> tuple[list[int], list[int]
                 continue
             word = length[g]
             members = [i for i in places[g] if group[i] == g]
+            if len(members) == 1:  # as most are: then one place is named, once
+                skip[members[0] + 1] = p = members[0]
+                while skip[p] != p:
+                    skip[p] = p = skip[skip[p]]
+                if p:
+                    h = group[p - 1]
+                    if left[h] == 1:
+                        length[h] += word
+                    else:
+                        grow(h, [p - 1], length[h] + word)
+                continue
             for i in members:
                 skip[i + 1] = i
             named: dict[int, int] = {}
@@ -67,17 +94,7 @@ def lyndon_groups(ranks: Sequence[int], size: int) -> tuple[list[int], list[int]
                 if left[h] == len(moved):
                     length[h] -= k * word
                     continue
-                left[h] -= len(moved)
-                for j in moved:
-                    group[j] = len(left)
-                if above[h] is None:
-                    above[h] = [len(left)]
-                else:
-                    above[h].append(len(left))
-                places.append(moved)
-                left.append(len(moved))
-                length.append(length[h] - k * word)
-                above.append(None)
+                grow(h, moved, length[h] - k * word)
     return group, length
 
 
