@@ -27,10 +27,13 @@ MEMORY = 1_000_000
 #: New words go to the library in texts of so many.
 JOINED = 128
 #: Characters of the texts that are encoded together.
-HELD = 1 << 22
+HELD = 1 << 23
 #: A blank before white space or the end. Elsewhere a byte-level splitter always parts before a blank.
 _UNSURE = re.compile(r"\x20(?=[\s\u180e\u200b\ufeff]|\Z)")
 
+#: Letters, and signs after them up to a word's end.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+
 
 class Encoder:
     """Ids of texts, little-endian unsigned 32-bit, under a tokenizer of the ``tokenizers`` library.
@@ -44,7 +47,7 @@ class Encoder:
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives a task its own core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_str(definition)
         known = json.loads(definition)
@@ -62,6 +65,14 @@ class Encoder:
             and split.get("use_regex", False)
             and not split.get("add_prefix_space", True)
         )
+        if self._by_words:
+            self._by_blanks = Tokenizer.from_str(definition)
+            self._by_blanks.pre_tokenizer = pre_tokenizers.Sequence(
+                [
+                    pre_tokenizers.Split("\x20", "merged_with_next"),
+                    pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False),
+                ]
+            )
         vocabulary = self._tokenizer.get_vocab(with_added_tokens=True)
         self.size = max(vocabulary.values(), default=-1) + 1
         self._blank = np.zeros(self.size, bool)
@@ -72,11 +83,13 @@ class Encoder:
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _each(self, words: list[str]) -> list[bytes]:
+    def _each(self, tokenizer, words: list[str]) -> list[bytes]:
         """Ids of words with a blank before each: few texts to the library, parted where a token begins with a blank."""
+        if not words:
+            return []
         blanked = [f"\x20{w}" for w in words]
         texts = ["".join(blanked[k : k + JOINED]) for k in range(0, len(words), JOINED)]
-        found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         ids = np.concatenate([np.array(f.ids, "<u4") for f in found])
         starts = np.flatnonzero(self._blank[ids])
         if len(starts) != len(words):
@@ -84,22 +97,40 @@ class Encoder:
         whole, at = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
         return [whole[a:b] for a, b in pairwise(at)]
 
+    def _learn(self, words: list[str]) -> None:
+        """Remember new words. Letters are one piece for the splitter and so are the signs after them."""
+        plain, odd, signed = {}, [], []
+        for word in words:
+            found = _PLAIN.fullmatch(word)
+            if not found:
+                odd.append(word)
+            elif found[2]:
+                signed.append((word, *found.groups()))
+                if found[1] not in self._new:
+                    plain[found[1]] = None
+            else:
+                plain[word] = None
+        self._new.update(zip(plain, self._each(self._by_blanks, list(plain)), strict=True))
+        self._new.update(zip(odd, self._each(self._tokenizer, odd), strict=True))
+        signs = {sign: self._whole(sign).tobytes() for sign in {s for _, _, s in signed}}
+        self._new.update((word, self._new[letters] + signs[sign]) for word, letters, sign in signed)
+
     def _known(self, words: list[str]) -> list[bytes]:
         """Ids of distinct words with a blank before each, remembered or learned."""
         if len(self._new) > MEMORY // 2:
             self._old, self._new = self._new, {}
         found = list(map(self._new.get, words))
         missing = []
-        for k, word in enumerate(words):
-            if found[k] is None:
-                found[k] = self._old.get(word)
-                if found[k] is None:
+        for k, ids in enumerate(found):
+            if ids is None:
+                ids = self._old.get(words[k])
+                if ids is None:
                     missing.append(k)
                 else:
-                    self._new[word] = found[k]
-        if missing:
-            for k, ids in zip(missing, self._each([words[k] for k in missing]), strict=True):
-                found[k] = self._new[words[k]] = ids
+                    found[k] = self._new[words[k]] = ids
+        self._learn([words[k] for k in missing])
+        for k in missing:
+            found[k] = self._new[words[k]]
         return found
 
     def _split(self, texts: list[str]) -> list[np.ndarray]:
@@ -109,13 +140,15 @@ class Encoder:
         firsts = self._tokenizer.encode_batch_fast(parts.values.take(starts[:-1]).to_pylist(), add_special_tokens=False)
         distinct = parts.values.dictionary_encode()
         each = self._known(distinct.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        sizes = np.fromiter(map(len, each), np.int32, len(each)) // 4
         ids, at = np.frombuffer(b"".join(each), "<u4"), np.cumsum(sizes) - sizes
         word = distinct.indices.to_numpy()
         size = sizes[word]
         size[starts[:-1]] = 0  # first words, without a blank before them, come from the library
         ends = np.cumsum(size)
-        found = ids[np.repeat(at[word] - (ends - size), size) + np.arange(ends[-1])]
+        place = np.arange(ends[-1])
+        place += np.repeat(at[word] - (ends - size), size)
+        found = ids[place]
         cuts = np.concatenate([[0], ends])[starts]
         return [
             np.concatenate([np.array(first.ids, "<u4"), found[a:b]])
@@ -189,11 +222,15 @@ def counted(packed: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, total = zstandard.ZstdDecompressor(), np.zeros(0, np.int64)
         for batch in batches:
-            for one in batch.column(0):
-                found = np.bincount(_unpacked(one.as_py(), tool))
-                if len(found) > len(total):
-                    total = np.concatenate([total, np.zeros(len(found) - len(total), np.int64)])
-                total[: len(found)] += found
+            some, held = [], 0
+            for k, one in enumerate(batch.column(0), 1):
+                some.append(_unpacked(one.as_py(), tool))
+                held += len(some[-1])
+                if held >= BLOCK or k == batch.num_rows:
+                    found = np.bincount(np.concatenate(some))
+                    found[: len(total)] += total[: len(found)]
+                    total = np.concatenate([found, total[len(found) :]])
+                    some, held = [], 0
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"id": seen.astype(np.int64), "n": total[seen]})
 
