@@ -5,7 +5,8 @@ from vellum.operators.search import search_postings, term
 from vellum.plans.collect import folder_captures, scan_captures
 from vellum.sources.folder import read_html_folder
 from vellum.sources.scans import read_scans, stream_scans
-from vellum.sources.store import Attempt, Store
+from vellum.sources import store as store_module
+from vellum.sources.store import Attempt, Conflict, Store
 from vellum.streaming.collect import apply_batch, collect_scans
 
 from test_extract import BODY, DCT, END, HEAD, TIME
@@ -131,7 +132,43 @@ def test_the_second_of_two_writers_fails_and_changes_nothing(spark, store):
     assert counts(store) == before and [x[0] for x in state(store)] == ["A", "B"]
 
 
-def test_an_unfinished_marker_is_passed_over(spark, store, tmp_path):
+@pytest.mark.parametrize("change", ["cursor", "remove", "index", "add"])
+def test_a_batch_committed_while_another_change_starts_stays(spark, store, monkeypatch, change):
+    """Another writer commits after a change has read what is current and before it takes a number."""
+    store.add(captures(spark, BATCH[:1]), index=False)
+    current, other = Store.current, Store(spark, store.root)
+    waiting = [captures(spark, BATCH[1:2])]
+
+    def interrupted(self):
+        now = current(self)
+        if self is store and waiting:
+            other.add(waiting.pop())
+        return now
+
+    monkeypatch.setattr(Store, "current", interrupted)
+    LATER[change](store, captures(spark, [row("C", 1, "c", "s", 9)]))
+    expected = ["A", "B", "C"] if change == "add" else ["A", "B"]
+    assert not waiting and [x[0] for x in state(store)] == expected
+    assert store.read("processed").count() == len(expected) and store.current().version == 3
+
+
+def test_a_writer_that_is_always_late_gives_up(spark, store, monkeypatch):
+    current, other = Store.current, Store(spark, store.root)
+
+    def interrupted(self):
+        now = current(self)
+        if self is store:
+            other.write_cursor(str(now.version))
+        return now
+
+    monkeypatch.setattr(Store, "current", interrupted)
+    with pytest.raises(Conflict):
+        store.write_cursor("mine")
+    assert other.read_cursor() == str(store_module.TRIES - 1)
+
+
+def test_an_unfinished_marker_is_passed_over(spark, store, tmp_path, monkeypatch):
+    monkeypatch.setattr(store_module, "UNFINISHED_SECONDS", 0.3)
     store.add(captures(spark, BATCH[:1]))
     (tmp_path / "store" / "commits" / f"{2:012d}.json").write_text('{"version": 2, "tab')
     assert store.current().version == 1 and [x[0] for x in state(store)] == ["A"]
@@ -155,6 +192,17 @@ def test_compaction_keeps_rows_and_removals(spark, store):
     assert search_postings(store.read("postings"), term("again")).count() == 1
 
 
+def test_tables_without_a_key_are_joined_too(spark, store):
+    failed = [list(row("A", 1, "a", "s", k, digest=f"d{k}")) for k in (1, 2)]
+    for values in failed:
+        values[15] = "no_created"
+        store.add(captures(spark, [tuple(values)]))
+    for table in ("quarantine", "counters"):
+        before = sorted(map(tuple, store.read(table).collect()))
+        store.compact(table)
+        assert sorted(map(tuple, store.read(table).collect())) == before and len(store.current().tables[table]) == 1
+
+
 def test_intermediate_results_go(spark, store, tmp_path):
     store.add(captures(spark, BATCH))
     assert list((tmp_path / "store" / "work").iterdir()) == []

@@ -124,10 +124,10 @@ class Near(Query):
         if any(not p.words for p in self.parts):
             return F.lit(False)
         shared = [c for c in COLUMNS if all(c in p.columns for p in self.parts)]
-        found = [self._close([starts(p, c) for p in self.parts]) for c in shared]
+        found = [self.close([starts(p, c) for p in self.parts]) for c in shared]
         return reduce(Column.__or__, found, F.lit(False))
 
-    def _close(self, positions: list[Column]) -> Column:
+    def close(self, positions: list[Column]) -> Column:
         """One pass over the merged positions, keeping the latest of each phrase."""
         events = F.array_sort(F.concat(*[_tagged(p, i) for i, p in enumerate(positions)]))
         far = -1_000_000_000
@@ -154,7 +154,7 @@ def _tagged(positions: Column, number: int) -> Column:
     return F.transform(positions, lambda at: F.struct(at.cast("int").alias("at"), F.lit(number).alias("i")))
 
 
-def _shifted(positions: Column, by: int) -> Column:
+def shifted(positions: Column, by: int) -> Column:
     return F.transform(positions, lambda at: at - by)
 
 
@@ -345,7 +345,7 @@ def search_postings(postings: DataFrame, query: Query) -> DataFrame:
 
     def starts(wanted: Phrase, column: str) -> Column:
         found = [
-            _shifted(F.col(needed[(*_word(wanted, k), column)]), k) for k in range(len(wanted.words))
+            shifted(F.col(needed[(*_word(wanted, k), column)]), k) for k in range(len(wanted.words))
         ]
         return reduce(F.array_intersect, found)
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.operators import fold, search
+from vellum.operators import explore, fold, search
 from vellum.operators.search import phrase
 from vellum.plans import canonical, render
 from vellum.plans.canonical import SCANS_SQL, UNIQUE_SQL
 from vellum.plans.collect import crawl_captures, folder_captures, scan_captures
 from vellum.plans.queries_fold import FOLDED_SQL, folded_rows
-from vellum.plans.queries_search import WORDS_SQL, _any, _PHRASE
+from vellum.plans.queries_search import CASES, WORDS_SQL, _any, _PHRASE
 from vellum.plans.registry import query
 from vellum.session import scratch_path
 from vellum.sources import scans
@@ -88,6 +91,43 @@ def store_backfill(spark, sf):
     return search.search_postings(store.read("postings"), phrase("of the"))
 
 
+@query(
+    f"WITH {WORDS_SQL} "
+    + " UNION ALL ".join(f"SELECT '{name}' AS query, id, revision FROM words WHERE {condition}" for name, (_, condition) in CASES.items())
+)
+def store_queries(spark, sf):
+    """All queries over one store, by its dictionary and from their rarest words on."""
+    store = _filled(spark, sf, index=True)
+    found = [store.search(wanted).select(F.lit(name).alias("query"), "id", "revision") for name, (wanted, _) in CASES.items()]
+    return reduce(DataFrame.union, found)
+
+
+@query(
+    f"""WITH {WORDS_SQL}, occurrences AS (
+      SELECT id, revision, 'title' AS col, unnest(title) AS term FROM words
+      UNION ALL SELECT id, revision, 'content', unnest(content) FROM words
+      UNION ALL SELECT id, revision, 'links', unnest(links) FROM words)
+    SELECT term, col, count(DISTINCT (id, revision)) AS n, count(*) AS occurrences FROM occurrences GROUP BY term, col"""
+)
+def store_dictionary(spark, sf):
+    """F2, F8: the words of a store, in order, with the number of documents and of occurrences."""
+    terms = _filled(spark, sf, index=True).read("terms")
+    return terms.groupBy("term", "col").agg(F.sum("n").alias("n"), F.sum("occurrences").alias("occurrences"))
+
+
+@query(
+    f"""WITH {WORDS_SQL}, hits AS (SELECT id, revision FROM words WHERE {_any(_PHRASE)})
+    SELECT s.id, s.revision, og_title AS title, og_description AS snippet, ts AS timestamp, src AS source
+    FROM seen s JOIN hits h ON s.id = h.id AND s.revision = h.revision
+    WHERE src = 'urlscan' AND ts < '2026-01-01T20:00:00Z' ORDER BY ts DESC, s.id, s.revision, src LIMIT 100"""
+)
+def store_explore(spark, sf):
+    """search by the index, source and time together, newest first."""
+    store = _filled(spark, sf, index=True)
+    hits = store.search(phrase("of the"))
+    return explore.explore(store.read("observations"), hits, "urlscan", "2026-01-01T20:00:00Z").drop("ord")
+
+
 _TAKEN = "SELECT DISTINCT 'D' || lpad(CAST(doc_id // 6 AS VARCHAR), 8, '0') AS id, doc_id % 2 AS revision FROM labels WHERE toxic = 1"
 
 

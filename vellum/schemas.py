@@ -48,6 +48,9 @@ PROCESSED = "digest string"
 
 POSTINGS = "term string, col string, id string, revision bigint, positions array<int>"
 
+# how many documents of a file of postings have a word, and how often they have it
+TERMS = "term string, col string, file string, n bigint, occurrences bigint"
+
 REMOVED = "id string, revision bigint"
 
 QUARANTINE = "origin string, key string, url string, status string, detail string"

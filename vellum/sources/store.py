@@ -11,8 +11,11 @@ stored ones reads the key and digest columns only.
 from __future__ import annotations
 
 import json
+import time
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
+from functools import wraps
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -21,8 +24,20 @@ from pyspark.sql import functions as F
 from vellum.operators.extract import split_quarantine
 from vellum.operators.filters import run_counters, skip_processed
 from vellum.operators.fold import first_per_digest, new_documents, observations, store_spelling
-from vellum.operators.search import build_postings
-from vellum.schemas import COUNTERS, DOCUMENTS, KEY, OBSERVATIONS, POSTINGS, PROCESSED, QUARANTINE, REMOVED, SCALARS
+from vellum.operators.cascade import count_terms, find, looked_up
+from vellum.operators.search import Query, build_postings, search_postings
+from vellum.schemas import (
+    COUNTERS,
+    DOCUMENTS,
+    KEY,
+    OBSERVATIONS,
+    POSTINGS,
+    PROCESSED,
+    QUARANTINE,
+    REMOVED,
+    SCALARS,
+    TERMS,
+)
 
 STAGED = [*KEY, *SCALARS, "src", "provenance", "timestamp", "digest", "url", "parse_status", "ord"]
 
@@ -31,12 +46,47 @@ TABLES = {
     "observations": OBSERVATIONS,
     "processed": PROCESSED,
     "postings": POSTINGS,
+    "terms": TERMS,
     "removed": REMOVED,
     "quarantine": QUARANTINE,
     "counters": COUNTERS,
 }
 #: How the rows of a table stand in its files, so that lookups skip most of them.
-SORTED = {"documents": KEY, "observations": ["ts"], "postings": ["term", "col", *KEY], "processed": ["digest"]}
+SORTED = {
+    "documents": KEY,
+    "observations": ["ts"],
+    "postings": ["term", "col", *KEY],
+    "terms": ["term", "col"],
+    "processed": ["digest"],
+    "removed": KEY,
+    "quarantine": ["key"],
+    "counters": ["status"],
+}
+#: Parquet's second format codes whole numbers, as positions are, by their differences in blocks.
+FORMATS = {"postings": {"parquet.writer.version": "v2"}}
+#: So long a marker may be in the making; after that its writer is taken for dead.
+UNFINISHED_SECONDS = 5.0
+#: So often a change is made again on top of what another writer committed meanwhile.
+TRIES = 5
+
+
+class Conflict(RuntimeError):
+    """Another writer committed first."""
+
+
+def _again(change: Callable) -> Callable:
+    """Make a change anew, from the store as it is by then, when another writer was first."""
+
+    @wraps(change)
+    def made(*args, **options):
+        for _ in range(TRIES - 1):
+            try:
+                return change(*args, **options)
+            except Conflict:
+                continue
+        return change(*args, **options)
+
+    return made
 
 
 @dataclass(frozen=True)
@@ -45,7 +95,8 @@ class Commit:
 
     ``streams`` has the last batch of every stream, ``tables`` the folders of
     every table, ``indexed`` the folders of documents whose words are in the
-    postings.
+    postings. ``newest`` is the highest number that any marker had when this one
+    was read, finished or not; it is not stored.
     """
 
     version: int = 0
@@ -53,14 +104,20 @@ class Commit:
     streams: dict[str, int] = field(default_factory=dict)
     tables: dict[str, list[str]] = field(default_factory=dict)
     indexed: list[str] = field(default_factory=list)
+    newest: int = 0
 
 
 class Attempt:
-    """Folders that one change writes; they count once its marker is there."""
+    """Folders that one change writes; they count once its marker is there.
+
+    The number follows the markers that were there when ``now`` was read. A
+    writer that commits after that takes the same number, and the later of the
+    two finds the marker made.
+    """
 
     def __init__(self, store: Store, now: Commit):
         self.store, self.now = store, now
-        self.version = store.next_version()
+        self.version = now.newest + 1
         self.name = f"{self.version:012d}-{uuid.uuid4().hex}"
         self.folders: dict[str, str] = {}
 
@@ -73,7 +130,7 @@ class Attempt:
         order = [c for c in SORTED.get(table, []) if c in rows.columns]
         if order:
             rows = rows.sortWithinPartitions(*order)
-        rows.write.parquet(self.path(table))
+        rows.write.options(**FORMATS.get(table, {})).parquet(self.path(table))
         self.folders[table] = self.name
 
     def keep(self, name: str, rows: DataFrame) -> DataFrame:
@@ -86,7 +143,7 @@ class Attempt:
         tables = {t: [*own] for t, own in self.now.tables.items()}
         for table, folder in self.folders.items():
             tables.setdefault(table, []).append(folder)
-        commit = replace(self.now, **{"version": self.version, "tables": tables, **changes})
+        commit = replace(self.now, **{"version": self.version, "newest": self.version, "tables": tables, **changes})
         self.store.publish(commit)
         return commit
 
@@ -117,31 +174,34 @@ class Store:
         names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
         return sorted((int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()), reverse=True)
 
-    def next_version(self) -> int:
-        return max(self._versions(), default=0) + 1
-
     def current(self) -> Commit:
-        """The newest commit; a marker that its writer could not finish is passed over."""
-        for version in self._versions():
-            stream = self._fs.open(self._path(f"{self.root}/commits/{version:012d}.json"))
-            try:
-                text = bytes(stream.readAllBytes()).decode()
-            finally:
-                stream.close()
-            try:
-                return Commit(**json.loads(text))
-            except ValueError:
-                continue
-        return Commit()
+        """The newest commit; a marker that its writer did not finish is passed over once it is old."""
+        versions = self._versions()
+        for version in versions:
+            began = time.monotonic()
+            while (found := self._marker(version)) is None and time.monotonic() - began < UNFINISHED_SECONDS:
+                time.sleep(0.1)
+            if found is not None:
+                return Commit(**found, newest=versions[0])
+        return Commit(newest=versions[0] if versions else 0)
+
+    def _marker(self, version: int) -> dict | None:
+        stream = self._fs.open(self._path(f"{self.root}/commits/{version:012d}.json"))
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        except ValueError:
+            return None
+        finally:
+            stream.close()
 
     def publish(self, commit: Commit) -> None:
         """Create the marker of a version; a second writer of the same version fails here."""
         marker = self._path(f"{self.root}/commits/{commit.version:012d}.json")
-        text = json.dumps(asdict(commit))
+        text = json.dumps({k: v for k, v in asdict(commit).items() if k != "newest"})
         try:
             stream = self._fs.create(marker, False)
         except Py4JJavaError as error:
-            raise RuntimeError(f"version {commit.version} of {self.root} was committed by another writer") from error
+            raise Conflict(f"version {commit.version} of {self.root} was committed by another writer") from error
         try:
             stream.write(bytearray(text.encode()))
         finally:
@@ -182,9 +242,32 @@ class Store:
         so the postings are kept first: texts are tokenised once."""
         kept = attempt.keep("postings", rows.select(*names(POSTINGS)))
         attempt.write("postings", kept.repartitionByRange(*SORTED["postings"]))
+        self._write_terms(attempt)
+
+    def _write_terms(self, attempt: Attempt) -> None:
+        """The dictionary of the postings just written: which file has how many documents of a word."""
+        written = self._folders("postings", [attempt.name])
+        attempt.write("terms", count_terms(written).repartitionByRange(*SORTED["terms"]))
+
+    def search(self, query: Query, commit: Commit | None = None) -> DataFrame:
+        """Keys of the matching documents, by the dictionary and from the rarest word on.
+
+        One small job asks the dictionary how frequent the query's words are and
+        which files hold them; no other file of the postings is opened.
+        """
+        commit = commit or self.current()
+        indexed = commit.tables.get("postings", [])
+        if set(indexed) - set(commit.tables.get("terms", [])):  # filled before there was a dictionary
+            return search_postings(self.read("postings", commit), query)
+        counts, files = looked_up(self._folders("terms", commit.tables.get("terms", [])), query)
+        schema = f"{POSTINGS}, batch bigint"
+        paths = [f"{self.root}/postings/{name}" for name in files]
+        rows = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        return find(self._visible(rows, commit), counts, query)
 
     # ------------------------------------------------------------ changes
 
+    @_again
     def add(
         self,
         parsed: DataFrame,
@@ -238,6 +321,7 @@ class Store:
             return stored
         return attempt.keep(name, stored.join(batch.select(*on).distinct(), on, "left_semi"))
 
+    @_again
     def remove(self, keys: DataFrame) -> Commit:
         """Hide documents by key from documents, observations and postings."""
         with Attempt(self, self.current()) as attempt:
@@ -249,6 +333,7 @@ class Store:
         now = self.current()
         return now if now.indexed else self.extend_index()
 
+    @_again
     def extend_index(self) -> Commit:
         """Index the documents added with ``index=False``; the marker says which folders these are."""
         now = self.current()
@@ -259,6 +344,7 @@ class Store:
             self._write_postings(attempt, build_postings(self._visible(self._folders("documents", missing), now)))
             return attempt.publish(indexed=[*now.indexed, *missing])
 
+    @_again
     def compact(self, table: str) -> Commit:
         """Put the folders of a table into one; rows and what hides them stay as they are.
 
@@ -271,10 +357,11 @@ class Store:
         if len(joined) < 2:
             return now
         with Attempt(self, now) as attempt:
-            rows = self._folders(table, joined)
-            order = SORTED.get(table)
-            attempt.write(table, rows.repartitionByRange(*order) if order else rows.coalesce(8))
+            attempt.write(table, self._folders(table, joined).repartitionByRange(*SORTED[table]))
             tables = {**now.tables, table: [*(f for f in folders if f not in joined), attempt.name]}
+            if table == "postings":
+                self._write_terms(attempt)
+                tables["terms"] = [attempt.name]
             indexed = now.indexed
             if table == "documents":
                 indexed = [*(f for f in indexed if f not in joined), attempt.name]
@@ -286,6 +373,7 @@ class Store:
         """Start of the last collection, NULL before the first."""
         return self.current().cursor
 
+    @_again
     def write_cursor(self, ts: str) -> Commit:
         with Attempt(self, self.current()) as attempt:
             return attempt.publish(cursor=ts)
