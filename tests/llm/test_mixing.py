@@ -3,6 +3,7 @@
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from vellum.llm import mixing
 
@@ -63,6 +64,52 @@ def test_targets_and_samples(spark):
     assert sorted(map(repr, again.collect())) == sorted(map(repr, got))
 
 
+def plain_extra(docs, missing, u):
+    """Documents that get one more copy: chances by size, certain ones, then by odds over inclusion odds."""
+    fits = sorted((d for d in docs if 0 < docs[d] <= missing), key=lambda d: -docs[d])
+    sure: set = set()
+    while True:
+        rest = [d for d in fits if d not in sure]
+        squares = sum(docs[d] ** 2 for d in rest)
+        factor = (missing - sum(docs[d] for d in sure)) / squares if rest else 0
+        # a size is certain when its chance reaches one, largest first
+        top = {d for d in rest if docs[d] == docs[rest[0]]} if rest and factor * docs[rest[0]] >= 1 else set()
+        if not top:
+            break
+        sure |= top
+    chance = {d: factor * docs[d] for d in rest}
+    odds = {d: (u[d] / (1 - u[d])) / (chance[d] / (1 - chance[d])) for d in rest}
+    order = [*sure, *sorted(rest, key=lambda d: odds[d]), *sorted((d for d in docs if docs[d] > missing), key=lambda d: (docs[d], d))]
+    before, taken = 0, set()
+    for d in order:
+        if before + docs[d] / 2 <= missing:
+            taken.add(d)
+        before += docs[d]
+    return taken
+
+
+def test_chances_by_size(spark):
+    sizes = {k: 1 + (k * 7919) % 197 for k in range(300)} | {500: 3000, 501: 900, 502: 0}
+    rows = [(k, "w " * n, "one") for k, n in sizes.items()]
+    docs = frame(spark, rows)
+    u = {r["doc_id"]: r["u"] for r in docs.select("doc_id", mixing.uniform(F.col("doc_id").cast("string"), ":mix").alias("u")).collect()}
+    total = sum(sizes.values())
+    for share in (0.001, 0.02, 0.1, 0.5, 0.9, 0.99, 1.3, 1.65):
+        got = {r["doc_id"]: r["copies"] for r in mixing.mix(docs, share=share).collect()}
+        extra = {d for d, n in got.items() if n > int(share) and sizes[d]}
+        assert extra == plain_extra(sizes, total * share - int(share) * total, u), share
+
+
+def test_a_text_that_fills_most_of_its_source(spark):
+    rows = [(0, "long " * 6000, "s"), *((k, "ten words " * 5, "s") for k in range(1, 401))]
+    docs = frame(spark, rows)
+    for share in (0.1, 0.25, 0.35, 0.61, 0.75, 0.9, 1.25, 1.35, 1.65):
+        taken = sum(r["taken"] for r in mixing.mix(docs, share=share).collect())
+        assert abs(taken - 10_000 * share) <= 100, (share, taken)
+    # 5500 words are out of reach: 4000 without the long text, 10,000 with all others
+    assert sum(r["taken"] for r in mixing.mix(docs, share=0.55).collect()) == 4000
+
+
 def test_rows_of_the_mix(spark):
     rows = documents()
     docs = frame(spark, rows)

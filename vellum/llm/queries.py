@@ -123,14 +123,32 @@ with recursive d as (
   select *, case when source_size > 0 then floor(target / source_size)::bigint else 0 end as whole from t
 ), m as (
   select *, target - whole * source_size as missing from k
+), fits as (
+  select m.source, m.missing, d.size, count(*) as n from d join m on d.source is not distinct from m.source
+  where d.size > 0 and d.size <= m.missing group by all
+), f as (
+  select *, (missing - coalesce(sum(size * n) over (
+      partition by source order by size desc rows between unbounded preceding and 1 preceding), 0))
+    / sum(size * size * n) over (
+      partition by source order by size desc rows between current row and unbounded following)::double as factor
+  from fits
+), c as (
+  select source, min(size) filter (factor * size >= 1) as certain,
+    arg_max(factor, size) filter (factor * size < 1) as factor
+  from f group by source
+), q as (
+  select d.doc_id, d.size, m.source, m.source_size, m.target, m.whole, m.missing,
+    case when d.size = 0 then 3 when d.size > m.missing then 2 when d.size >= c.certain then 0 else 1 end as class,
+    case when d.size > 0 and d.size <= m.missing and (c.certain is null or d.size < c.certain)
+      then (d.u / (1 - d.u)) / (c.factor * d.size / (1 - c.factor * d.size)) end as rank
+  from d join m on d.source is not distinct from m.source left join c on d.source is not distinct from c.source
 ), r as (
-  select d.doc_id, d.size, m.source_size, m.target, m.whole, m.missing,
-    coalesce(sum(d.size) over (
-      partition by d.source order by d.u, d.doc_id, d.size rows between unbounded preceding and 1 preceding), 0) as before
-  from d join m on d.source is not distinct from m.source
+  select *, coalesce(sum(size) over (
+      partition by source order by class, rank, size, doc_id rows between unbounded preceding and 1 preceding), 0) as before
+  from q
 )
 select doc_id, size, source_size, target,
-  (size * (whole + case when missing > 0 and before + size / 2 <= missing then 1 else 0 end))::bigint as taken
+  (size * (whole + case when size > 0 and missing > 0 and before + size / 2 <= missing then 1 else 0 end))::bigint as taken
 from r
 """
 

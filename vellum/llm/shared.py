@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -91,6 +91,17 @@ def with_two_columns_per_batch(
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, field]))
 
 
+def unused(columns: Sequence[str], *names: str) -> list[str]:
+    """Names for helper columns that no column has, upper and lower case alike."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def fold(id_col: str, folds: int) -> Column:
     """Remainder of the checksum of an id as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
@@ -108,6 +119,22 @@ def drawn(df: DataFrame, key: Column, size: int, rows: int) -> DataFrame:
     return hashed.orderBy("_drawn").limit(size).drop("_drawn")
 
 
+def drawn_of_each(df: DataFrame, group: str, key: Column, size: int) -> DataFrame:
+    """At most ``size`` rows of each value of a column: those with the smallest hashes of a key.
+
+    The numbers of rows, a row for each value, are sent to all tasks, which drop
+    rows above the share that is wanted before any rows of a value meet.
+    """
+    name, hashed, rows, number = unused(df.columns, "_of", "_drawn", "_rows", "_number")
+    counts = df.groupBy(F.col(group).alias(name)).agg(F.count(F.lit(1)).alias(rows))
+    place = F.xxhash64(key).cast("double") / 2.0**64 + 0.5
+    share = 1.2 * size / F.col(rows) + 1e-9
+    met = df.withColumn(hashed, place).join(F.broadcast(counts), F.col(group).eqNullSafe(F.col(name)))
+    order = Window.partitionBy(group).orderBy(hashed)
+    few = met.where(F.col(hashed) <= share).withColumn(number, F.row_number().over(order))
+    return few.where(F.col(number) <= size).select(*df.columns)
+
+
 def gram_buckets(words: list[str], orders: range, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the character n-grams of words with their borders, and the word each belongs to.
 
@@ -146,7 +173,8 @@ def kept_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col
     ``kept`` has the columns ``_id`` and ``_hash``. The join and the choice use
     one key, so texts are shuffled once.
     """
-    keys = kept.select(key_of([], F.col("_id"), F.col("_hash")).alias("_key"))
-    met = docs.withColumn("_key", row_key(docs, id_col, text_col)).join(keys, "_key", "left_semi")
-    first = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
-    return met.withColumn("_row", first).where("_row = 1").select(*docs.columns)
+    key, row = unused(docs.columns, "_key", "_row")
+    keys = kept.select(key_of([], F.col("_id"), F.col("_hash")).alias(key))
+    met = docs.withColumn(key, row_key(docs, id_col, text_col)).join(keys, key, "left_semi")
+    first = F.row_number().over(Window.partitionBy(key).orderBy(key))
+    return met.withColumn(row, first).where(F.col(row) == 1).select(*docs.columns)
