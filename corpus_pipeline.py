@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm import decontaminate, langid, mixing, secrets, simhash
-from vellum.llm.shared import table, written
+from vellum.llm.shared import table, unused, written
 
 #: Documents with a lower language score are rejected; even texts of four languages in like parts reach it.
 LANGUAGE_SCORE = 0.2
@@ -18,8 +18,9 @@ LANGUAGE_SCORE = 0.2
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: undetermined texts and those below the score go."""
-    found = langid.identify(docs, langid.fit(docs), label="_language")
-    known = (F.col("_language.lang") != langid.UNKNOWN) & (F.col("_language.score") >= LANGUAGE_SCORE)
+    (label,) = unused(docs.columns, "_language")
+    found = langid.identify(docs, langid.fit(docs), label=label)
+    known = (F.col(f"{label}.lang") != langid.UNKNOWN) & (F.col(f"{label}.score") >= LANGUAGE_SCORE)
     return found.where(known).select(*docs.columns)
 
 

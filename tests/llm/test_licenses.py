@@ -47,8 +47,9 @@ def texts():
 def test_against_plain_search(spark):
     rows = list(enumerate(texts()))
     docs = spark.createDataFrame([(*r, "x", 3) for r in rows], "doc_id long, text string, places string, _words int").repartition(3)
-    out = licenses.scan(docs.drop("_words"))
-    assert out.columns == ["doc_id", "text", "n_words", "places", "notices"]
+    out = licenses.scan(docs)
+    assert out.columns == ["doc_id", "text", "_words", "n_words", "places", "notices"]
+    assert {r["_words"] for r in out.collect()} == {3}
     got = {r["doc_id"]: r for r in out.collect()}
     for doc, text in rows:
         r = got[doc]

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.shared import as_bytes, key_of, per_batch, row_key, text_hash, written
+from vellum.llm.shared import as_bytes, key_of, per_batch, row_key, text_hash, unused, written
 
 #: Bits of a bitmap of shingles; its size, 8 MB, does not depend on the benchmark.
 BITMAP_BITS = 26
@@ -254,6 +254,7 @@ def decontaminate(
 ) -> DataFrame:
     """Input rows that are not contaminated; repeated rows stay or go together."""
     found = contamination(docs, benchmark, id_col, text_col, **options)
-    bad = found.where("contaminated").select(key_of([], F.col(id_col), F.col("_hash")).alias("_key")).distinct()
-    keyed = docs.withColumn("_key", row_key(docs, id_col, text_col))
-    return keyed.join(bad, "_key", "left_anti").select(*docs.columns)
+    (key,) = unused(docs.columns, "_key")
+    bad = found.where("contaminated").select(key_of([], F.col(id_col), F.col("_hash")).alias(key)).distinct()
+    keyed = docs.withColumn(key, row_key(docs, id_col, text_col))
+    return keyed.join(bad, key, "left_anti").select(*docs.columns)

@@ -8,6 +8,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellum.llm.shared import unused
+
 #: Runs of ASCII digits, lower-case ASCII letters and non-ASCII characters.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Share of a notice's words that must stand in their places, besides its key phrase.
@@ -132,8 +134,9 @@ def scan(
 
     own = {n: f"{prefix}{n}" for n in ("n_words", "places", "notices")}
     kept = [F.col(c) for c in docs.columns if c not in own.values()]
-    split = docs.select(*kept, _words(F.col(text_col)).alias("_words"))
-    words = F.col("_words")
+    words_col, count_col, found_col = unused(docs.columns, "_words", "_n_words", "_found")
+    split = docs.select(*kept, _words(F.col(text_col)).alias(words_col))
+    words = F.col(words_col)
     at = F.filter(
         F.transform(words, lambda w, i: F.when(w.isin(anchors), F.struct(i.alias("i"), w.alias("w")))),
         lambda p: p.isNotNull(),
@@ -158,8 +161,8 @@ def scan(
     none = F.lit(None).cast("array<struct<t: int, start: int>>")
     found = split.select(
         "*",
-        F.size(words).cast("long").alias("_n_words"),
-        F.when(F.arrays_overlap(words, F.array(*[F.lit(w) for w in anchors])), whole).otherwise(none).alias("_found"),
+        F.size(words).cast("long").alias(count_col),
+        F.when(F.arrays_overlap(words, F.array(*[F.lit(w) for w in anchors])), whole).otherwise(none).alias(found_col),
     )
 
     base_labels = F.array(*[F.lit(label) for label, _ in phrases])
@@ -168,7 +171,7 @@ def scan(
     key_at = F.array(*[F.lit(t.key_at) for t in templates])
     n = len(phrases)
     places = F.transform(
-        F.filter("_found", lambda c: c["t"] < n),
+        F.filter(found_col, lambda c: c["t"] < n),
         lambda c: F.struct(F.element_at(base_labels, c["t"] + 1).alias("label"), c["start"].cast("long").alias("first")),
     )
 
@@ -180,7 +183,7 @@ def scan(
 
     notices = F.filter(
         F.transform(
-            F.filter("_found", lambda c: c["t"] >= n),
+            F.filter(found_col, lambda c: c["t"] >= n),
             lambda c: F.struct(
                 F.element_at(notice_labels, c["t"] - n + 1).alias("label"),
                 c["start"].cast("long").alias("first"),
@@ -193,7 +196,7 @@ def scan(
     no_notices = F.array().cast("array<struct<label: string, first: bigint, coverage: double>>")
     return found.select(
         *kept,
-        F.col("_n_words").alias(own["n_words"]),
+        F.col(count_col).alias(own["n_words"]),
         F.coalesce(places, no_places).alias(own["places"]),
         F.coalesce(notices, no_notices).alias(own["notices"]),
     )
