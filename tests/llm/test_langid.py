@@ -66,6 +66,22 @@ def test_spans_of_mixed_texts_and_odd_rows(spark):
     assert all(0 <= v["score"] <= 1 for v in by_id.values())
 
 
+def test_many_languages_and_rare_ones(spark):
+    rng = np.random.default_rng(2)
+    for n in (129, 300):
+        scores = rng.normal(0, 1, (40, n)).astype(np.float32)
+        scores[:, n - 1] += 9
+        assert set(langid.viterbi(scores, np.array([40]), 2.0).tolist()) == {n - 1}
+    made = {f"l{k:03d}": " ".join(chr(0x4E00 + 40 * k + j) * 2 for j in range(30)) for k in range(130)}
+    rows = [(k, text, lang) for k, (lang, text) in enumerate(made.items())]
+    rows += [(1000 + k, "the same frequent text of one language", "en") for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    fitted = langid.fit(docs, sample=20)
+    assert fitted.langs == ["en", *made]
+    found = {r["lang"]: r["language"]["lang"] for r in langid.identify(docs, fitted).collect()}
+    assert found == {lang: lang for lang in fitted.langs}
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string")
     fitted = langid.fit(none)

@@ -14,11 +14,11 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.shared import drawn, gram_buckets, per_batch, with_column_per_batch
+from vellum.llm.shared import drawn_of_each, gram_buckets, per_batch, with_column_per_batch
 
 WORD = re.compile(r"[^\W\d_]+")
-#: Labelled documents a model is fitted on, at most; those with the smallest hash of id and text.
-SAMPLE = 4000
+#: Labelled documents of each language that a model is fitted on, at most; those with the smallest hash of id and text.
+SAMPLE = 1000
 #: Character n-grams of a word with its borders, hashed into ``2 ** BITS`` buckets.
 ORDERS = range(2, 5)
 BITS = 18
@@ -117,7 +117,7 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarra
     first = (np.cumsum(lengths) - lengths)[order]
     sizes = lengths[order]
     running = len(sizes) - np.searchsorted(sizes[::-1], np.arange(1, sizes[0] + 1), side="left")
-    came = np.empty(scores.shape, np.int8)
+    came = np.empty(scores.shape, np.int16)
     best = np.zeros((len(sizes), scores.shape[1]), np.float32)
     for t, n in enumerate(running.tolist()):
         at = first[:n] + t
@@ -125,11 +125,11 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarra
         top = now.argmax(axis=1)
         jump = np.take_along_axis(now, top[:, None], 1) - switch
         stay = now >= jump
-        came[at] = np.where(stay, np.arange(scores.shape[1], dtype=np.int8), top[:, None])
+        came[at] = np.where(stay, np.arange(scores.shape[1], dtype=np.int16), top[:, None])
         moved = np.where(stay, now, jump) + scores[at]
         best[:n] = moved
-    out = np.empty(len(scores), np.int8)
-    state = best.argmax(axis=1).astype(np.int8)
+    out = np.empty(len(scores), np.int16)
+    state = best.argmax(axis=1).astype(np.int16)
     for t in range(len(running) - 1, -1, -1):
         n = running[t]
         at = first[:n] + t
@@ -194,12 +194,13 @@ def fit(
 ) -> Model:
     """Model from a bounded sample of labelled texts; rows without text or language teach nothing.
 
-    Tasks turn texts into n-gram counts per language; the sums come to the driver.
+    At most ``sample`` texts of each language are drawn, however rare it is beside
+    the others. Tasks turn texts into n-gram counts per language; the sums come
+    to the driver.
     """
-    known = labelled.where(F.col(lang_col).isNotNull())
-    rows = known.select(lang_col).count()
+    known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     known = known.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
-    chosen = drawn(known, F.struct("_id", "_text"), sample, rows).where("_text is not null").select("_text", "_lang")
+    chosen = drawn_of_each(known, "_lang", F.struct("_id", "_text"), sample).select("_text", "_lang")
 
     def run(batch: pa.RecordBatch) -> dict:
         langs = batch.column(1).to_pylist()
@@ -225,14 +226,15 @@ def fit(
     found = counted.groupBy("lang", "script", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pylist()
     langs = sorted({r["lang"] for r in found})
     place = {lang: k for k, lang in enumerate(langs)}
-    counts = np.full((1 << BITS, max(1, len(langs))), 0.1)
+    counts = np.full((1 << BITS, max(1, len(langs))), 0.1, np.float32)
     letters = np.zeros(max(1, len(langs)))
     for r in found:
         if r["bucket"] is not None:
             counts[r["bucket"], place[r["lang"]]] += r["n"]
         else:
             letters[place[r["lang"]]] += r["n"]
-    table = np.log(counts / counts.sum(axis=0)).astype(np.float32)
+    counts /= counts.sum(axis=0, dtype=np.float64)
+    table = np.log(counts, out=counts)
     scripts: dict[str, list[int]] = {}
     for r in found:
         if r["script"] is not None and r["n"] >= SCRIPT_SHARE * letters[place[r["lang"]]]:
