@@ -1,5 +1,6 @@
 """Toxicity: disguises are undone, signs are learned, copies teach nothing, held-out results."""
 
+import itertools
 import random
 
 import numpy as np
@@ -124,3 +125,53 @@ def test_held_out(spark):
         F.sum((said & (F.col("toxic") == 1)).cast("int")), F.sum("toxic"), F.sum((said & (F.col("toxic") == 0)).cast("int"))
     ).first()
     assert row[1] > 80 and row[0] / row[1] >= 0.9 and row[2] <= 0.05 * row[1]
+
+
+def all_readings(core, shortest):
+    """Every reading of a token's runs of equal characters, with the channel's cost."""
+    runs = [(c, len(list(own))) for c, own in itertools.groupby(core)]
+
+    def choices(char, n):
+        if char.isalpha():
+            if n >= 3:
+                return [(char, toxicity.CUT), (char * 2, toxicity.CUT)]
+            return [(char * n, 0.0)] + ([(char, toxicity.CUT)] if n >= shortest else [])
+        out = [(char * n, toxicity.KEEP * n)]
+        for letter in toxicity.LEET.get(char, ""):
+            out.append((letter * n, toxicity.SWAP * n))
+            if shortest < 3 and n >= shortest:
+                out += [(letter * k, toxicity.SWAP * k + toxicity.CUT) for k in (1, 2) if k < n]
+        if char in toxicity.BETWEEN:
+            out.append(("", toxicity.DROP * n))
+        return out
+
+    def walk(k, word, cost):
+        if k == len(runs):
+            yield word, cost
+            return
+        for letters, more in choices(*runs[k]):
+            yield from walk(k + 1, word + letters, cost + more)
+            if shortest < 3 and letters and word and letters[0] == word[-1] and word[-1].isalpha():
+                yield from walk(k + 1, word, cost + more + toxicity.CUT)
+
+    yield from walk(0, "", 0.0)
+
+
+def test_the_likeliest_of_all_readings(spark):
+    chars = toxicity.count_characters(table(spark, "/root/testdata/sf0.001", "documents"))
+
+    def likelihood(word):
+        if not word:
+            return 0.0
+        framed = f"\x02{word}\x03"
+        return sum(chars.log_p(framed[k : k + 3]) for k in range(len(framed) - 2))
+
+    rng = random.Random(6)
+    for _ in range(400):
+        core = "".join(rng.choice("aeiost013$@!.-l") * rng.choice((1, 1, 1, 2, 3)) for _ in range(rng.randint(1, 5)))
+        for shortest in (2, toxicity.RUN):
+            values = {}
+            for word, cost in all_readings(core, shortest):
+                values[word] = max(values.get(word, -1e9), cost + likelihood(word))
+            best = chars.restore(core, shortest)
+            assert values[best] == pytest.approx(max(values.values())), (core, shortest, best)

@@ -8,6 +8,7 @@ Viterbi takes the path that a character model of the corpus finds likeliest.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -52,10 +53,11 @@ GROUP = 256
 PRIOR = 4.0
 #: Score of a text without signs, at most.
 BASE = 0.05
-#: Tokens whose scores a worker remembers, and tokens that are looked up at a time, about.
-MEMORY, CHUNK = 300_000, 300_000
+#: Tokens whose signs a worker remembers, and tokens that are looked up at a time, about.
+MEMORY, CHUNK = 1_000_000, 300_000
 
 _MASK = (1 << 64) - 1
+_DOUBLED = re.compile(r"(.)\1", re.DOTALL)
 
 
 def _bucket(gram: str) -> int:
@@ -78,6 +80,8 @@ def core_of(token: str) -> str:
 
 def may_repeat(core: str) -> bool:
     """Whether neighbours can stand for the same letter, next to each other or with characters put between."""
+    if core.isalpha():
+        return bool(_DOUBLED.search(core))
     before: str = ""
     for char in core:
         letters = char if char.isalpha() else LEET.get(char, "")
@@ -207,6 +211,8 @@ def restored_words(tokens: list[str], model: CharModel, memory: dict[str, tuple[
 
 def joined_letters(tokens: list[str]) -> list[str]:
     """Words spelled by runs of tokens of one letter or sign."""
+    if "s" * APART not in "".join(["s" if len(t) <= 3 else "l" for t in tokens]):
+        return []
     out, run = [], []
     for token in [*tokens, "--"]:
         core = core_of(token) if len(token) <= 3 else ""
@@ -264,21 +270,41 @@ class Model:
     chances: np.ndarray
     base: float
     memory: dict[str, tuple[int, ...] | None] = field(default_factory=dict)
+    older: dict[str, tuple[int, ...] | None] = field(default_factory=dict)
 
     def _learn(self, tokens: list[str]) -> None:
-        """Remember which signs every token holds; None for one without letters."""
-        if len(self.memory) > MEMORY:
-            self.memory = {}
-        missing = list({t for t in tokens if t not in self.memory})
-        words = restored_words(missing, self.chars, {})
-        self.memory.update((t, () if own else None) for t, own in zip(missing, words))
-        if not missing or not len(self.grams):
+        """Remember which signs every token holds; None for one without letters.
+
+        When ``MEMORY`` is full its older half goes. Tokens of one core share
+        their signs, so a core is restored once.
+        """
+        if len(self.memory) > MEMORY // 2:
+            self.older, self.memory = self.memory, {}
+        cores: dict[str, list[str]] = {}
+        for token in set(tokens).difference(self.memory):
+            if token in self.older:
+                self.memory[token] = self.older[token]
+            else:
+                cores.setdefault(core_of(token), []).append(token)
+        words = restored_words(list(cores), self.chars, {})
+        known: list[tuple[int, ...] | None] = [() if own else None for own in words]
+        for core, gram in self._held(words):
+            known[core] += (gram,)
+        for signs, own in zip(known, cores.values(), strict=True):
+            for token in own:
+                self.memory[token] = signs
+
+    def _held(self, words: list[tuple[str, ...]]) -> Iterator[tuple[int, int]]:
+        """Places of tokens, given by their words, and of the signs that they hold; n-grams that are no sign go first."""
+        flat = [w for own in words for w in own]
+        if not flat or not len(self.grams):
             return
-        ids, owner = _token_grams(words)
-        at = np.minimum(np.searchsorted(self.grams, ids), len(self.grams) - 1)
-        hit = self.grams[at] == ids
-        for k, gram in zip(owner[hit].tolist(), at[hit].tolist()):
-            self.memory[missing[k]] += (gram,)
+        owner = np.repeat(np.arange(len(words)), [len(own) for own in words])
+        ids, at = _grams(flat)
+        place = np.minimum(np.searchsorted(self.grams, ids), len(self.grams) - 1)
+        hit = self.grams[place] == ids
+        pairs = np.unique(np.stack([owner[at[hit]], place[hit]]), axis=1)
+        yield from zip(*pairs.tolist(), strict=True)
 
     def _chance(self, found: list[tuple[int, ...]], total: int) -> float:
         best = self.base
