@@ -41,18 +41,18 @@ def test_unicode_trim(spark):
 
 
 def test_time(spark):
-    numbers = ["1.759713531746E12", "1.7E", "1.2.3", "1E400", "-1", "0", "253402300800000", "2.6E14", "9.3E15"]
+    numbers = ["1.741964966535E12", "1.7E", "1.2.3", "1E400", "-1", "0", "253402300800000", "2.6E14", "9.3E15"]
     shown = column(spark, numbers, lambda c: text.rfc3339_millis(text.epoch_millis(c)))
-    assert shown == ["2025-10-06T01:18:51Z", None, None, None, "1969-12-31T23:59:59Z", "1970-01-01T00:00:00Z", "10000-01-01T00:00:00Z", "10209-01-27T06:13:20Z", None]
+    assert shown == ["2025-03-14T15:09:26Z", None, None, None, "1969-12-31T23:59:59Z", "1970-01-01T00:00:00Z", "10000-01-01T00:00:00Z", "10209-01-27T06:13:20Z", None]
 
 
 def test_time_does_not_depend_on_the_session_zone(spark):
     spark.conf.set("spark.sql.session.timeZone", "America/New_York")
     try:
-        shown = column(spark, ["1.759713531746E12"], lambda c: text.rfc3339_millis(text.epoch_millis(c)))
+        shown = column(spark, ["1.741964966535E12"], lambda c: text.rfc3339_millis(text.epoch_millis(c)))
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-    assert shown == ["2025-10-06T01:18:51Z"]
+    assert shown == ["2025-03-14T15:09:26Z"]
 
 
 def test_unescape_like_a_page(spark):

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions.text import instant, rfc3339_seconds
 from vellum.operators.skew import first_per, number_parts
 from vellum.schemas import KEY
+from vellum.session import scratch_path
 
 PAGE = 100
 NEVER = "0001-01-01T00:00:00Z"
@@ -38,6 +39,26 @@ def source_field(column: str, name: str) -> Column:
     return F.col(f"{column}.{name}")
 
 
+def json_field(value: Column, name: str) -> Column:
+    """Field of an observation kept as JSON, as text; NULL where there is none, JSON text of what is no scalar."""
+    return F.try_variant_get(value, f"$.{name}", "string")
+
+
+def explode_json_sources(docs: DataFrame, column: str = "sources") -> DataFrame:
+    """Documents whose sources are JSON text to one row per observation.
+
+    The text is parsed once, to a variant. Text that is no JSON or no array gives
+    no rows, as does an empty array; an element that is no object gives a row
+    with NULL fields, so the others keep their numbers.
+    """
+    sources = F.try_variant_get(F.try_parse_json(F.col(column)), "$", "array<variant>")
+    return docs.select(*KEY, F.posexplode(sources).alias("ord", "_source")).select(
+        *KEY,
+        *[json_field(F.col("_source"), name).alias(alias) for name, alias in (("src", "src"), ("id", "sid"), ("ts", "ts"))],
+        F.col("ord").cast("bigint").alias("ord"),
+    )
+
+
 def explore_columns(seen: DataFrame) -> DataFrame:
     """The six columns of an explore row, and the order number."""
     return seen.select(
@@ -177,6 +198,42 @@ def search_after(
     return rows.orderBy(F.desc(ts), F.desc(sid)).limit(size)
 
 
+def scan_pages(scans: DataFrame, size: int = 100, key: str = "sort_key") -> DataFrame:
+    """All scans with the number of their page, newest first, as a walk to the short page meets them.
+
+    ``page`` counts from 0 and ``place`` is the row within its page; the walk
+    ends with the page of fewer than ``size`` rows, an empty one if the last is
+    full. Scans are sorted in ranges side by side and written with their place
+    in the range. How many come before a range, a row for each range, gives the
+    rank, so no task sees more than its range.
+    """
+    spark, order = scans.sparkSession, [F.desc(f"{key}.ts"), F.desc(f"{key}.id")]
+    ranged = scans.where(F.col(key).isNotNull()).repartitionByRange(*order).sortWithinPartitions(*order)
+    numbered = ranged.select(
+        "*",
+        F.spark_partition_id().alias("_range"),
+        F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_inner"),
+    )
+    path = scratch_path(spark, "scan-pages")
+    numbered.write.parquet(path)
+    kept = spark.read.schema(numbered.schema).parquet(path)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = kept.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    rank = F.col("_before") + F.col("_inner")
+    return kept.join(F.broadcast(starts), "_range").select(
+        *scans.columns, F.floor(rank / size).alias("page"), (rank % size).alias("place")
+    )
+
+
+def page_ends(pages: DataFrame, size: int = 100, key: str = "sort_key") -> DataFrame:
+    """Of every page its rows and the key the next one starts after; NULL after the short page."""
+    rows = F.count(F.lit(1))
+    return pages.groupBy("page").agg(
+        rows.alias("rows"), F.when(rows == size, F.max_by(F.col(key), F.col("place"))).alias("search_after")
+    )
+
+
 # ---------------------------------------------------------------- pages
 
 # bytes on one page row, about; what an instance and an observation take besides the text

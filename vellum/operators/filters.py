@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions.urls import DOCUMENT_PREFIX, document_id
@@ -99,6 +99,29 @@ def run_counters(df: DataFrame, status: str = "status") -> DataFrame:
 SKIPPED = ["visibility", "export", "published", "encoding", "mime", "processed"]
 
 
+#: What becomes of a capture, by the rules above.
+REASONS = [*SKIPPED, "no_id", CANDIDATE]
+OTHER = "other"
+
+
+def observe_counters(df: DataFrame, observation: Observation, status: str = "status") -> DataFrame:
+    """The same rows, counted by reason while whatever reads them runs.
+
+    Nothing is computed for it: the tasks of that run add up the counts, and
+    ``observed_counters`` gives them afterwards. Put it where every row passes,
+    before filters and limits. A status outside ``REASONS`` counts as other.
+    """
+    value = F.coalesce(F.col(status), F.lit(OTHER))
+    counts = [F.count_if(value == reason).alias(reason) for reason in REASONS]
+    return df.observe(observation, *counts, F.count_if(~value.isin(REASONS)).alias(OTHER))
+
+
+def observed_counters(spark: SparkSession, observation: Observation) -> DataFrame:
+    """Rows per status as the run counted them; waits until the run is over."""
+    counted = [(status, n) for status, n in observation.get.items() if n]
+    return spark.createDataFrame(counted, "status string, n bigint")
+
+
 def run_summary(df: DataFrame, status: str = "status", completed: str = "ok") -> DataFrame:
     """completed / errors / skipped in one row; an id-less URL counts as none of them."""
     value = F.col(status)

@@ -10,7 +10,7 @@ from vellum.operators.fold import first_per_digest, new_documents, observations
 from vellum.plans import render
 
 START = 1767225600  # 2026-01-01T00:00:00Z
-CREATED_MS = 1759713531746
+CREATED_MS = 1741964966535
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -198,7 +198,7 @@ captures AS (
   SELECT doc_id AS ord,
     'D' || lpad(CAST(doc_id // 6 AS VARCHAR), 8, '0') AS id,
     doc_id % 2 AS revision,
-    strftime(TIMESTAMP '2025-10-06 01:18:51' + to_seconds(doc_id // 6), '%Y-%m-%dT%H:%M:%SZ') AS created,
+    strftime(TIMESTAMP '2025-03-14 15:09:26' + to_seconds(doc_id // 6), '%Y-%m-%dT%H:%M:%SZ') AS created,
     split_part(text, chr(10), 1) AS og_title,
     'About ' || source AS og_description,
     text AS content,

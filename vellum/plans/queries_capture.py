@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from vellum.functions.text import link_tokens
@@ -140,6 +141,15 @@ def skip_reason_counts(spark, sf):
     return filters.run_counters(skip_reasons(spark, sf))
 
 
+@query(_STATUS_SQL + " SELECT status, count(*) AS n FROM judged GROUP BY status")
+def skip_reasons_observed(spark, sf):
+    """Counted in flight, while the candidates are written; no second pass over the captures."""
+    observation = Observation()
+    judged = filters.observe_counters(skip_reasons(spark, sf), observation)
+    judged.where(F.col("status") == filters.CANDIDATE).write.parquet(scratch_path(spark, "candidates"))
+    return filters.observed_counters(spark, observation)
+
+
 @query(
     _STATUS_SQL
     + """ SELECT count(*) FILTER (status = 'candidate') AS completed, CAST(0 AS BIGINT) AS errors,
@@ -228,6 +238,31 @@ def scan_after_page(spark, sf):
     return _scan_rows(search_after(_scans(spark, sf), (1705000000000, "5")))
 
 
+_RANKED_SQL = f"""WITH {SCANS_SQL}, ranked AS (
+    SELECT scan_id, sort_ts, row_number() OVER (ORDER BY sort_ts DESC, scan_id DESC) - 1 AS rank FROM scans)"""
+
+
+@query(_RANKED_SQL + " SELECT scan_id, rank // 100 AS page, rank % 100 AS place FROM ranked")
+def scan_pages(spark, sf):
+    """The whole walk, every scan with its page."""
+    from vellum.operators.explore import scan_pages as walk
+
+    return walk(_scans(spark, sf)).select("scan_id", "page", "place")
+
+
+@query(
+    _RANKED_SQL
+    + """ SELECT rank // 100 AS page, count(*) AS rows, CASE WHEN count(*) = 100 THEN arg_max(sort_ts, rank) END AS after_ts,
+    CASE WHEN count(*) = 100 THEN arg_max(scan_id, rank) END AS after_id FROM ranked GROUP BY rank // 100"""
+)
+def scan_page_ends(spark, sf):
+    """Where each request of the walk starts, up to the short page."""
+    from vellum.operators.explore import page_ends, scan_pages as walk
+
+    ends = page_ends(walk(_scans(spark, sf)))
+    return ends.select("page", "rows", F.col("search_after.ts").alias("after_ts"), F.col("search_after.id").alias("after_id"))
+
+
 @query(
     """SELECT page_id, '2026-01-02T03:04:05Z' AS warc_date, md5(html) AS html_md5, CAST(NULL AS VARCHAR) AS error FROM pages
     UNION ALL SELECT page_id, NULL, NULL, 'bad_range' FROM pages WHERE page_id % 10 = 3"""

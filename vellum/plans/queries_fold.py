@@ -61,6 +61,20 @@ def exploded_sources(spark, sf):
     return rows.select("id", "revision", F.col("ord").cast("int").alias("position"), "src", "sid", "ts")
 
 
+@query(
+    f"""WITH {UNIQUE_SQL} SELECT u.id, u.revision, CAST(row_number() OVER w - 1 AS INTEGER) AS position, u.src, u.sid, u.ts
+    FROM uniq u WHERE NOT (u.revision = 1 AND right(u.id, 1) = '7') WINDOW w AS (PARTITION BY u.id, u.revision ORDER BY u.ord)"""
+)
+def sources_json(spark, sf):
+    """Sources kept as JSON text, some of it broken off, back to rows."""
+    nested = fold.fold_observations(canonical.unique_captures(spark, sf))
+    text = F.to_json("sources")
+    broken = (F.col("revision") == 1) & (F.substring("id", -1, 1) == "7")
+    docs = nested.withColumn("sources", F.when(broken, F.expr("left(to_json(sources), length(to_json(sources)) - 2)")).otherwise(text))
+    rows = explore.explode_json_sources(docs)
+    return rows.select("id", "revision", F.col("ord").cast("int").alias("position"), "src", "sid", "ts")
+
+
 @query(f"WITH {CAPTURES_SQL} SELECT id, revision, min(ord) AS ord, arg_min(digest, ord) AS digest FROM captures GROUP BY id, revision")
 def batch_key_dedup(spark, sf):
     rows = canonical.captures(spark, sf).select("id", "revision", "ord", "digest")

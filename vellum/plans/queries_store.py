@@ -128,6 +128,26 @@ def store_explore(spark, sf):
     return explore.explore(store.read("observations"), hits, "urlscan", "2026-01-01T20:00:00Z").drop("ord")
 
 
+_SEEN_ROW = "id, revision, og_title AS title, og_description AS snippet, ts AS timestamp, src AS source"
+
+
+@query(f"WITH {UNIQUE_SQL} SELECT {_SEEN_ROW} FROM seen WHERE src = 'urlscan' ORDER BY ts DESC, id, revision, src LIMIT 100")
+def store_newest(spark, sf):
+    """The newest observations of a source, from the files of the newest days."""
+    return _filled(spark, sf).newest(src="urlscan").drop("ord")
+
+
+@query(
+    f"""WITH {UNIQUE_SQL} SELECT {_SEEN_ROW} FROM seen
+    WHERE ts < (SELECT min(ts) FROM (SELECT ts FROM seen ORDER BY ts DESC LIMIT 100)) ORDER BY ts DESC, id, revision, src LIMIT 100"""
+)
+def store_page2(spark, sf):
+    """The page after the time of the newest one's last row."""
+    store = _filled(spark, sf)
+    last = store.newest().agg(F.min("timestamp")).first()[0]
+    return store.newest(cursor=last).drop("ord")
+
+
 _TAKEN = "SELECT DISTINCT 'D' || lpad(CAST(doc_id // 6 AS VARCHAR), 8, '0') AS id, doc_id % 2 AS revision FROM labels WHERE toxic = 1"
 
 
@@ -178,6 +198,28 @@ def stream_fold(spark, sf):
     return folded_rows(_nested(store))
 
 
+@query(f"WITH {UNIQUE_SQL} {FOLDED_SQL.format(captures='uniq')}")
+def poll_restart(spark, sf):
+    """A poll that runs while files land, is stopped, and goes on from its progress."""
+    landing, checkpoint = scratch_path(spark, "landing"), scratch_path(spark, "progress")
+    store = Store(spark, scratch_path(spark, "store"))
+    folders, schema = _landed(spark, sf)
+
+    def land(folder):
+        spark.read.schema(schema).parquet(folder).write.mode("append").parquet(landing)
+
+    land(folders[0])
+    stream = spark.readStream.schema(schema).parquet(landing)
+    poll = start_collection(stream, store, _parse_landed, checkpoint, every="1 second")
+    poll.processAllAvailable()
+    poll.stop()
+    land(folders[1])
+    poll = start_collection(stream, store, _parse_landed, checkpoint, every="1 second")
+    poll.processAllAvailable()
+    poll.stop()
+    return folded_rows(_nested(store))
+
+
 @query(f"WITH {UNIQUE_SQL} {FOLDED_SQL.format(captures='uniq')}")
 def two_streams(spark, sf):
     """Two streams that both start at batch 0, and one again after its progress was lost."""

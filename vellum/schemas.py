@@ -44,6 +44,12 @@ OBSERVATIONS = (
     "src string, sid string, ts string, ord bigint"
 )
 
+# the first ten signs of the time, which sort as the times do; files are kept apart by it
+DAY = "day string"
+
+# observations of a day by source
+DAYS = "day string, src string, n bigint"
+
 PROCESSED = "digest string"
 
 POSTINGS = "term string, col string, id string, revision bigint, positions array<int>"

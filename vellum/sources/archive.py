@@ -12,20 +12,23 @@ from gzip import GzipFile
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.schemas import ARCHIVE
+from vellum.session import scratch_path
 from vellum.sources.crawl import byte_range
 
 # tasks get these functions with the plan; executors need no copy of the package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LINE_LIMIT = 1024 * 1024
-# captures this close together in one file are read by one task
 #: Times a read is tried, and seconds before it is tried again, doubled each time.
 TRIES, PAUSE = 5, 0.1
+#: Captures this close together in one file are read by one task.
 STRETCH = 64 * 1024 * 1024
+#: Bytes a task reads, about; fewer where there would be less than four tasks for each core.
+TASK_BYTES = 256 * 1024 * 1024
 # decoded pages handed back to Spark at a time
 BATCH_BYTES = 32 * 1024 * 1024
 
@@ -142,24 +145,55 @@ def _with_record(batch: pa.RecordBatch, dates: list, pages: list, errors: list)
     return pa.RecordBatch.from_arrays(columns, names=batch.schema.names + ["warc_date", "html", "error"])
 
 
-def read_archive(index: DataFrame, root: str, tasks: int | None = None) -> DataFrame:
+def bins_by_bytes(ranged: DataFrame, task_bytes: int = TASK_BYTES, stretch: int = STRETCH) -> tuple[DataFrame, int]:
+    """The bin of every file and stretch, so that a bin has about ``task_bytes``; and the number of bins.
+
+    Stretches are put side by side in ranges of their order, bytes are added up
+    within each range, and the ranges' bins follow one another. A bin holds less
+    than ``task_bytes`` and one more stretch. Rows without a usable range weigh
+    nothing. The stretches, a row for each of them, are written before.
+    """
+    spark = ranged.sparkSession
+    place = F.floor(F.coalesce("offset", F.lit(0)) / stretch).alias("stretch")
+    weight = F.greatest(F.coalesce("length", F.lit(0)), F.lit(0))
+    groups = ranged.groupBy(F.col("filename").alias("file"), place).agg(F.sum(weight).alias("bytes"))
+    ordered = groups.repartitionByRange("file", "stretch").withColumn("part", F.spark_partition_id())
+    path = scratch_path(spark, "stretches")
+    ordered.write.parquet(path)
+    kept = spark.read.schema(ordered.schema).parquet(path)
+
+    total = kept.agg(F.sum("bytes")).first()[0] or 0
+    wanted = max(1, min(task_bytes, total // (4 * spark.sparkContext.defaultParallelism)))
+    before = Window.partitionBy("part").orderBy("file", "stretch").rowsBetween(Window.unboundedPreceding, -1)
+    local = kept.withColumn("local", F.floor(F.coalesce(F.sum("bytes").over(before), F.lit(0)) / wanted))
+    # a row for each range: few, whatever the index holds
+    sizes = local.groupBy("part").agg((F.max("local") + 1).alias("n"))
+    side = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("part", "n", F.coalesce(F.sum("n").over(side), F.lit(0)).alias("start"))
+    bins = local.join(F.broadcast(starts), "part").select("file", "stretch", (F.col("start") + F.col("local")).cast("int").alias("bin"))
+    return bins, int(sizes.agg(F.sum("n")).first()[0] or 1)
+
+
+def read_archive(index: DataFrame, root: str, tasks: int | None = None, task_bytes: int = TASK_BYTES) -> DataFrame:
     """Fetch and decode every capture of an index.
 
     ``root`` is a URI every executor can read. Captures are grouped by file and
     stretch of the file and read in order, so a file that holds a large share
-    of the captures is shared by many tasks. A capture that cannot be read or
-    decoded is a row with ``error`` set. Filter first: nothing moves through
-    this step. The number of tasks is explicit, because an index row is tiny
-    and adaptive execution would put thousands of fetches into one task.
+    of the captures is shared by many tasks, and every task reads about
+    ``task_bytes``: stretches are dealt out by the bytes the index gives them.
+    ``tasks`` deals them out to so many tasks by hash instead. A capture that
+    cannot be read or decoded is a row with ``error`` set. Filter first: nothing
+    moves through this step. The number of tasks is explicit, because an index
+    row is tiny and adaptive execution would put thousands of fetches into one.
     """
-    if tasks is None:
-        tasks = 4 * index.sparkSession.sparkContext.defaultParallelism
     ranged = byte_range(index)
-    placed = (
-        ranged.withColumn("_stretch", F.floor(F.coalesce("offset", F.lit(0)) / STRETCH))
-        .repartition(tasks, "filename", "_stretch")
-        .sortWithinPartitions("filename", "offset")
-        .drop("_stretch")
-    )
+    stretched = ranged.withColumn("_stretch", F.floor(F.coalesce("offset", F.lit(0)) / STRETCH))
+    if tasks is None:
+        bins, n = bins_by_bytes(ranged, task_bytes)
+        same = F.col("filename").eqNullSafe(F.col("file")) & (F.col("_stretch") == F.col("stretch"))
+        placed = stretched.join(bins, same).drop("file", "stretch").repartitionById(n, "bin").drop("bin")
+    else:
+        placed = stretched.repartition(tasks, "filename", "_stretch")
+    placed = placed.drop("_stretch").sortWithinPartitions("filename", "offset")
     schema = ", ".join(f"`{name}` {kind}" for name, kind in placed.dtypes)
     return placed.mapInArrow(_read_stretch(root.rstrip("/")), f"{schema}, {ARCHIVE}")

@@ -13,14 +13,15 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field, replace
 from functools import wraps
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.operators.explore import PAGE, explore_filter, page
 from vellum.operators.extract import split_quarantine
 from vellum.operators.filters import run_counters, skip_processed
 from vellum.operators.fold import first_per_digest, new_documents, observations, store_spelling
@@ -28,6 +29,8 @@ from vellum.operators.cascade import count_terms, find, looked_up
 from vellum.operators.search import Query, build_postings, search_postings
 from vellum.schemas import (
     COUNTERS,
+    DAY,
+    DAYS,
     DOCUMENTS,
     KEY,
     OBSERVATIONS,
@@ -43,7 +46,8 @@ STAGED = [*KEY, *SCALARS, "src", "provenance", "timestamp", "digest", "url", "pa
 
 TABLES = {
     "documents": DOCUMENTS,
-    "observations": OBSERVATIONS,
+    "observations": f"{OBSERVATIONS}, {DAY}",
+    "days": DAYS,
     "processed": PROCESSED,
     "postings": POSTINGS,
     "terms": TERMS,
@@ -61,7 +65,12 @@ SORTED = {
     "removed": KEY,
     "quarantine": ["key"],
     "counters": ["status"],
+    "days": ["day", "src"],
 }
+#: Tables whose files are kept apart by a column, so that a read opens those of the values it wants.
+APART = {"observations": "day"}
+#: The day of an observation without a time, before all others.
+NO_DAY = "!"
 #: Parquet's second format codes whole numbers, as positions are, by their differences in blocks.
 FORMATS = {"postings": {"parquet.writer.version": "v2"}}
 #: So long a marker may be in the making; after that its writer is taken for dead.
@@ -122,7 +131,7 @@ class Attempt:
         self.folders: dict[str, str] = {}
 
     def path(self, table: str) -> str:
-        return f"{self.store.root}/{table}/{self.name}"
+        return self.store.folder(table, self.name)
 
     def write(self, table: str, rows: DataFrame) -> None:
         if "batch" not in rows.columns:
@@ -130,7 +139,8 @@ class Attempt:
         order = [c for c in SORTED.get(table, []) if c in rows.columns]
         if order:
             rows = rows.sortWithinPartitions(*order)
-        rows.write.options(**FORMATS.get(table, {})).parquet(self.path(table))
+        writer = rows.write.options(**FORMATS.get(table, {}))
+        (writer.partitionBy(APART[table]) if table in APART else writer).parquet(self.path(table))
         self.folders[table] = self.name
 
     def keep(self, name: str, rows: DataFrame) -> DataFrame:
@@ -216,7 +226,14 @@ class Store:
         schema = f"{TABLES[table]}, batch bigint"
         if not folders:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{table}/{name}" for name in folders])
+        paths = [self.folder(table, name) for name in folders]
+        if table not in APART:
+            return self.spark.read.schema(schema).parquet(*paths)
+        rows = self.spark.read.schema(schema).option("basePath", f"{self.root}/{table}").parquet(*paths)
+        return rows.select(*names(schema))
+
+    def folder(self, table: str, name: str) -> str:
+        return f"{self.root}/{table}/{'attempt=' if table in APART else ''}{name}"
 
     def _visible(self, rows: DataFrame, commit: Commit) -> DataFrame:
         """Rows without the documents removed after they were stored."""
@@ -265,6 +282,44 @@ class Store:
         rows = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
         return find(self._visible(rows, commit), counts, query)
 
+    def newest(
+        self,
+        query: Query | None = None,
+        src: str | None = None,
+        cursor: Sequence | str | None = None,
+        n: int = PAGE,
+        commit: Commit | None = None,
+    ) -> DataFrame:
+        """The newest matching observations, read day by day backwards until there are ``n``.
+
+        The counts by day and source tell how many days hold ``n`` rows, so an
+        unfiltered page opens these only. A search, or documents removed since,
+        can leave fewer; then twice as many days are read, and in the end all.
+        ``cursor`` is the last row of the page before, or its time alone. The
+        page is computed before it is returned.
+        """
+        commit = commit or self.current()
+        latest = cursor if isinstance(cursor, str) or cursor is None else cursor[0]
+        days = self._days(commit, src, latest)
+        hits = None if query is None else self.search(query, commit)
+        seen, some = self.read("observations", commit), _enough(days, n, latest)
+        while True:
+            rows = seen.where(F.col("day").between(days[some - 1][0], days[0][0])) if some else seen.where(F.lit(False))
+            found = page(explore_filter(rows, hits, src), cursor, n)
+            kept = found.collect()  # n rows at most
+            if len(kept) == n or some >= len(days):
+                return self.spark.createDataFrame(kept, found.schema)
+            some = min(2 * some, len(days))
+
+    def _days(self, commit: Commit, src: str | None, latest: str | None) -> list[tuple[str, int]]:
+        """Days that hold rows of a source up to a time, newest first, with their number."""
+        rows = self._folders("days", commit.tables.get("days", []))
+        if src:
+            rows = rows.where(F.col("src") == src)
+        if latest:
+            rows = rows.where(F.col("day") <= latest[:10])
+        return [(r["day"], r["n"]) for r in rows.groupBy("day").agg(F.sum("n").alias("n")).orderBy(F.desc("day")).collect()]
+
     # ------------------------------------------------------------ changes
 
     @_again
@@ -305,7 +360,10 @@ class Store:
             added = self._folders("documents", [attempt.name])
             titles = known.unionByName(added.select(*KEY, "og_title", "og_description"))
             seen = observations(fresh, titles, number=True)
-            attempt.write("observations", seen.select(*names(OBSERVATIONS)))
+            # a day with many rows gets several tasks, few rows of many days share one
+            attempt.write("observations", seen.select(*names(OBSERVATIONS), day().alias("day")).hint("rebalance", "day"))
+            written = self._folders("observations", [attempt.name])
+            attempt.write("days", written.groupBy("day", "src").agg(F.count(F.lit(1)).alias("n")))
             attempt.write("processed", fresh.select("digest"))
             if index:
                 self._write_postings(attempt, build_postings(added))
@@ -379,6 +437,22 @@ class Store:
             return attempt.publish(cursor=ts)
 
 
+def day() -> Column:
+    """The day of an observation; it sorts as the time does, which is compared as text."""
+    head = F.substring("ts", 1, 10)
+    return F.when(F.coalesce(head, F.lit("")) == "", NO_DAY).otherwise(head)
+
+
+def _enough(days: list[tuple[str, int]], n: int, latest: str | None) -> int:
+    """How many days, from the newest on, hold ``n`` rows; the day of ``latest`` may hold none before it."""
+    held = 0
+    for k, (name, rows) in enumerate(days, 1):
+        held += 0 if latest and name == latest[:10] else rows
+        if held >= n:
+            return k
+    return len(days)
+
+
 def quarantine_rows(bad: DataFrame) -> DataFrame:
     """Captures set aside, in the shape of the quarantine table."""
     return bad.select(
