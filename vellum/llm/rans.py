@@ -26,30 +26,32 @@ import numpy as np
 
 MAGIC, VERSION = b"rANS", 1
 _HEADER = struct.Struct("<4sHHIIQQI")
-#: Frequencies are shares of ``2 ** BITS``.
-BITS = 20
+#: Frequencies are shares of a power of two: so many bits more than the ids that occur need, 12 at least and 20 at most.
+SPARE, LEAST_BITS, MOST_BITS = 4, 12, 20
 #: States stay from 2^31 up and below 2^63; code words have 32 bits.
 LOW = 1 << 31
 LANES, ROWS = 64, 256
 
 
 class Table(NamedTuple):
-    """Ids that occur, ascending, their frequencies out of ``2 ** BITS``, what stands below each, and each id's number."""
+    """Ids that occur, ascending, their frequencies out of ``2 ** bits``, what stands below each, and each id's number."""
 
     ids: np.ndarray
     frequency: np.ndarray
     below: np.ndarray
     number: np.ndarray
+    bits: int
     checksum: int
 
     def slots(self) -> np.ndarray:
-        """For each of ``2 ** BITS`` slots the number of the id it belongs to."""
+        """For each of ``2 ** bits`` slots the number of the id it belongs to."""
         return np.repeat(np.arange(len(self.ids), dtype=np.uint32), self.frequency.astype(np.int64))
 
 
 def frequencies(counts: np.ndarray) -> np.ndarray:
-    """Whole shares of ``2 ** BITS``, one at least, in proportion to the counts; the largest take what rounding leaves."""
-    whole, total = 1 << BITS, int(counts.sum())
+    """Whole shares of a power of two, one at least, in proportion to the counts; the largest take what rounding leaves."""
+    bits = min(MOST_BITS, max(LEAST_BITS, len(counts).bit_length() + SPARE))
+    whole, total = 1 << bits, int(counts.sum())
     if len(counts) > whole // 2:
         raise ValueError("more ids than the table has room for")
     if not len(counts):
@@ -75,7 +77,8 @@ def stored_table(ids: Sequence[int], shares: Sequence[int]) -> Table:
     below = np.concatenate([[0], np.cumsum(shares)[:-1]]).astype(np.uint64) if len(ids) else np.zeros(0, np.uint64)
     number = np.full(int(ids[-1]) + 1 if len(ids) else 0, -1, np.int64)
     number[ids] = np.arange(len(ids))
-    return Table(ids, shares, below, number, zlib.crc32(shares.tobytes(), zlib.crc32(ids.tobytes())))
+    bits = int(shares.sum()).bit_length() - 1 if len(ids) else LEAST_BITS
+    return Table(ids, shares, below, number, bits, zlib.crc32(shares.tobytes(), zlib.crc32(ids.tobytes())))
 
 
 def encode(blocks: Sequence[np.ndarray], known: Table, lanes: int = LANES, rows: int = ROWS) -> list[bytes]:
@@ -96,7 +99,7 @@ def encode(blocks: Sequence[np.ndarray], known: Table, lanes: int = LANES, rows:
     emitted: list[np.ndarray] = []
     owners: list[np.ndarray] = []
     counts = np.zeros((int(heights.max(initial=0)), len(order)), np.int64)  # code words by row and block
-    shift, low_bits = np.uint64(63 - BITS), np.uint64(0xFFFFFFFF)
+    bits, shift, low_bits = np.uint64(known.bits), np.uint64(63 - known.bits), np.uint64(0xFFFFFFFF)
     for t in range(len(counts) - 1, -1, -1):
         live = int(np.searchsorted(-heights, -t, side="left"))  # blocks higher than t
         place = t * lanes + lane
@@ -109,7 +112,7 @@ def encode(blocks: Sequence[np.ndarray], known: Table, lanes: int = LANES, rows:
         owners.append(np.nonzero(full)[0])
         x = np.where(full, x >> np.uint64(32), x)
         whole = x // share
-        state[:live] = np.where(inside, (whole << np.uint64(BITS)) + (x - whole * share) + below, x)
+        state[:live] = np.where(inside, (whole << bits) + (x - whole * share) + below, x)
         counts[t, :live] = full.sum(axis=1)
         if t % rows == 0:
             for k in range(live):
@@ -205,12 +208,12 @@ def _decode_alike(mine, parts, wanted, known, slots, out) -> None:
     at = np.concatenate([parts[k].places[a:b].astype(np.int64) + o for k, o in zip(mine, offset) for a, b in [wanted[k]]])
     sizes = np.concatenate([np.minimum(step, parts[k].ids - np.arange(a, b) * step) for k in mine for a, b in [wanted[k]]])
     ids = np.zeros((len(sizes), rows, lanes), np.uint32)
-    lane, mask = np.arange(lanes), np.uint64((1 << BITS) - 1)
+    lane, bits, mask = np.arange(lanes), np.uint64(known.bits), np.uint64((1 << known.bits) - 1)
     for t in range(-(-int(sizes.max()) // lanes)):
         inside = t * lanes + lane < sizes[:, None]
         slot = state & mask
         symbol = slots[slot]
-        x = known.frequency[symbol] * (state >> np.uint64(BITS)) + slot - known.below[symbol]
+        x = known.frequency[symbol] * (state >> bits) + slot - known.below[symbol]
         short = inside & (x < LOW)
         place = at[:, None] + np.cumsum(short, axis=1) - 1
         x = np.where(short, (x << np.uint64(32)) | words[np.where(short, place, -1)], x)

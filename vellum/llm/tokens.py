@@ -27,7 +27,7 @@ MEMORY = 1_000_000
 #: New words go to the library in texts of so many.
 JOINED = 128
 #: Characters of the texts that are encoded together.
-HELD = 1 << 23
+HELD = 1 << 22
 #: A blank before white space or the end. Elsewhere a byte-level splitter always parts before a blank.
 _UNSURE = re.compile(r"\x20(?=[\s\u180e\u200b\ufeff]|\Z)")
 
@@ -36,7 +36,7 @@ _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 
 
 class Encoder:
-    """Ids of texts, little-endian unsigned 32-bit, under a tokenizer of the ``tokenizers`` library.
+    """Ids of texts under a tokenizer of the ``tokenizers`` library, in 16 bits each where its vocabulary allows.
 
     A byte-level tokenizer without normalizer splits a text before every blank
     that a sign follows, so what stands between such blanks is encoded once and
@@ -75,13 +75,14 @@ class Encoder:
             )
         vocabulary = self._tokenizer.get_vocab(with_added_tokens=True)
         self.size = max(vocabulary.values(), default=-1) + 1
+        self.width = "<u2" if self.size <= 1 << 16 else "<u4"
         self._blank = np.zeros(self.size, bool)
         self._blank[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True  # as byte-level tokens write it
         self._new: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> np.ndarray:
-        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, self.width)
 
     def _each(self, tokenizer, words: list[str]) -> list[bytes]:
         """Ids of words with a blank before each: few texts to the library, parted where a token begins with a blank."""
@@ -90,11 +91,11 @@ class Encoder:
         blanked = [f"\x20{w}" for w in words]
         texts = ["".join(blanked[k : k + JOINED]) for k in range(0, len(words), JOINED)]
         found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        ids = np.concatenate([np.array(f.ids, "<u4") for f in found])
+        ids = np.concatenate([np.array(f.ids, self.width) for f in found])
         starts = np.flatnonzero(self._blank[ids])
         if len(starts) != len(words):
             return [self._whole(w).tobytes() for w in blanked]
-        whole, at = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+        whole, at = ids.tobytes(), (np.append(starts, len(ids)) * ids.itemsize).tolist()
         return [whole[a:b] for a, b in pairwise(at)]
 
     def _learn(self, words: list[str]) -> None:
@@ -140,18 +141,20 @@ class Encoder:
         firsts = self._tokenizer.encode_batch_fast(parts.values.take(starts[:-1]).to_pylist(), add_special_tokens=False)
         distinct = parts.values.dictionary_encode()
         each = self._known(distinct.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, each), np.int32, len(each)) // 4
-        ids, at = np.frombuffer(b"".join(each), "<u4"), np.cumsum(sizes) - sizes
+        ids = np.frombuffer(b"".join(each), self.width)
+        sizes = np.fromiter(map(len, each), np.int32, len(each)) // ids.itemsize
+        at = np.cumsum(sizes) - sizes
         word = distinct.indices.to_numpy()
         size = sizes[word]
         size[starts[:-1]] = 0  # first words, without a blank before them, come from the library
         ends = np.cumsum(size)
-        place = np.arange(ends[-1])
-        place += np.repeat(at[word] - (ends - size), size)
+        # a text's ids and those of its distinct words are fewer than 2^31
+        place = np.arange(ends[-1], dtype=np.int32)
+        place += np.repeat((at[word] - (ends - size)).astype(np.int32), size)
         found = ids[place]
         cuts = np.concatenate([[0], ends])[starts]
         return [
-            np.concatenate([np.array(first.ids, "<u4"), found[a:b]])
+            np.concatenate([np.array(first.ids, self.width), found[a:b]])
             for first, (a, b) in zip(firsts, pairwise(cuts.tolist()), strict=True)
         ]
 
@@ -199,13 +202,13 @@ def encoded(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, squeeze = _encoder(definition.value), zstandard.ZstdCompressor(level=3)
-        width = "<u2" if max(encoder.size, (end or 0) + 1) <= 1 << 16 else "<u4"
+        width = "<u4" if (end or 0) >= 1 << 16 else encoder.width
         tail = np.array([] if end is None else [end], width)
         for batch in batches:
             sizes, packed = [], []
             for ids in encoder.encode([t or "" for t in batch.column(1).to_pylist()]):
                 sizes.append(len(ids) + len(tail))
-                packed.append(width[-1:].encode() + squeeze.compress(np.concatenate([ids.astype(width), tail]).tobytes()))
+                packed.append(width[-1:].encode() + squeeze.compress(np.concatenate([ids.astype(width, copy=False), tail]).tobytes()))
             columns = {"doc_id": pa.array(batch.column(0), id_type), "n": sizes, "packed": packed}
             yield pa.RecordBatch.from_pydict(columns)
 
@@ -243,8 +246,8 @@ def write(
 ) -> None:
     """Write the ids of all texts, in ascending order of their documents' ids, below ``path``.
 
-    Two tables result. ``table`` has every id that occurs with its share of
-    ``2 ** rans.BITS``; all frames share it. ``frames`` has a row for each block:
+    Two tables result. ``table`` has every id that occurs with its share of a
+    power of two; all frames share it. ``frames`` has a row for each block:
     ``part`` and ``block`` in order, ``first`` (ids before it in its part),
     ``ids``, the binary ``frame`` and its ``docs`` (id and number of ids, in
     order). The frame is the file format of ``rans``; Parquet is its container,
