@@ -23,11 +23,11 @@ from vellum.llm.shared import written
 #: A block takes whole documents until it holds this many ids; so many blocks are encoded or decoded at a time.
 BLOCK, TOGETHER = 1 << 16, 32
 #: Words a Python worker remembers, some 200 bytes each; at this number the older half of them goes.
-MEMORY = 1_000_000
+MEMORY = 400_000
 #: New words go to the library in texts of so many.
 JOINED = 128
 #: Characters of the texts that are encoded together.
-HELD = 1 << 22
+HELD = 1 << 23
 #: A blank before white space or the end. Elsewhere a byte-level splitter always parts before a blank.
 _UNSURE = re.compile(r"\x20(?=[\s\u180e\u200b\ufeff]|\Z)")
 
