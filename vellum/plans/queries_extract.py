@@ -153,7 +153,7 @@ def given_values_win(spark, sf):
     f"""WITH {CAPTURES_SQL} SELECT ord, '{{"id":"' || id || '","revision":' || revision || ',"provenance":"","timestamp":"' ||
       ts || '","page_title":' || CAST(to_json(og_title || ' - Docs') AS VARCHAR) || ',"og_title":' ||
       CAST(to_json(og_title) AS VARCHAR) || ',"og_description":"About ' || id || '","og_image":"https://img.example.com/' ||
-      id || '","created":"' || left(created, 19) || '.746Z","content":' || CAST(to_json(content) AS VARCHAR) ||
+      id || '","created":"' || left(created, 19) || '.535Z","content":' || CAST(to_json(content) AS VARCHAR) ||
       ',"links":["' || array_to_string(links, '","') || '"],"image_urls":["' ||
       array_to_string(image_urls || image_urls, '","') || '"]}}' AS document FROM captures"""
 )
