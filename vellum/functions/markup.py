@@ -4,6 +4,12 @@ The pattern walks the page once. Text, comments, other elements and elements
 whose content is raw text are stepped over, so a tag inside a comment, an
 attribute or a text area never leaks. All runs are possessive: the matcher
 neither backtracks nor recurses, whatever the page holds.
+
+A script that opens a comment may hold whole script elements until the comment
+ends, as old pages hid scripts so. Drawings and formulas have rules of their own:
+a title there holds elements, and its text ends where the first of them begins.
+So their tags are kept among the segments; text there is read as elsewhere in
+what HTML a drawing embeds.
 """
 
 from __future__ import annotations
@@ -17,7 +23,7 @@ from pyspark.sql import functions as F
 _WS = r"[\t\n\f\r ]"
 _END = r"(?=[\t\n\f\r />])"
 _ATTRS = rf"""(?:[^>=]++|={_WS}*+(?:"[^"]*+"|'[^']*+')?+)*+"""
-
+_FOREIGN = "(?:svg|math)"
 
 
 def _raw_text(name: str) -> str:
@@ -25,20 +31,27 @@ def _raw_text(name: str) -> str:
     return rf"[^<]*+(?:<(?!/{name}{_END})[^<]*+)*+"
 
 
+#: Up to the end of a comment or a closing tag of a script, which does not count: it belongs to the script inside.
+_INNER_SCRIPT = rf"<script{_END}(?:[^<-]++|-(?!->)|<(?!/script{_END}))*+(?:</script)?+"
+_COMMENT_IN_SCRIPT = rf"<!(?=--)(?:[^<-]++|-(?!->)|{_INNER_SCRIPT}|<(?!/?script{_END}))*+(?:-->)?+"
+_SCRIPT_TEXT = rf"(?:[^<]++|{_COMMENT_IN_SCRIPT}|<(?!!--|/script{_END}))*+"
+
 _SKIP = "|".join(
     [
         r"[^<]++",
         r"<!--(?:-?>|[^-]*+(?:-(?!-!?>)[^-]*+)*+(?:--!?>)?+)",
         rf"<(?<raw>style|textarea|noscript|iframe|noembed|noframes|xmp){_END}{_ATTRS}>" + _raw_text(r"\k<raw>"),
-        rf"<(?!(?:script|title|meta){_END})[a-z]{_ATTRS}>",
-        r"<(?![a-z]|!--)",
+        rf"<(?!(?:script|title|meta|svg|math){_END})[a-z]{_ATTRS}>",
+        rf"<(?![a-z]|!--|/{_FOREIGN}{_END})",
     ]
 )
 _WANTED = "|".join(
     [
-        rf"<script{_END}{_ATTRS}>" + _raw_text("script"),
+        rf"<script{_END}{_ATTRS}>{_SCRIPT_TEXT}",
         rf"<title{_END}{_ATTRS}>" + _raw_text("title"),
         rf"<meta{_END}{_ATTRS}>",
+        rf"<{_FOREIGN}{_END}{_ATTRS}>",
+        rf"</{_FOREIGN}{_END}",
         r"<",
         r"\z",
     ]
@@ -54,7 +67,7 @@ def line_feeds(page: Column) -> Column:
 
 
 def segments(page: Column) -> Column:
-    """Title, meta and script elements in document order."""
+    """Title, meta and script elements, and the tags of drawings and formulas, in document order."""
     found = F.regexp_extract_all(line_feeds(page), F.lit(_SEGMENT), F.lit(2))
     return F.filter(found, lambda s: F.length(s) > 1)
 
@@ -76,9 +89,37 @@ def scripts(segs: Column) -> Column:
 
 
 def page_title(segs: Column) -> Column:
-    """Text of the last title, entities decoded; empty without one."""
+    """Text of the last title, entities decoded; empty without one.
+
+    The title of a drawing counts too; its text goes up to the first tag or comment.
+    """
     last = F.try_element_at(F.filter(segs, lambda s: _is(s, "title")), F.lit(-1))
-    return html_unescape(F.coalesce(_body(last), F.lit("")))
+    text = _body(last)
+    drawn = F.exists(segs, _opens) & (_depth_of_last_title(segs) > 0)
+    return html_unescape(F.coalesce(F.when(drawn, F.regexp_extract(text, _TEXT, 0)).otherwise(text), F.lit("")))
+
+
+_TEXT = r"(?i)\A(?:[^<]++|<(?![a-z/!?]))*+"
+
+
+def _opens(segment: Column) -> Column:
+    return F.rlike(segment, F.lit(rf"(?i)\A<{_FOREIGN}{_END}")) & ~F.endswith(segment, F.lit("/>"))
+
+
+def _depth_of_last_title(segs: Column) -> Column:
+    """How many drawings and formulas are open where the last title begins."""
+
+    def step(now: Column, segment: Column) -> Column:
+        depth = (
+            F.when(_opens(segment), now["depth"] + 1)
+            .when(F.startswith(segment, F.lit("</")), F.greatest(now["depth"] - 1, F.lit(0)))
+            .otherwise(now["depth"])
+        )
+        title = F.when(_is(segment, "title"), now["depth"]).otherwise(now["title"])
+        return F.struct(depth.alias("depth"), title.alias("title"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("title"))
+    return F.aggregate(segs, start, step, lambda now: now["title"])
 
 
 def metas(segs: Column) -> Column:
