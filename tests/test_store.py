@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from vellum.operators import explore, fold
 from vellum.operators.search import search_postings, term
@@ -76,6 +77,69 @@ def test_postings_are_built_when_missing(spark, store):
     assert search_postings(store.read("postings"), term("b")).count() == 1
 
 
+@pytest.fixture
+def many_files(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as with batches of many files
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_a_lookup_opens_the_file_of_its_document(spark, store, many_files):
+    batches = [[row(f"{k:04d}", b, f"t{b}", "s", k + 1, digest=f"{b}-{k}") for k in range(400)] for b in (1, 2)]
+    for batch in batches:
+        store.add(captures(spark, batch), index=False)
+    whole, found = store.read("documents").inputFiles(), store.lookup("0123")
+    assert len(whole) >= 8 and len(found.inputFiles()) == 2  # one of each batch
+    assert sorted((r["id"], r["revision"], r["og_title"]) for r in found.collect()) == [("0123", 1, "t1"), ("0123", 2, "t2")]
+    assert store.lookup("zzz").count() == 0 and store.lookup("").count() == 0
+    store.remove(spark.createDataFrame([("0123", 1)], "id string, revision bigint"))
+    assert [r["revision"] for r in store.lookup("0123").collect()] == [2]
+
+
+def test_revisions_of_a_hot_document_fill_several_files(spark, store, many_files):
+    store.add(captures(spark, [row("A", k, f"t{k}", "s", k + 1) for k in range(300)] + [row("B", 1, "b", "s", 999)]), index=False)
+    assert len(store.lookup("A").inputFiles()) > 1
+    assert [r["revision"] for r in store.lookup("A").orderBy("revision").collect()] == list(range(300))
+    assert [r["og_title"] for r in store.lookup("B").collect()] == ["b"]
+
+
+def asked(store):
+    n = [store.count_documents(a).first()["documents"] for a in (False, True)]
+    return n, sorted(tuple(r) for r in store.last_seen().collect()), sorted(r["revision"] for r in store.lookup("A").collect())
+
+
+def test_sketches_and_latest_times_follow_batches_compaction_and_removals(spark, store):
+    assert asked(store) == ([0, 0], [], [])
+    early, late = "2026-01-02T03:04:05Z", "2026-03-02T03:04:05Z"
+
+    def at(ts, *batch):
+        return captures(spark, batch).withColumn("timestamp", F.lit(ts))
+
+    store.add(at(late, row("A", 1, "a", "s", 1), row("B", 1, "b", "s", 2)), index=False)
+    store.add(at(early, row("A", 2, "a2", "s", 3), row("B", 1, "b", "s", 4), row("C", 1, "c", "s", 5)), index=False)
+    store.add(at("soon", row("D", 1, "d", "s", 6)), index=False)
+    # the latest revision counts, however old its observation
+    expected = ([4, 4], [("A", early), ("B", late), ("C", early), ("D", explore.NEVER)], [1, 2])
+    assert asked(store) == expected
+    store.ensure_postings()
+    for table in ("documents", "observations"):
+        store.compact(table)
+    assert asked(store) == expected and len(store.current().tables["places"]) == len(store.current().tables["latest"]) == 1
+    store.remove(spark.createDataFrame([("A", 2), ("C", 1)], "id string, revision bigint"))
+    assert asked(store) == ([3, 3], [("A", late), ("B", late), ("D", explore.NEVER)], [1])
+
+
+def test_a_store_from_before_the_small_tables_answers_too(spark, store):
+    store.add(captures(spark, BATCH[:2]), index=False)
+    now = store.current()
+    old = {t: f for t, f in now.tables.items() if t not in ("places", "latest")}
+    with Attempt(store, now) as attempt:
+        attempt.publish(tables=old)
+    before = asked(store)
+    store.add(captures(spark, BATCH[2:]), index=False)
+    assert before[0] == [2, 2] and asked(store) == before
+
+
 def counts(store):
     return {t: store.read(t).count() for t in ("documents", "observations", "processed", "postings", "quarantine")}
 
@@ -89,7 +153,7 @@ LATER = {
 }
 
 
-@pytest.mark.parametrize("broken", ["quarantine", "counters", "documents", "observations", "processed", "postings", "marker"])
+@pytest.mark.parametrize("broken", ["quarantine", "counters", "documents", "places", "observations", "latest", "processed", "postings", "marker"])
 def test_an_attempt_that_breaks_off_is_never_seen(spark, store, tmp_path, monkeypatch, broken):
     batch = captures(spark, BATCH[1:])
     store.add(captures(spark, BATCH[:1]))

@@ -169,13 +169,46 @@ def revisions_per_document(docs: DataFrame) -> DataFrame:
 
 def last_seen(seen: DataFrame) -> DataFrame:
     """Latest observation of the latest revision of every document."""
-    latest = seen.groupBy("id").agg(
-        F.max(F.struct("revision", instant(F.col("ts")).alias("at"))).alias("_latest")
-    )
-    at = rfc3339_seconds(F.unix_seconds(F.col("_latest.at")))
+    return shown_last_seen(latest_of(seen))
+
+
+def latest_of(seen: DataFrame) -> DataFrame:
+    """For every document the highest revision and its latest time, as an instant."""
+    return merged_latest(seen.select(*KEY, instant(F.col("ts")).alias("at")))
+
+
+def merged_latest(parts: DataFrame) -> DataFrame:
+    """Results of ``latest_of`` for parts of the observations become that of all of them."""
+    latest = parts.groupBy("id").agg(F.max(F.struct("revision", "at")).alias("_latest"))
+    return latest.select("id", "_latest.revision", "_latest.at")
+
+
+def shown_last_seen(latest: DataFrame) -> DataFrame:
+    at = rfc3339_seconds(F.unix_seconds("at"))
     return latest.select("id", F.coalesce(at, F.lit(NEVER)).alias("last_seen"))
 
 
+#: A sketch of distinct ids has two to the power of this many registers: the count is off by 0.8 % or so.
+SKETCH_BITS = 14
+
+
+def places_of(docs: DataFrame) -> DataFrame:
+    """Which ids each file holds, of documents read from files; ``file`` is folder and name."""
+    file = F.regexp_extract(F.input_file_name(), "([^/]+/[^/]+)$", 1).alias("file")
+    return docs.select("id", file).groupBy("file").agg(
+        F.min("id").alias("first"),
+        F.max("id").alias("last"),
+        F.count(F.lit(1)).alias("n"),
+        F.hll_sketch_agg("id", F.lit(SKETCH_BITS)).alias("ids"),
+    )
+
+
+def count_sketched(places: DataFrame) -> DataFrame:
+    """Distinct documents, about, from the sketches of their files (A4)."""
+    count = F.hll_sketch_estimate(F.hll_union_agg("ids"))
+    return places.agg(F.coalesce(count, F.lit(0)).alias("documents"))
+
+
 # ---------------------------------------------------------------- scan paging
 
 

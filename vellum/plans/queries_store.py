@@ -148,6 +148,34 @@ def store_page2(spark, sf):
     return store.newest(cursor=last).drop("ord")
 
 
+@query(
+    f"""WITH {UNIQUE_SQL} SELECT revision, created, og_title, og_description, md5(content) AS content_md5
+    FROM docs WHERE id = 'D00000003'"""
+)
+def store_lookup(spark, sf):
+    """One document's instances, from the files whose range of ids it falls in."""
+    rows = explore.history(_filled(spark, sf).lookup("D00000003"), "D00000003")
+    return rows.select("revision", "created", "og_title", "og_description", F.md5("content").alias("content_md5"))
+
+
+@query(f"WITH {UNIQUE_SQL} SELECT count(DISTINCT id) AS documents, TRUE AS close FROM docs")
+def store_count(spark, sf):
+    """A4: distinct documents of a store; its sketches tell them within 5 %."""
+    store = _filled(spark, sf)
+    about = store.count_documents(approx=True).select("documents").scalar()
+    exact = F.col("documents")
+    return store.count_documents().select("documents", (F.abs(about - exact) <= 0.05 * exact).alias("close"))
+
+
+@query(
+    f"""WITH {UNIQUE_SQL} SELECT s.id, max(s.ts) AS last_seen FROM seen s
+    WHERE s.revision = (SELECT max(revision) FROM docs d WHERE d.id = s.id) GROUP BY s.id"""
+)
+def store_last_seen(spark, sf):
+    """When every document was last seen, merged from what each batch kept."""
+    return _filled(spark, sf).last_seen()
+
+
 _TAKEN = "SELECT DISTINCT 'D' || lpad(CAST(doc_id // 6 AS VARCHAR), 8, '0') AS id, doc_id % 2 AS revision FROM labels WHERE toxic = 1"
 
 

@@ -57,6 +57,12 @@ POSTINGS = "term string, col string, id string, revision bigint, positions array
 # how many documents of a file of postings have a word, and how often they have it
 TERMS = "term string, col string, file string, n bigint, occurrences bigint"
 
+# ids of a file of documents: the first and last, how many rows, and a sketch of the distinct ones
+PLACES = "file string, first string, last string, n bigint, ids binary"
+
+# latest observation of the highest revision a batch saw of a document
+LATEST = "id string, revision bigint, at timestamp"
+
 REMOVED = "id string, revision bigint"
 
 QUARANTINE = "origin string, key string, url string, status string, detail string"

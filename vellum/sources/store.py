@@ -21,7 +21,19 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.operators.explore import PAGE, explore_filter, page
+from vellum.operators.explore import (
+    PAGE,
+    by_document,
+    count_documents,
+    count_sketched,
+    explore_filter,
+    last_seen,
+    latest_of,
+    merged_latest,
+    page,
+    places_of,
+    shown_last_seen,
+)
 from vellum.operators.extract import split_quarantine
 from vellum.operators.filters import run_counters, skip_processed
 from vellum.operators.fold import first_per_digest, new_documents, observations, store_spelling
@@ -33,7 +45,9 @@ from vellum.schemas import (
     DAYS,
     DOCUMENTS,
     KEY,
+    LATEST,
     OBSERVATIONS,
+    PLACES,
     POSTINGS,
     PROCESSED,
     QUARANTINE,
@@ -46,8 +60,10 @@ STAGED = [*KEY, *SCALARS, "src", "provenance", "timestamp", "digest", "url", "pa
 
 TABLES = {
     "documents": DOCUMENTS,
+    "places": PLACES,
     "observations": f"{OBSERVATIONS}, {DAY}",
     "days": DAYS,
+    "latest": LATEST,
     "processed": PROCESSED,
     "postings": POSTINGS,
     "terms": TERMS,
@@ -66,7 +82,11 @@ SORTED = {
     "quarantine": ["key"],
     "counters": ["status"],
     "days": ["day", "src"],
+    "places": ["first"],
+    "latest": ["id"],
 }
+#: Small tables about the files or rows of another one; their folders have the names of its folders.
+BESIDE = {"postings": "terms", "documents": "places", "observations": "latest"}
 #: Tables whose files are kept apart by a column, so that a read opens those of the values it wants.
 APART = {"observations": "day"}
 #: The day of an observation without a time, before all others.
@@ -259,12 +279,61 @@ class Store:
         so the postings are kept first: texts are tokenised once."""
         kept = attempt.keep("postings", rows.select(*names(POSTINGS)))
         attempt.write("postings", kept.repartitionByRange(*SORTED["postings"]))
-        self._write_terms(attempt)
+        self._write_beside(attempt, "postings")
+
+    def _write_beside(self, attempt: Attempt, table: str) -> None:
+        """What is kept about rows just written: the dictionary of postings, the ids of each file
+        of documents, or when a document was last seen."""
+        written = self._folders(table, [attempt.name])
+        if table == "postings":
+            attempt.write("terms", count_terms(written).repartitionByRange(*SORTED["terms"]))
+        elif table == "documents":
+            attempt.write("places", places_of(written))
+        elif table == "observations":
+            attempt.write("latest", latest_of(written))
+
+    def _beside(self, table: str, commit: Commit) -> DataFrame | None:
+        """What is kept about a table; None for a store that has folders from before it was kept."""
+        folders, kept = (commit.tables.get(t, []) for t in (table, BESIDE[table]))
+        return None if set(folders) - set(kept) else self._folders(BESIDE[table], kept)
+
+    def lookup(self, doc_id: str, commit: Commit | None = None) -> DataFrame:
+        """Revisions of one document (P11). Files whose range of ids leaves it out are not opened.
+
+        A small job asks which files these are: one of every folder, or as many
+        as the revisions of the document fill.
+        """
+        commit = commit or self.current()
+        places = self._beside("documents", commit)
+        if places is None:
+            return by_document(self.read("documents", commit), doc_id)
+        held = places.where(F.lit(doc_id).between(F.col("first"), F.col("last")))
+        paths = [f"{self.root}/documents/{r['file']}" for r in held.select("file").orderBy("file").collect()]
+        schema = f"{DOCUMENTS}, batch bigint"
+        rows = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        return self._visible(by_document(rows, doc_id), commit)
+
+    def count_documents(self, approx: bool = False, commit: Commit | None = None) -> DataFrame:
+        """Distinct documents (A4); about so many are told from the sketches of the files alone.
 
-    def _write_terms(self, attempt: Attempt) -> None:
-        """The dictionary of the postings just written: which file has how many documents of a word."""
-        written = self._folders("postings", [attempt.name])
-        attempt.write("terms", count_terms(written).repartitionByRange(*SORTED["terms"]))
+        Ids cannot be taken out of a sketch: once documents were removed, the rest are counted.
+        """
+        commit = commit or self.current()
+        places = self._beside("documents", commit) if approx and not commit.tables.get("removed") else None
+        if places is None:
+            return count_documents(self.read("documents", commit), approx)
+        return count_sketched(places)
+
+    def last_seen(self, commit: Commit | None = None) -> DataFrame:
+        """When each document was last seen (A6), from a row for each document and batch.
+
+        Once documents were removed, observations are read instead.
+        """
+        commit = commit or self.current()
+        parts = None if commit.tables.get("removed") else self._beside("observations", commit)
+        if parts is None:
+            return last_seen(self.read("observations", commit))
+        return shown_last_seen(merged_latest(parts))
 
     def search(self, query: Query, commit: Commit | None = None) -> DataFrame:
         """Keys of the matching documents, by the dictionary and from the rarest word on.
@@ -273,10 +342,10 @@ class Store:
         which files hold them; no other file of the postings is opened.
         """
         commit = commit or self.current()
-        indexed = commit.tables.get("postings", [])
-        if set(indexed) - set(commit.tables.get("terms", [])):  # filled before there was a dictionary
+        terms = self._beside("postings", commit)
+        if terms is None:
             return search_postings(self.read("postings", commit), query)
-        counts, files = looked_up(self._folders("terms", commit.tables.get("terms", [])), query)
+        counts, files = looked_up(terms, query)
         schema = f"{POSTINGS}, batch bigint"
         paths = [f"{self.root}/postings/{name}" for name in files]
         rows = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
@@ -356,7 +425,10 @@ class Store:
             stored = self.read("documents", now).select(*KEY, "og_title", "og_description")
             known = self._probe(attempt, "known", stored, fresh, KEY)
 
-            attempt.write("documents", new_documents(fresh, known).select(*names(DOCUMENTS)))
+            # ranges of ids: a lookup opens the file that can hold its document
+            new = new_documents(fresh, known).select(*names(DOCUMENTS))
+            attempt.write("documents", new.repartitionByRange(*SORTED["documents"]))
+            self._write_beside(attempt, "documents")
             added = self._folders("documents", [attempt.name])
             titles = known.unionByName(added.select(*KEY, "og_title", "og_description"))
             seen = observations(fresh, titles, number=True)
@@ -364,6 +436,7 @@ class Store:
             attempt.write("observations", seen.select(*names(OBSERVATIONS), day().alias("day")).hint("rebalance", "day"))
             written = self._folders("observations", [attempt.name])
             attempt.write("days", written.groupBy("day", "src").agg(F.count(F.lit(1)).alias("n")))
+            self._write_beside(attempt, "observations")
             attempt.write("processed", fresh.select("digest"))
             if index:
                 self._write_postings(attempt, build_postings(added))
@@ -417,9 +490,9 @@ class Store:
         with Attempt(self, now) as attempt:
             attempt.write(table, self._folders(table, joined).repartitionByRange(*SORTED[table]))
             tables = {**now.tables, table: [*(f for f in folders if f not in joined), attempt.name]}
-            if table == "postings":
-                self._write_terms(attempt)
-                tables["terms"] = [attempt.name]
+            if table in BESIDE:
+                self._write_beside(attempt, table)
+                tables[BESIDE[table]] = [*(f for f in now.tables.get(BESIDE[table], []) if f not in joined), attempt.name]
             indexed = now.indexed
             if table == "documents":
                 indexed = [*(f for f in indexed if f not in joined), attempt.name]
