@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import string
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -31,8 +32,17 @@ HELD = 1 << 23
 #: A blank before white space or the end. Elsewhere a byte-level splitter always parts before a blank.
 _UNSURE = re.compile(r"\x20(?=[\s\u180e\u200b\ufeff]|\Z)")
 
-#: Letters, and signs after them up to a word's end.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_SIGNS = string.punctuation
+
+
+def _strings(words: pa.Array) -> list[str]:
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
+def _straddles(token: str) -> bool:
+    """Letters with signs after them, which would be parted."""
+    return bool(_LETTERS.fullmatch(token.rstrip(_SIGNS))) and token[-1] in _SIGNS
 
 
 class Encoder:
@@ -53,7 +63,7 @@ class Encoder:
         known = json.loads(definition)
         split = known.get("pre_tokenizer") or {}
         plain = all(
-            not (t["single_word"] or t["lstrip"] or t["rstrip"] or any(c.isspace() for c in t["content"]))
+            not (t["single_word"] or t["lstrip"] or t["rstrip"] or any(c.isspace() for c in t["content"]) or _straddles(t["content"]))
             for t in known.get("added_tokens", ())
         )
         self._by_words = (
@@ -99,22 +109,12 @@ class Encoder:
         return [whole[a:b] for a, b in pairwise(at)]
 
     def _learn(self, words: list[str]) -> None:
-        """Remember new words. Letters are one piece for the splitter and so are the signs after them."""
-        plain, odd, signed = {}, [], []
+        """Remember new words; those of letters alone are one piece for the splitter and need no look at its pattern."""
+        plain, odd = [], []
         for word in words:
-            found = _PLAIN.fullmatch(word)
-            if not found:
-                odd.append(word)
-            elif found[2]:
-                signed.append((word, *found.groups()))
-                if found[1] not in self._new:
-                    plain[found[1]] = None
-            else:
-                plain[word] = None
-        self._new.update(zip(plain, self._each(self._by_blanks, list(plain)), strict=True))
+            (plain if _LETTERS.fullmatch(word) else odd).append(word)
+        self._new.update(zip(plain, self._each(self._by_blanks, plain), strict=True))
         self._new.update(zip(odd, self._each(self._tokenizer, odd), strict=True))
-        signs = {sign: self._whole(sign).tobytes() for sign in {s for _, _, s in signed}}
-        self._new.update((word, self._new[letters] + signs[sign]) for word, letters, sign in signed)
 
     def _known(self, words: list[str]) -> list[bytes]:
         """Ids of distinct words with a blank before each, remembered or learned."""
@@ -134,13 +134,34 @@ class Encoder:
             found[k] = self._new[words[k]]
         return found
 
+    def _signed(self, words: pa.Array) -> list[bytes]:
+        """Ids of distinct words with a blank before each.
+
+        Letters and the signs after them are two pieces for the splitter, so a
+        word with and without such signs is remembered once.
+        """
+        trimmed = pc.utf8_rtrim(words, _SIGNS)
+        stems = pc.if_else(pc.match_substring_regex(trimmed, rf"\A{_LETTERS.pattern}\z"), trimmed, words)
+        stem = stems.dictionary_encode()
+        each = self._known(_strings(stem.dictionary))
+        found = list(map(each.__getitem__, stem.indices.to_numpy().tolist()))
+        kept = pc.utf8_length(stems).to_numpy()
+        signed = np.flatnonzero(kept < pc.utf8_length(words).to_numpy())
+        signs: dict[str, bytes] = {}
+        for k, word, n in zip(signed.tolist(), _strings(words.take(pa.array(signed))), kept[signed].tolist(), strict=True):
+            sign = word[n:]
+            if sign not in signs:
+                signs[sign] = self._whole(sign).tobytes()
+            found[k] += signs[sign]
+        return found
+
     def _split(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of texts whose every blank parts words: distinct words are looked up, their ids put in place."""
         parts = pc.split_pattern(pa.array(texts, pa.large_string()), "\x20")
         starts = parts.offsets.to_numpy()
-        firsts = self._tokenizer.encode_batch_fast(parts.values.take(starts[:-1]).to_pylist(), add_special_tokens=False)
+        firsts = self._tokenizer.encode_batch_fast(_strings(parts.values.take(starts[:-1])), add_special_tokens=False)
         distinct = parts.values.dictionary_encode()
-        each = self._known(distinct.dictionary.to_pylist())
+        each = self._signed(distinct.dictionary)
         ids = np.frombuffer(b"".join(each), self.width)
         sizes = np.fromiter(map(len, each), np.int32, len(each)) // ids.itemsize
         at = np.cumsum(sizes) - sizes
