@@ -11,7 +11,7 @@ from vellum.llm import rans, tokens
 from vellum.session import scratch_path
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
-from tokenizers import Tokenizer  # noqa: E402
+from tokenizers import AddedToken, Tokenizer  # noqa: E402
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 DEFINITION = open(PATH, encoding="utf-8").read()
@@ -35,6 +35,15 @@ def test_ids_of_a_text(text):
     assert encoded(OWN, text) == whole(text).tobytes()
 
 
+@pytest.mark.parametrize("token", ["ab!", "ab", "!!", "b!a", "!a"])
+def test_added_tokens_within_words(token):
+    library = Tokenizer.from_str(DEFINITION)
+    library.add_tokens([AddedToken(token, normalized=False)])
+    own = tokens.Encoder(library.to_str())
+    for text in ("x ab! y", "xab!! ab. zab!a", "a !!! b!a! ab", " ab!"):
+        assert encoded(own, text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_memory_in_two_halves(monkeypatch):
     monkeypatch.setattr(tokens, "MEMORY", 20)
     own = tokens.Encoder(DEFINITION)
