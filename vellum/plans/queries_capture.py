@@ -207,7 +207,7 @@ def scan_dom_join(spark, sf):
     number = pages.agg(F.count(F.lit(1))).scalar()
     events = canonical.table(spark, sf, "events")
     doms = events.select(F.col("event_id").cast("string").alias("id"), (F.col("event_id") % number).alias("page_id"))
-    joined = scans.join_dom(_scans(spark, sf), doms.join(pages.select("page_id", "html"), "page_id"))
+    joined = scans.join_dom(_scans(spark, sf), doms, bodies=pages)
     return joined.select("scan_id", F.md5("html").alias("html_md5"))
 
 
