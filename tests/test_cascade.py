@@ -131,3 +131,12 @@ def test_a_store_without_dictionary(spark, tmp_path):
     now = store.current()
     now.tables.pop("terms")
     assert store.search(phrase("some words"), now).count() == 1
+
+
+def test_files_are_named_without_a_pattern(spark, written):
+    """A pattern for each posting took most of the time of a change; ``file`` is folder and name."""
+    postings, terms = written
+    plan = cascade.count_terms(postings)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan
+    names = {r["file"] for r in terms.select("file").distinct().collect()}
+    assert names and all(n.startswith("postings/part-") and n.count("/") == 1 for n in names)
