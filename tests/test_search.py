@@ -102,3 +102,24 @@ def test_random_queries_against_a_full_text_index(spark):
         wanted = sorted(str(r[0]) for r in db.execute("select rowid from t where t match ?", (spelled,)))
         assert sorted(r["id"] for r in search(docs, query).collect()) == wanted, spelled
         assert sorted(r["id"] for r in search_postings(postings, query).collect()) == wanted, spelled
+
+
+def test_postings_of_repeated_and_null_keys(spark):
+    rows = [
+        ("a", 0, "The the cat", "of the of", ["http://x.y"]), ("a", 0, None, "cat of", None), ("a", 1, "", "", []),
+        (None, None, "x", None, ["q", None]), (None, None, "x y", None, None),
+    ]
+    found = build_postings(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(((r["col"], r["term"], r["id"], r["revision"], r["positions"]) for r in found), key=repr) == sorted([
+        ("title", "the", "a", 0, [0, 1]), ("title", "cat", "a", 0, [2]),
+        ("content", "of", "a", 0, [0, 1, 2]), ("content", "the", "a", 0, [1]), ("content", "cat", "a", 0, [0]),
+        ("links", "http", "a", 0, [0]), ("links", "x", "a", 0, [1]), ("links", "y", "a", 0, [2]),
+        ("title", "x", None, None, [0, 0]), ("title", "y", None, None, [1]),
+        ("links", "q", None, None, [0]), ("links", "null", None, None, [1]),
+    ], key=repr)
+
+
+def test_postings_make_no_group_for_a_word(docs):
+    """Words are grouped inside a document's array; groups by term sorted every word and spilled."""
+    plan = build_postings(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [id" in plan and "Aggregate [term" not in plan
