@@ -121,5 +121,5 @@ def test_postings_of_repeated_and_null_keys(spark):
 
 def test_postings_make_no_group_for_a_word(docs):
     """Words are grouped inside a document's array; groups by term sorted every word and spilled."""
-    plan = build_postings(docs)._jdf.queryExecution().optimizedPlan().toString()
+    plan = build_postings(docs)._jdf.queryExecution().analyzed().toString()
     assert "Aggregate [id" in plan and "Aggregate [term" not in plan
