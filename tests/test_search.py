@@ -1,9 +1,11 @@
 import random
 import sqlite3
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from vellum.operators import search as search_module
 from vellum.operators.search import build_postings, initial, near, phrase, prefix, search, search_postings, term
 
 SCHEMA = "id string, revision bigint, og_title string, content string, links array<string>"
@@ -123,3 +125,34 @@ def test_postings_make_no_group_for_a_word(docs):
     """Words are grouped inside a document's array; groups by term sorted every word and spilled."""
     plan = build_postings(docs)._jdf.queryExecution().analyzed().toString()
     assert "Aggregate [id" in plan and "Aggregate [term" not in plan
+
+
+def test_postings_sort_no_array_of_words(docs):
+    """A document's words are numbers sorted together with others'; arrays of words were walked word by word."""
+    plan = build_postings(docs)._jdf.queryExecution().analyzed().toString()
+    assert "MapInArrow" in plan and "sort_array" not in plan
+
+
+def test_postings_of_documents_placed_apart(monkeypatch):
+    """Cuts between documents, of a batch that is itself a slice, change no row."""
+    words = [[["b", "a", "b"]], [["a"], None, ["c", "a"]], [[]], [None], [["c"]], [["b", "b"]]]
+    batch = pa.RecordBatch.from_pydict(
+        {
+            "id": [*"uvwxyz"],
+            "revision": pa.array([1, None, 3, 4, 5, 6], pa.int64()),
+            "title": pa.array([[[]]] * 6, pa.list_(pa.list_(pa.string()))),
+            "content": words,
+            "links": pa.array([[None]] * 6, pa.list_(pa.list_(pa.string()))),
+        }
+    )
+    wanted = {
+        ("v", None, "a"): [0, 1], ("v", None, "c"): [0], ("y", 5, "c"): [0], ("z", 6, "b"): [0, 1], ("u", 1, "a"): [1], ("u", 1, "b"): [0, 2],
+    }
+    for together in (1, 2, 4, 1 << 18):
+        monkeypatch.setattr(search_module, "WORDS_TOGETHER", together)
+        for first in (0, 1):
+            rows = [r for part in search_module._placed(iter([batch.slice(first)])) for r in part.to_pylist()]
+            assert all(r["col"] == "content" for r in rows)
+            found = [((r["id"], r["revision"], r["term"]), r["positions"]) for r in rows]
+            assert len(found) == len(dict(found))
+            assert dict(found) == {k: p for k, p in wanted.items() if not first or k[0] != "u"}
