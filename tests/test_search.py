@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellum.operators import search as search_module
-from vellum.operators.search import build_postings, initial, near, phrase, prefix, search, search_postings, term
+from vellum.operators.search import build_blocks, build_postings, initial, near, phrase, postings_in, prefix, search, search_postings, term
 
 SCHEMA = "id string, revision bigint, og_title string, content string, links array<string>"
 ROWS = [
@@ -121,6 +121,24 @@ def test_postings_of_repeated_and_null_keys(spark):
     ], key=repr)
 
 
+def test_blocks_hold_the_same_postings(spark, monkeypatch):
+    rows = [
+        ("b", 0, "The the cat", "of the of", ["http://x.y"]), ("a", 1, None, "cat of", None), ("a", 0, "", "the", []),
+        (None, None, "the", None, ["q", None]), ("c", None, "the", None, None),
+    ]
+    twice = [*rows, ("b", 0, "cat", "of", None), (None, None, "x the", None, None)]
+    for some, once in ((rows, True), (rows, False), (twice, False)):
+        docs = spark.createDataFrame(some, SCHEMA)
+        wanted = sorted(map(tuple, build_postings(docs).collect()), key=repr)
+        blocks = build_blocks(docs, once)
+        assert sorted(map(tuple, postings_in(blocks).collect()), key=repr) == wanted
+        for r in blocks.collect():
+            assert (r["first"], r["n"], r["occurrences"]) == (r["docs"][0]["id"], len(r["docs"]), sum(len(d["positions"]) for d in r["docs"]))
+    one = build_blocks(spark.createDataFrame(rows, SCHEMA).coalesce(1), True)
+    assert [d["id"] for d in one.where("term = 'the' and col = 'title'").first()["docs"]] == ["b", "c", None]
+    assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString()
+
+
 def test_postings_make_no_group_for_a_word(docs):
     """Words are grouped inside a document's array; groups by term sorted every word and spilled."""
     plan = build_postings(docs)._jdf.queryExecution().analyzed().toString()

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellum.operators import explore, fold
-from vellum.operators.search import search_postings, term
+from vellum.operators.search import build_postings, phrase, search_postings, term
 from vellum.plans.collect import folder_captures, scan_captures
 from vellum.sources.folder import read_html_folder
 from vellum.sources.scans import read_scans, stream_scans
@@ -77,6 +77,37 @@ def test_postings_are_built_when_missing(spark, store):
     assert search_postings(store.read("postings"), term("b")).count() == 1
 
 
+def test_files_hold_the_documents_of_a_word_together(spark, store):
+    """A row for each word and document was sorted, written and counted before."""
+    store.add(captures(spark, [row(f"{k:03d}", 1, "the end", "s", k + 1) for k in range(200)]))
+    paths = [store.folder("postings", f) for f in store.current().tables["postings"]]
+    blocks = spark.read.parquet(*paths).where("term = 'the' and col = 'title'")
+    assert blocks.count() <= 20 and blocks.agg(F.sum("n")).first()[0] == 200
+    assert store.read("postings").where("term = 'the' and col = 'title'").count() == 200
+    assert blocks.where("first <> docs[0].id or n <> size(docs)").count() == 0
+
+
+def test_postings_from_before_there_were_blocks(spark, store):
+    def words():
+        return sorted(map(tuple, store.read("postings").drop("batch").collect()))
+
+    store.add(captures(spark, BATCH[:1]), index=False)
+    now = store.current()
+    with Attempt(store, now) as attempt:
+        attempt.write("postings", build_postings(store.read("documents", now)))
+        attempt.publish(indexed=now.tables["documents"])
+    old = words()
+    assert ("a", "title", "A", 1, [0]) in old and store.search(phrase("a")).count() == 1
+    store.add(captures(spark, BATCH[1:]))
+    assert all(r in words() for r in old) and store.search(phrase("b")).count() == 1
+    before = words()
+    store.compact("postings")
+    assert words() == before
+    found = {(r["term"], r["col"]): (r["n"], r["occurrences"]) for r in store.read("terms").collect()}
+    assert found["a", "title"] == found["b", "title"] == (1, 1)
+    assert store.search(phrase("a")).count() == store.search(phrase("b")).count() == 1
+
+
 @pytest.fixture
 def many_files(spark):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as with batches of many files
