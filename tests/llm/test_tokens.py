@@ -115,6 +115,18 @@ ROWS = [(k * 37 % 400 - 3, f"text {k} of some length " * (k % 9)) for k in range
 ]
 
 
+def test_ids_are_counted_while_texts_are_encoded(spark):
+    """No table of packed ids is read for that: a task's last row says how often it met each id."""
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string").repartition(3)
+    packed = tokens.encoded(docs, PATH, 0).cache()
+    ids = np.concatenate([np.append(whole(t), 0) for _, t in ROWS])
+    wanted = dict(zip(*(x.tolist() for x in np.unique(ids, return_counts=True)), strict=True))
+    assert packed.where("seen is null").count() == len(ROWS) and 0 < packed.where("seen is not null").count() <= 3
+    assert {r["id"]: r["n"] for r in tokens.counted(packed.drop("packed")).collect()} == wanted
+    empty = tokens.encoded(docs.limit(0), PATH, 0)
+    assert tokens.counted(empty).count() == 0
+
+
 def test_round_trip(spark):
     docs = spark.createDataFrame([(*r, 1, "z", b"") for r in ROWS], "doc_id long, text string, part int, tie string, packed binary")
     path = scratch_path(spark, "token-test")

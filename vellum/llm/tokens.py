@@ -30,7 +30,7 @@ JOINED = 128
 #: Characters of the texts that are encoded together.
 HELD = 1 << 23
 #: A blank before white space or the end. Elsewhere a byte-level splitter always parts before a blank.
-_UNSURE = re.compile(r"\x20(?=[\s\u180e\u200b\ufeff]|\Z)")
+_UNSURE = r"\x20(?:[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]|\z)"
 
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _SIGNS = string.punctuation
@@ -40,6 +40,11 @@ def _strings(words: pa.Array) -> list[str]:
     return words.to_numpy(zero_copy_only=False).tolist()
 
 
+def _offsets_of(words: pa.Array) -> np.ndarray:
+    """Where each of some large strings or binaries begins in their bytes, and where the last ends."""
+    return np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+
+
 def _straddles(token: str) -> bool:
     """Letters with signs after them, which would be parted."""
     return bool(_LETTERS.fullmatch(token.rstrip(_SIGNS))) and token[-1] in _SIGNS
@@ -94,66 +99,67 @@ class Encoder:
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, self.width)
 
-    def _each(self, tokenizer, words: list[str]) -> list[bytes]:
+    def _each(self, tokenizer, words: pa.Array) -> list[bytes]:
         """Ids of words with a blank before each: few texts to the library, parted where a token begins with a blank."""
-        if not words:
+        if not len(words):
             return []
-        blanked = [f"\x20{w}" for w in words]
-        texts = ["".join(blanked[k : k + JOINED]) for k in range(0, len(words), JOINED)]
-        found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        blank = pa.scalar("\x20", pa.large_string())
+        blanked = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), words, blank)
+        bounds, letters = _offsets_of(blanked), memoryview(blanked.buffers()[2])
+        cuts = [*bounds[:-1:JOINED].tolist(), int(bounds[-1])]
+        found = tokenizer.encode_batch_fast([str(letters[a:b], "utf-8") for a, b in pairwise(cuts)], add_special_tokens=False)
         ids = np.concatenate([np.array(f.ids, self.width) for f in found])
         starts = np.flatnonzero(self._blank[ids])
         if len(starts) != len(words):
-            return [self._whole(w).tobytes() for w in blanked]
+            return [self._whole(w).tobytes() for w in _strings(blanked)]
         whole, at = ids.tobytes(), (np.append(starts, len(ids)) * ids.itemsize).tolist()
         return [whole[a:b] for a, b in pairwise(at)]
 
-    def _learn(self, words: list[str]) -> None:
-        """Remember new words; those of letters alone are one piece for the splitter and need no look at its pattern."""
-        plain, odd = [], []
-        for word in words:
-            (plain if _LETTERS.fullmatch(word) else odd).append(word)
-        self._new.update(zip(plain, self._each(self._by_blanks, plain), strict=True))
-        self._new.update(zip(odd, self._each(self._tokenizer, odd), strict=True))
+    def _known(self, words: pa.Array, plain: np.ndarray) -> list[bytes]:
+        """Ids of distinct words with a blank before each, remembered or learned.
 
-    def _known(self, words: list[str]) -> list[bytes]:
-        """Ids of distinct words with a blank before each, remembered or learned."""
+        ``plain`` words are of letters alone: one piece for the splitter, with no need to look at its pattern.
+        """
         if len(self._new) > MEMORY // 2:
             self._old, self._new = self._new, {}
-        found = list(map(self._new.get, words))
-        missing = []
-        for k, ids in enumerate(found):
+        spelled = _strings(words)
+        found = list(map(self._new.get, spelled))
+        missing = [k for k, ids in enumerate(found) if ids is None]
+        unknown = []
+        for k, ids in zip(missing, map(self._old.get, map(spelled.__getitem__, missing)), strict=True):
             if ids is None:
-                ids = self._old.get(words[k])
-                if ids is None:
-                    missing.append(k)
-                else:
-                    found[k] = self._new[words[k]] = ids
-        self._learn([words[k] for k in missing])
-        for k in missing:
-            found[k] = self._new[words[k]]
+                unknown.append(k)
+            else:
+                found[k] = self._new[spelled[k]] = ids
+        unknown = np.array(unknown, np.int64)
+        for tokenizer, some in ((self._by_blanks, unknown[plain[unknown]]), (self._tokenizer, unknown[~plain[unknown]])):
+            learned, some = self._each(tokenizer, words.take(pa.array(some))), some.tolist()
+            self._new.update(zip(map(spelled.__getitem__, some), learned, strict=True))
+            for k, ids in zip(some, learned, strict=True):
+                found[k] = ids
         return found
 
-    def _signed(self, words: pa.Array) -> list[bytes]:
-        """Ids of distinct words with a blank before each.
+    def _signed(self, words: pa.Array) -> pa.Array:
+        """Ids of distinct words with a blank before each, as bytes.
 
         Letters and the signs after them are two pieces for the splitter, so a
         word with and without such signs is remembered once.
         """
         trimmed = pc.utf8_rtrim(words, _SIGNS)
-        stems = pc.if_else(pc.match_substring_regex(trimmed, rf"\A{_LETTERS.pattern}\z"), trimmed, words)
+        lettered = pc.match_substring_regex(trimmed, rf"\A{_LETTERS.pattern}\z")
+        stems = pc.if_else(lettered, trimmed, words)
         stem = stems.dictionary_encode()
-        each = self._known(_strings(stem.dictionary))
-        found = list(map(each.__getitem__, stem.indices.to_numpy().tolist()))
+        plain = np.zeros(len(stem.dictionary), bool)
+        plain[stem.indices.to_numpy()] = lettered.to_numpy(zero_copy_only=False)
+        each = pa.array(self._known(stem.dictionary, plain), pa.large_binary()).take(stem.indices)
         kept = pc.utf8_length(stems).to_numpy()
         signed = np.flatnonzero(kept < pc.utf8_length(words).to_numpy())
-        signs: dict[str, bytes] = {}
-        for k, word, n in zip(signed.tolist(), _strings(words.take(pa.array(signed))), kept[signed].tolist(), strict=True):
-            sign = word[n:]
-            if sign not in signs:
-                signs[sign] = self._whole(sign).tobytes()
-            found[k] += signs[sign]
-        return found
+        ends = zip(_strings(words.take(pa.array(signed))), kept[signed].tolist(), strict=True)
+        signs = pa.array([word[n:] for word, n in ends], pa.large_string()).dictionary_encode()
+        tails = pa.array([b"", *(self._whole(sign).tobytes() for sign in _strings(signs.dictionary))], pa.large_binary())
+        tail = np.zeros(len(words), np.int64)
+        tail[signed] = signs.indices.to_numpy() + 1
+        return pc.binary_join_element_wise(each, tails.take(pa.array(tail)), pa.scalar(b"", pa.large_binary()))
 
     def _split(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of texts whose every blank parts words: distinct words are looked up, their ids put in place."""
@@ -162,18 +168,12 @@ class Encoder:
         firsts = self._tokenizer.encode_batch_fast(_strings(parts.values.take(starts[:-1])), add_special_tokens=False)
         distinct = parts.values.dictionary_encode()
         each = self._signed(distinct.dictionary)
-        ids = np.frombuffer(b"".join(each), self.width)
-        sizes = np.fromiter(map(len, each), np.int32, len(each)) // ids.itemsize
-        at = np.cumsum(sizes) - sizes
-        word = distinct.indices.to_numpy()
-        size = sizes[word]
-        size[starts[:-1]] = 0  # first words, without a blank before them, come from the library
-        ends = np.cumsum(size)
-        # a text's ids and those of its distinct words are fewer than 2^31
-        place = np.arange(ends[-1], dtype=np.int32)
-        place += np.repeat((at[word] - (ends - size)).astype(np.int32), size)
-        found = ids[place]
-        cuts = np.concatenate([[0], ends])[starts]
+        word = distinct.indices.to_numpy().copy()
+        word[starts[:-1]] = len(each)  # first words, without a blank before them, come from the library
+        placed = pa.concat_arrays([each, pa.array([b""], pa.large_binary())]).take(pa.array(word))
+        ends = _offsets_of(placed) // np.dtype(self.width).itemsize
+        found = np.frombuffer(placed.buffers()[2], self.width, ends[-1]) if ends[-1] else np.zeros(0, self.width)
+        cuts = ends[starts]
         return [
             np.concatenate([np.array(first.ids, self.width), found[a:b]])
             for first, (a, b) in zip(firsts, pairwise(cuts.tolist()), strict=True)
@@ -191,7 +191,8 @@ class Encoder:
         yield from self._some(some)
 
     def _some(self, texts: list[str]) -> Iterator[np.ndarray]:
-        sure = [self._by_words and not _UNSURE.search(t) for t in texts]
+        unsure = pc.match_substring_regex(pa.array(texts, pa.large_string()), _UNSURE).to_pylist()
+        sure = [self._by_words and not u for u in unsure]
         split = iter(self._split([t for t, s in zip(texts, sure, strict=True) if s]) if any(sure) else [])
         for text, by_words in zip(texts, sure, strict=True):
             yield next(split) if by_words else self._whole(text)
@@ -217,7 +218,10 @@ def _definition(spark: SparkSession, tokenizer: str):
 def encoded(
     docs: DataFrame, tokenizer: str, end: int | None = 0, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """The id of each row, the number of its ids, and the ids packed (16 bits each where that is enough, zstd)."""
+    """The id of each row, the number of its ids, and the ids packed (16 bits each where that is enough, zstd).
+
+    A task's last row has ``seen`` instead: how often each id occurs in its rows, packed alike.
+    """
     definition = _definition(docs.sparkSession, tokenizer)
     id_type, kind = _arrow_type(docs, id_col), docs.schema[id_col].dataType.simpleString()
 
@@ -225,15 +229,23 @@ def encoded(
         encoder, squeeze = _encoder(definition.value), zstandard.ZstdCompressor(level=3)
         width = "<u4" if (end or 0) >= 1 << 16 else encoder.width
         tail = np.array([] if end is None else [end], width)
+        total = np.zeros(max(encoder.size, (end or 0) + 1), np.int64)
         for batch in batches:
-            sizes, packed = [], []
-            for ids in encoder.encode([t or "" for t in batch.column(1).to_pylist()]):
-                sizes.append(len(ids) + len(tail))
-                packed.append(width[-1:].encode() + squeeze.compress(np.concatenate([ids.astype(width, copy=False), tail]).tobytes()))
-            columns = {"doc_id": pa.array(batch.column(0), id_type), "n": sizes, "packed": packed}
+            sizes, packed, some, held = [], [], [], 0
+            for k, ids in enumerate(encoder.encode([t or "" for t in batch.column(1).to_pylist()]), 1):
+                some.append(np.concatenate([ids.astype(width, copy=False), tail]))
+                sizes.append(len(some[-1]))
+                packed.append(width[-1:].encode() + squeeze.compress(some[-1].tobytes()))
+                held += sizes[-1]
+                if held >= BLOCK or k == batch.num_rows:
+                    total += np.bincount(np.concatenate(some), minlength=len(total))
+                    some, held = [], 0
+            columns = {"doc_id": pa.array(batch.column(0), id_type), "n": sizes, "packed": packed, "seen": pa.nulls(len(sizes), pa.binary())}
             yield pa.RecordBatch.from_pydict(columns)
+        last = {"doc_id": pa.nulls(1, id_type), "n": pa.nulls(1, pa.int64()), "packed": pa.nulls(1, pa.binary())}
+        yield pa.RecordBatch.from_pydict({**last, "seen": pa.array([squeeze.compress(total.tobytes())], pa.binary())})
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n bigint, packed binary")
+    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n bigint, packed binary, seen binary")
 
 
 def _unpacked(packed: bytes, tool: zstandard.ZstdDecompressor) -> np.ndarray:
@@ -244,21 +256,16 @@ def counted(packed: DataFrame) -> DataFrame:
     """How often each id occurs: ``id``, ``n``. Tasks hand on a row for each id they saw."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, total = zstandard.ZstdDecompressor(), np.zeros(0, np.int64)
+        tool, total = zstandard.ZstdDecompressor(), None
         for batch in batches:
-            some, held = [], 0
-            for k, one in enumerate(batch.column(0), 1):
-                some.append(_unpacked(one.as_py(), tool))
-                held += len(some[-1])
-                if held >= BLOCK or k == batch.num_rows:
-                    found = np.bincount(np.concatenate(some))
-                    found[: len(total)] += total[: len(found)]
-                    total = np.concatenate([found, total[len(found) :]])
-                    some, held = [], 0
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"id": seen.astype(np.int64), "n": total[seen]})
-
-    parts = packed.select("packed").mapInArrow(run, "id bigint, n bigint")
+            for one in batch.column(0):
+                some = np.frombuffer(tool.decompress(one.as_py()), np.int64)
+                total = some if total is None else total + some
+        if total is not None:
+            seen = np.flatnonzero(total)
+            yield pa.RecordBatch.from_pydict({"id": seen.astype(np.int64), "n": total[seen]})
+
+    parts = packed.where("seen is not null").select("seen").mapInArrow(run, "id bigint, n bigint")
     return parts.groupBy("id").agg(F.sum("n").alias("n"))
 
 
@@ -278,8 +285,8 @@ def write(
     one. Null ids come first, rows of one id in the order of their ids' hashes;
     equal rows are interchangeable. Columns other than id and text are left out.
 
-    Texts are encoded once and kept packed, which is smaller than they are; that
-    table is counted, then dealt out by ranges of ids and written. A long document
+    Texts are encoded once and kept packed, which is smaller than they are, and ids
+    are counted meanwhile; then that table is dealt out by ranges of ids and written. A long document
     has a block of its own, with as many checkpoints as it needs.
     """
     spark = docs.sparkSession
@@ -333,7 +340,7 @@ def write(
         f" docs array<struct<doc_id: {id_type}, n: bigint>>"
     )
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("packed"), F.col("tie")]
-    placed = packed.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(*order)
+    placed = packed.where("seen is null").withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(*order)
     placed = placed.sortWithinPartitions(*order).select("doc_id", "packed")
     placed.mapInArrow(run, schema).write.parquet(f"{path}/frames")
 
