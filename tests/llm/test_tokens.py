@@ -53,6 +53,35 @@ def test_memory_in_two_halves(monkeypatch):
         assert len(own._new) <= 50
 
 
+def test_words_are_remembered_in_little_memory():
+    own = tokens.Encoder(DEFINITION)
+    for k in range(5):
+        text = " ".join(f"w{j}" for j in range(2000 * (k % 3), 2000 * (k % 3) + 4000))
+        assert encoded(own, text) == whole(text).tobytes()
+    assert own._new.to_pylist() and len(set(own._new.to_pylist())) == len(own._new) == len(own._ids)
+    assert own._new.get_total_buffer_size() + own._ids.get_total_buffer_size() < 60 * len(own._new)
+
+
+def test_words_met_last_stay(monkeypatch):
+    monkeypatch.setattr(tokens, "MEMORY", 20)
+    own = tokens.Encoder(DEFINITION)
+    for k in range(30):
+        text = f"x often met n{k} m{k}"
+        assert encoded(own, text) == whole(text).tobytes()
+        assert len(own._new) <= 20 and {"often", "met", f"n{k}"} <= set(own._new.to_pylist())
+
+
+def test_frames_keep_their_format():
+    """Blocks of unlike lengths, side by side; files of before are read, and the same ones are written."""
+    rng = np.random.default_rng(7)
+    blocks = [np.minimum(rng.zipf(1.4, n), 900).astype(np.uint32) for n in (40_000, 0, 1, 16_384, 70_001, 63)]
+    known = rans.table(*np.unique(np.concatenate(blocks), return_counts=True))
+    frames = rans.encode(blocks, known)
+    assert zlib.crc32(b"".join(frames)) == 2783688401
+    for block, found in zip(blocks, rans.decode(frames, known, known.slots()), strict=True):
+        assert found.tolist() == block.tolist()
+
+
 def test_many_texts(monkeypatch):
     texts = [" ".join(f"w{j}" for j in range(k % 13, k % 29 + 5)) + "  \n" * (k % 5 == 0) for k in range(200)] + ["", " ", "x"]
     for held in (1, 50, 10**6):

@@ -89,36 +89,38 @@ def encode(blocks: Sequence[np.ndarray], known: Table, lanes: int = LANES, rows:
     order = sorted(range(len(blocks)), key=lambda b: -len(blocks[b]))
     sizes = np.array([len(blocks[b]) for b in order], np.int64)
     heights = -(-sizes // lanes)
-    numbers = [_numbers(np.asarray(blocks[b], np.uint32), known) for b in order]
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if len(sizes) else sizes
-    flat = np.concatenate([*numbers, np.zeros(0, np.int64)])
-    lane = np.arange(lanes)
+    starts = np.cumsum(heights) - heights
+    # behind a block's ids stands one whose share is the whole: it changes no state and emits nothing
+    symbols = np.full((int(heights.sum()), lanes), len(known.ids), np.int32)
+    for start, size, b in zip(starts.tolist(), sizes.tolist(), order, strict=True):
+        symbols.reshape(-1)[start * lanes : start * lanes + size] = _numbers(np.asarray(blocks[b], np.uint32), known)
+    shares, belows = np.append(known.frequency, np.uint64(1 << known.bits)), np.append(known.below, np.uint64(0))
     state = np.full((len(order), lanes), LOW, np.uint64)
     stretches = -(-heights // rows)
     states = [np.zeros((n, lanes), "<u8") for n in stretches]
     emitted: list[np.ndarray] = []
-    owners: list[np.ndarray] = []
-    counts = np.zeros((int(heights.max(initial=0)), len(order)), np.int64)  # code words by row and block
-    bits, shift, low_bits = np.uint64(known.bits), np.uint64(63 - known.bits), np.uint64(0xFFFFFFFF)
-    for t in range(len(counts) - 1, -1, -1):
-        live = int(np.searchsorted(-heights, -t, side="left"))  # blocks higher than t
-        place = t * lanes + lane
-        inside = place < sizes[:live, None]
-        symbol = flat[np.where(inside, starts[:live, None] + place, 0)]
-        share, below = known.frequency[symbol], known.below[symbol]
-        x = state[:live]
-        full = inside & (x >= share << shift)
-        emitted.append((x[full] & low_bits).astype("<u4"))
-        owners.append(np.nonzero(full)[0])
-        x = np.where(full, x >> np.uint64(32), x)
-        whole = x // share
-        state[:live] = np.where(inside, (whole << bits) + (x - whole * share) + below, x)
-        counts[t, :live] = full.sum(axis=1)
+    places_of: list[np.ndarray] = []
+    height = int(heights.max(initial=0))
+    alive = np.searchsorted(-heights, -np.arange(height), side="left").tolist()  # blocks higher than each row
+    whole_share, shift = np.uint64(1 << known.bits), np.uint64(63 - known.bits)
+    for t in range(height - 1, -1, -1):
+        live = alive[t]
+        symbol = symbols[starts[:live] + t].reshape(-1)
+        share = shares[symbol]
+        x = state[:live].reshape(-1)
+        full = np.flatnonzero(x >= share << shift)
+        over = x[full]
+        emitted.append(over.astype("<u4"))
+        places_of.append(full)
+        x[full] = over >> np.uint64(32)
+        x += x // share * (whole_share - share) + belows[symbol]
         if t % rows == 0:
             for k in range(live):
                 states[k][t // rows] = state[k]
     words = np.concatenate([*emitted[::-1], np.zeros(0, "<u4")])
-    owner = np.concatenate([*owners[::-1], np.zeros(0, np.int64)])
+    owner = np.concatenate([*places_of[::-1], np.zeros(0, np.int64)]) // lanes
+    row = np.repeat(np.arange(height), np.array([len(e) for e in emitted[::-1]], np.int64))
+    counts = np.bincount(row * len(order) + owner, minlength=height * len(order)).reshape(height, len(order))  # code words by row and block
     words = words[np.argsort(owner, kind="stable")]
     ends = np.cumsum(np.bincount(owner, minlength=len(order)))
     frames: list[bytes] = [b""] * len(order)
@@ -207,19 +209,29 @@ def _decode_alike(mine, parts, wanted, known, slots, out) -> None:
     state = np.concatenate([parts[k].states[a:b] for k in mine for a, b in [wanted[k]]]).astype(np.uint64)
     at = np.concatenate([parts[k].places[a:b].astype(np.int64) + o for k, o in zip(mine, offset) for a, b in [wanted[k]]])
     sizes = np.concatenate([np.minimum(step, parts[k].ids - np.arange(a, b) * step) for k in mine for a, b in [wanted[k]]])
-    ids = np.zeros((len(sizes), rows, lanes), np.uint32)
-    lane, bits, mask = np.arange(lanes), np.uint64(known.bits), np.uint64((1 << known.bits) - 1)
-    for t in range(-(-int(sizes.max()) // lanes)):
-        inside = t * lanes + lane < sizes[:, None]
-        slot = state & mask
-        symbol = slots[slot]
-        x = known.frequency[symbol] * (state >> bits) + slot - known.below[symbol]
-        short = inside & (x < LOW)
-        place = at[:, None] + np.cumsum(short, axis=1) - 1
-        x = np.where(short, (x << np.uint64(32)) | words[np.where(short, place, -1)], x)
-        at += short.sum(axis=1)
-        state = np.where(inside, x, state)
-        ids[:, t] = known.ids[symbol]
+    # longer stretches first, so that those with a row at hand are the first ones
+    longest = np.argsort(-sizes, kind="stable")
+    state, at = state[longest], at[longest]
+    heights = -(-sizes[longest] // lanes)
+    alive = np.searchsorted(-heights, -np.arange(int(heights[0])), side="left").tolist()
+    found = np.zeros((len(sizes), rows, lanes), np.uint32)
+    bits, mask = np.uint64(known.bits), np.uint64((1 << known.bits) - 1)
+    share = known.frequency[slots]
+    rest = np.arange(len(slots), dtype=np.uint64) - known.below[slots]
+    # lanes behind a stretch's last id go on with what follows: nothing after them is read
+    for t, live in enumerate(alive):
+        old = state[:live].reshape(-1)
+        slot = (old & mask).astype(np.int64)
+        found[:live, t] = slot.reshape(live, lanes)
+        x = share[slot] * (old >> bits) + rest[slot]
+        short = np.flatnonzero(x < LOW)
+        taken = np.bincount(short // lanes, minlength=live)
+        place = np.arange(len(short)) + np.repeat(at[:live] - (np.cumsum(taken) - taken), taken)
+        x[short] = (x[short] << np.uint64(32)) | words.take(place, mode="clip")
+        at[:live] += taken
+        state[:live] = x.reshape(live, lanes)
+    ids = np.empty_like(found)
+    ids[longest] = known.ids[slots[found]]
     done = 0
     for k in mine:
         a, b = wanted[k]

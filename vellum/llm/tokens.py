@@ -23,8 +23,8 @@ from vellum.llm.shared import written
 
 #: A block takes whole documents until it holds this many ids; so many blocks are encoded or decoded at a time.
 BLOCK, TOGETHER = 1 << 16, 32
-#: Words a Python worker remembers, some 200 bytes each; at this number the older half of them goes.
-MEMORY = 400_000
+#: Words a Python worker remembers, some 40 bytes each; beyond it only the half goes on that was met last.
+MEMORY = 800_000
 #: New words go to the library in texts of so many.
 JOINED = 128
 #: Characters of the texts that are encoded together.
@@ -93,16 +93,16 @@ class Encoder:
         self.width = "<u2" if self.size <= 1 << 16 else "<u4"
         self._blank = np.zeros(self.size, bool)
         self._blank[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True  # as byte-level tokens write it
-        self._new: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
+        self._new, self._ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+        self._met, self._turn = np.zeros(0, np.int64), 0  # when each word was met last
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, self.width)
 
-    def _each(self, tokenizer, words: pa.Array) -> list[bytes]:
+    def _each(self, tokenizer, words: pa.Array) -> pa.Array:
         """Ids of words with a blank before each: few texts to the library, parted where a token begins with a blank."""
         if not len(words):
-            return []
+            return pa.array([], pa.large_binary())
         blank = pa.scalar("\x20", pa.large_string())
         blanked = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), words, blank)
         bounds, letters = _offsets_of(blanked), memoryview(blanked.buffers()[2])
@@ -111,32 +111,30 @@ class Encoder:
         ids = np.concatenate([np.array(f.ids, self.width) for f in found])
         starts = np.flatnonzero(self._blank[ids])
         if len(starts) != len(words):
-            return [self._whole(w).tobytes() for w in _strings(blanked)]
-        whole, at = ids.tobytes(), (np.append(starts, len(ids)) * ids.itemsize).tolist()
-        return [whole[a:b] for a, b in pairwise(at)]
+            return pa.array([self._whole(w).tobytes() for w in _strings(blanked)], pa.large_binary())
+        at = np.append(starts, len(ids)).astype(np.int64) * ids.itemsize
+        return pa.Array.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(at), pa.py_buffer(ids)])
 
-    def _known(self, words: pa.Array, plain: np.ndarray) -> list[bytes]:
+    def _known(self, words: pa.Array, plain: np.ndarray) -> pa.Array:
         """Ids of distinct words with a blank before each, remembered or learned.
 
         ``plain`` words are of letters alone: one piece for the splitter, with no need to look at its pattern.
         """
-        if len(self._new) > MEMORY // 2:
-            self._old, self._new = self._new, {}
-        spelled = _strings(words)
-        found = list(map(self._new.get, spelled))
-        missing = [k for k, ids in enumerate(found) if ids is None]
-        unknown = []
-        for k, ids in zip(missing, map(self._old.get, map(spelled.__getitem__, missing)), strict=True):
-            if ids is None:
-                unknown.append(k)
-            else:
-                found[k] = self._new[spelled[k]] = ids
-        unknown = np.array(unknown, np.int64)
-        for tokenizer, some in ((self._by_blanks, unknown[plain[unknown]]), (self._tokenizer, unknown[~plain[unknown]])):
-            learned, some = self._each(tokenizer, words.take(pa.array(some))), some.tolist()
-            self._new.update(zip(map(spelled.__getitem__, some), learned, strict=True))
-            for k, ids in zip(some, learned, strict=True):
-                found[k] = ids
+        at = pc.fill_null(pc.index_in(words, self._new), -1).to_numpy().astype(np.int64)
+        unknown = np.flatnonzero(at < 0)
+        parts = unknown[plain[unknown]], unknown[~plain[unknown]]
+        learned = pa.array(np.concatenate(parts))
+        at[learned.to_numpy()] = len(self._new) + np.arange(len(learned))
+        each = [self._each(t, words.take(pa.array(k))) for t, k in zip((self._by_blanks, self._tokenizer), parts, strict=True)]
+        self._new = pa.concat_arrays([self._new, words.take(learned)])
+        self._ids = pa.concat_arrays([self._ids, *each])
+        found = self._ids.take(pa.array(at))
+        self._turn += 1
+        self._met = np.concatenate([self._met, np.zeros(len(learned), np.int64)])
+        self._met[at] = self._turn
+        if len(self._new) > MEMORY:
+            kept = np.sort(np.argsort(-self._met, kind="stable")[: MEMORY // 2])
+            self._new, self._ids, self._met = self._new.take(pa.array(kept)), self._ids.take(pa.array(kept)), self._met[kept]
         return found
 
     def _signed(self, words: pa.Array) -> pa.Array:
@@ -151,11 +149,10 @@ class Encoder:
         stem = stems.dictionary_encode()
         plain = np.zeros(len(stem.dictionary), bool)
         plain[stem.indices.to_numpy()] = lettered.to_numpy(zero_copy_only=False)
-        each = pa.array(self._known(stem.dictionary, plain), pa.large_binary()).take(stem.indices)
-        kept = pc.utf8_length(stems).to_numpy()
-        signed = np.flatnonzero(kept < pc.utf8_length(words).to_numpy())
-        ends = zip(_strings(words.take(pa.array(signed))), kept[signed].tolist(), strict=True)
-        signs = pa.array([word[n:] for word, n in ends], pa.large_string()).dictionary_encode()
+        each = self._known(stem.dictionary, plain).take(stem.indices)
+        signed = np.flatnonzero(pc.binary_length(stems).to_numpy() < pc.binary_length(words).to_numpy())
+        ends = pc.replace_substring_regex(words.take(pa.array(signed)), rf"\A{_LETTERS.pattern}", "")
+        signs = ends.dictionary_encode()
         tails = pa.array([b"", *(self._whole(sign).tobytes() for sign in _strings(signs.dictionary))], pa.large_binary())
         tail = np.zeros(len(words), np.int64)
         tail[signed] = signs.indices.to_numpy() + 1
