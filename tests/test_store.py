@@ -1,3 +1,6 @@
+import os
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -303,6 +306,69 @@ def test_intermediate_results_go(spark, store, tmp_path):
     assert list((tmp_path / "store" / "work").iterdir()) == []
 
 
+def test_intermediate_results_go_when_nothing_reads_them_any_more(spark, store, tmp_path, monkeypatch):
+    """Copies of the texts lay there until the change ended."""
+    kept = {}
+
+    def looked(name):
+        before = getattr(Store, name)
+
+        def made(self, attempt, *args, **options):
+            kept.setdefault(name, {p.name for p in (tmp_path / "store" / "work").glob("*/*")})
+            return before(self, attempt, *args, **options)
+
+        return made
+
+    for name in ("_write_postings", "_write_beside"):
+        monkeypatch.setattr(Store, name, looked(name))
+    store.add(captures(spark, BATCH))
+    assert kept == {"_write_beside": {"captures"}, "_write_postings": {"captures"}}
+
+
+def test_shuffles_go_when_a_write_ends(spark, store):
+    def shuffled():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {os.path.basename(f) for f in files.mkString("\n").split("\n") if "shuffle_" in f}
+
+    spark.conf.set(store_module.DROP_SHUFFLED, "false")
+    before = shuffled()
+    rows = spark.range(1000).repartition(4, "id")
+    with Attempt(store, store.current()) as attempt:
+        attempt.keep("rows", rows)
+        attempt.write("counters", rows.select(F.lit("x").alias("status"), F.col("id").alias("n")))
+        attempt.publish()
+        until = time.monotonic() + 20
+        while (left := shuffled() - before) and time.monotonic() < until:
+            time.sleep(0.2)
+    assert not left
+    assert spark.conf.get(store_module.DROP_SHUFFLED) == "false"
+    assert store.read("counters").count() == 1000
+
+
+def test_postings_written_in_slices_are_the_same(spark, tmp_path, monkeypatch):
+    """All of them were in one shuffle, which took several times the room of the files."""
+    rows = [row(f"{k:03d}", 1, f"the w{k % 17} {'é' * (k % 3)} x{k}", "s", k + 1) for k in range(120)]
+    found, slices = [], []
+    monkeypatch.setattr(store_module, "SHOWN_WORDS", 90)
+    for size in (store_module.SLICE_BYTES, 1024):
+        monkeypatch.setattr(store_module, "SLICE_BYTES", size)
+        store = Store(spark, str(tmp_path / str(size)))
+        write = Attempt.write
+        monkeypatch.setattr(Attempt, "write", lambda self, table, some: (slices.append(some) if table == "postings" else None, write(self, table, some)))
+        store.add(captures(spark, rows))
+        monkeypatch.setattr(Attempt, "write", write)
+        words = sorted(map(tuple, store.read("postings").drop("batch").collect()))
+        terms = sorted(map(tuple, store.read("terms").groupBy("term", "col").agg(F.sum("n"), F.sum("occurrences")).collect()))
+        hits = [sorted(map(tuple, store.search(q).collect())) for q in (phrase("the w3"), term("x7"), phrase("nowhere"))]
+        found.append((words, terms, hits))
+    assert found[0] == found[1] and found[0][2][0] and found[0][2][1] == [("007", 1)]
+    assert len(slices) > 3  # one of the first store
+    paths = [store.folder("postings", f) for f in store.current().tables["postings"]]
+    files = spark.read.parquet(*paths).groupBy(F.input_file_name().alias("file")).agg(F.min("term").alias("a"), F.max("term").alias("b"))
+    ranges = sorted((r["a"], r["b"]) for r in files.collect())
+    assert all(b <= c for (_, b), (c, _) in zip(ranges, ranges[1:]))
+
+
 def test_cursor_and_replay(spark, store):
     assert store.read_cursor() is None
     store.write_cursor("1")
