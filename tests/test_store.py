@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vellum.operators import explore, fold
 from vellum.operators.search import build_postings, phrase, search_postings, term
 from vellum.plans.collect import folder_captures, scan_captures
+from vellum.sources import folder as folder_module
 from vellum.sources.folder import read_html_folder
 from vellum.sources.scans import read_scans, stream_scans
 from vellum.sources import store as store_module
@@ -416,3 +417,52 @@ def test_folder(spark, store, tmp_path):
     assert [r["status"] for r in store.read("quarantine").collect()] == ["empty_document"]
     seen = store.read("observations").first()
     assert (seen["src"], seen["sid"], seen["ts"]) == ("folder", "manual", "2026-02-04T23:19:13Z")
+
+
+def test_folder_is_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    """The driver held every name, and a task got a few files only."""
+    root = tmp_path / "a folder %41"
+    (root / "sub").mkdir(parents=True)
+    (root / "k=1").mkdir()
+    contents = {f"p{k:03d}.html": f"<p>{k}</p>" for k in range(60)} | {"e.html": "e", "empty.html": "", "ü #%.html": "é", ".h.html": "x", "_h.html": "x", "a.txt": "x", "sub/s.html": "x"}
+    for name, text in contents.items():
+        (root / name).write_text(text)
+    (root / "bad.html").write_bytes(b"a\xff\x00b")
+    files = lambda path, *pattern: sorted(map(tuple, read_html_folder(spark, path, *pattern).collect()))
+    monkeypatch.setattr(folder_module, "NAMES_TOGETHER", 7)
+    monkeypatch.setattr(folder_module, "BATCH_BYTES", 20)
+    given = read_html_folder(spark, str(root))
+    assert "BinaryFile" not in given._jdf.queryExecution().toString() and given.inputFiles() == []
+    made = [files(str(root)), files(f"file:{root}/"), files(str(root), "{e,p00[^1-9]}.html")]
+    monkeypatch.setattr(folder_module, "_folder", lambda spark, path: None)  # Spark's own reader
+    assert made == [files(str(root)), files(f"file:{root}/"), files(str(root), "{e,p00[^1-9]}.html")]
+    assert len(made[0]) == 63 and len(made[2]) == 2
+
+
+def test_what_is_not_one_folder_is_left_to_spark(spark, tmp_path):
+    for name in ("a.html", "b.html"):
+        (tmp_path / name).write_text(name)
+    found = lambda path: sorted(r["html"] for r in read_html_folder(spark, path).collect())
+    assert found(f"{tmp_path}/a.html") == ["a.html"]
+    assert found(f"{tmp_path}/[ab].html") == found(str(tmp_path)) == ["a.html", "b.html"]
+    (tmp_path / "empty").mkdir()
+    assert found(str(tmp_path / "empty")) == []
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        found(str(tmp_path / "none"))
+
+
+def test_no_text_moves_for_a_digest_of_it(spark, tmp_path):
+    """Texts of all files were shuffled to choose the first of a revision."""
+    page = HEAD + DCT + TIME + BODY + END
+    for name, text in (("b.html", page.replace("Hello", "second")), ("a.html", page), ("c.html", "<p>")):
+        (tmp_path / name).write_text(text)
+    files = read_html_folder(spark, str(tmp_path))
+    made = folder_captures(files, also={"text_md5": F.md5("content")})
+    found = sorted(made.select("id", "parse_status", "text_md5", F.md5("content")).collect())
+    assert [(r[0], r[1]) for r in found] == [("", "empty_document"), ("ID1", "ok")] and all(r[2] == r[3] for r in found)
+    assert folder_captures(files).columns == [c for c in made.columns if c != "text_md5"]
+    node = made.select("id", "text_md5")._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "Window":
+        node = node.children().head()
+    moved = node.children().head().output().mkString(",")
+    assert "text_md5#" in moved and "content#" not in moved
